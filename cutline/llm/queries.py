@@ -62,7 +62,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_simhash_dedup, op3_exact_dedup, op4_sentencepiece, op5_warc, op6_op7_packing, op8_token_files, op9_lm_scoring, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_simhash_dedup, op3_exact_dedup, op4_sentencepiece, op5_warc, op6_substring_dedup, op7_packing, op8_token_files, op9_lm_scoring, op10_quality_classifier)}
 
 ORACLE_SQL = {
     "op1_topk_search": """
