@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 
-#: Pieces whose ids a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 300_000, 200
+#: Pieces whose ids a worker remembers (some 150 MB), the longest that it does, and how many are encoded in one string.
+REMEMBERED, LONGEST, TOGETHER = 1_000_000, 200, 32
 _BLANK = rb" \t\n\x0b\x0c\r"
 _PIECE = re.compile(rb"[%b]*[^%b]+|[%b]+" % (_BLANK, _BLANK, _BLANK))
 #: White space to a tokenizer, but not among the blanks above: such texts are encoded in one piece.
-_OTHER = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_OTHER = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _encoders: dict[tuple[int, bool], Callable] = {}
 
 
@@ -26,33 +28,55 @@ def encoder(content: str, blanks_matter: bool) -> Callable[[list[bytes]], list[b
     """A function from texts (UTF-8) to their ids without special tokens, little-endian unsigned 32-bit.
 
     A byte-level tokenizer's tokens end where white space begins, and one that drops white space never
-    joins across it: so a text is cut there (blanks_matter: white space stays with what follows) and
-    the pieces' ids are put together. Texts with other white space than ASCII's are encoded whole.
+    joins across it: so a text is cut there (blanks_matter: white space stays with what follows; else
+    letters are lower-cased, as such a tokenizer does) and the pieces' ids are put together. Texts with
+    other white space than ASCII's are encoded whole. New pieces are encoded several in one string, a
+    special token between any two: the tokenizer splits there before it does anything else.
     """
     key = (hash(content), blanks_matter)
     if key in _encoders:
         return _encoders[key]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(content)
+    special = json.loads(content)["added_tokens"][0]
+    between, mark = special["content"], special["id"]
     known: dict[bytes, bytes] = {}
 
-    def ids(pieces: list[bytes]) -> list[bytes]:
-        found = tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def whole(texts: list[bytes]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def learn(pieces: list[bytes]) -> None:
+        odd = [p for p in pieces if b"<|" in p]
+        known.update(zip(odd, whole(odd), strict=True))
+        plain = [p for p in pieces if b"<|" not in p] if odd else pieces
+        joined = [between.encode().join(plain[i : i + TOGETHER]).decode() for i in range(0, len(plain), TOGETHER)]
+        for at in range(0, len(joined), 2_000):
+            found = tokenizer.encode_batch_fast(joined[at : at + 2_000], add_special_tokens=False)
+            ids = np.concatenate([np.array([*x.ids, mark], "<u4") for x in found])
+            ends = (np.flatnonzero(ids == mark) * 4).tolist()
+            data, start = ids.tobytes(), 0
+            for p, end in zip(plain[at * TOGETHER : (at + 2_000) * TOGETHER], ends, strict=True):
+                known[p] = data[start:end]
+                start = end + 4
+
+    def pieces_of(text: bytes) -> list[bytes]:
+        if blanks_matter:
+            return _PIECE.findall(text)
+        # a letter and a combining mark after it may be one character in lower case only
+        return (text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()).split()
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        cut = [_PIECE.findall(t) if blanks_matter else t.split() for t in texts]
-        whole = [i for i, t in enumerate(texts) if _OTHER.search(t.decode())]
-        for i in whole:
-            cut[i] = []
-        new = list({p for pieces in cut for p in pieces} - known.keys())
+        odd = {i for i, t in enumerate(texts) if _OTHER.search(t.decode())}
+        cut = [[] if i in odd else pieces_of(t) for i, t in enumerate(texts)]
+        new = list(set().union(*cut).difference(known))
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list({p for pieces in cut for p in pieces})
-        known.update(zip(new, ids(new), strict=True))
+            new = list(set().union(*cut))
+        learn(new)
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for i, x in zip(whole, ids([texts[i] for i in whole]), strict=True):
+        for i, x in zip(sorted(odd), whole([texts[i] for i in sorted(odd)]), strict=True):
             out[i] = x
         for p in new:
             if len(p) > LONGEST:
