@@ -2,6 +2,155 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cutline.functions import vocabulary as v
+from cutline.operators import chart, reports, series, store
+from cutline.plans import sql
+from cutline.sources import bindings, pages
+from cutline.sources.bindings import bulletins, cells, cutoffs
+
+SUBMISSION = "1993-06-01"
+#: The chart and report queries look at one category, country and action.
+ONE = "visa_category = 'employment_based' AND country = 'china' AND action_type = 'final_action'"
 FLAGSHIP = "projection"
+
+
+def literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(datetime.date.fromisoformat(x[5:]) if isinstance(x, str) and x.startswith("date:") else x for x in r) for r in rows], schema)
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.points(cutoffs(spark, sf_dir))
+
+
+def _chart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    points = series.points(cutoffs(spark, sf_dir).where(ONE))
+    return points, series.projection(points, SUBMISSION)
+
+
+def projection(spark, sf_dir):
+    return series.projection(_points(spark, sf_dir), SUBMISSION)
+
+
+def class_points(spark, sf_dir):
+    return _points(spark, sf_dir).select(*series.SERIES, "publication_date", "cutoff_date", "raw_class")
+
+
+def class_series(spark, sf_dir):
+    rows = series.series(_points(spark, sf_dir))
+    return rows.select(*series.SERIES, "visa_class", F.size("points").cast("long").alias("n_points"), F.element_at("points", 1)["publication_date"].alias("first_date"), F.element_at("points", -1)["publication_date"].alias("last_date"), F.element_at("points", -1)["cutoff_date"].alias("last_cutoff"))
+
+
+def cutoff_facts(spark, sf_dir):
+    return cutoffs(spark, sf_dir).select(*store.FACT)
+
+
+def series_join(spark, sf_dir):
+    rows = cutoffs(spark, sf_dir).where(ONE).join(bulletins(spark, sf_dir), "publication_date")
+    return rows.select("publication_date", "visa_class", "cutoff_value", v.bulletin_url(F.col("url"), F.col("publication_date")).alias("url"))
+
+
+def upsert_cutoffs(spark, sf_dir):
+    every = cells(spark, sf_dir)
+    typed = every.select(*bindings.KEY, "row_ix", *(c.alias(n) for n, c in v.cutoff_columns(F.col("value"), F.col("publication_date")).items()))
+    old = store.upsert_cutoffs(typed.select(*store.FACT).limit(0), typed.where("row_ix % 4 <> 0"), ["row_ix"])
+    return store.upsert_cutoffs(old, typed.where("row_ix % 4 = 0"), ["row_ix"])
+
+
+def upsert_bulletins(spark, sf_dir):
+    stored = bulletins(spark, sf_dir).where("month(publication_date) % 2 = 0").withColumn("url", F.when(F.month("publication_date") == 4, "").otherwise(F.col("url")))
+    return store.upsert_bulletins(stored, bulletins(spark, sf_dir).select("publication_date", F.concat(F.lit("https://example.org/new/"), F.date_format("publication_date", "yyyyMM")).alias("url")))
+
+
+def new_bulletins(spark, sf_dir):
+    months = bulletins(spark, sf_dir)
+    return store.new_bulletins(months, months.where("month(publication_date) <= 6")).select("publication_date", "url")
+
+
+def trace_index(spark, sf_dir):
+    return chart.trace_index(*_chart(spark, sf_dir)).select("visa_class_label", "first_trace", "has_projection", "color")
+
+
+def chart_traces(spark, sf_dir):
+    return chart.traces(*_chart(spark, sf_dir), SUBMISSION)
+
+
+def visible_range(spark, sf_dir):
+    return chart.visible_range(chart_traces(spark, sf_dir))
+
+
+def priority_line(spark, sf_dir):
+    return chart.priority_line(chart.trace_index(*_chart(spark, sf_dir)), F.lit(SUBMISSION).cast("date")).select("x", "y")
+
+
+def link_discovery(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.links(table, "https://example.org", contains="th", ends="ed").select("url")
+
+
+NAMES = [(x,) for x in ("1st", "1 st", "2nd", "3rd", "3rd Other Workers", "4th", "4th Religious", "5th Set Aside: (Rural - 20%)", "5th Set Aside: (Rural: NR, RR - 20%)", "5th Set Aside: (High Unemployment - 10%)", "5th Set Aside: (Infrastructure - 2%)", "Infrastructure (2%, including RI)", "5th Unreserved (C5, T5, and all others)", "5th Non-Regional Center (C5 and T5)", "5th Targeted Employ-ment Areas", "5th Pilot Programs", "EB5", "EB1", "Other Workers", "Certain RELIGIOUS Workers", "Schedule A Workers", "Iraqi & Afghani Translators", "Foo  Bar", "A - B", "C", "current 5")]
+HEADERS = [(x,) for x in ("CHINA-mainland born", "CHINA", "INDIA", " india ", "MEXICO", "Philippines", "EL SALVADOR GUATEMALA HONDURAS", "All Chargeability Areas Except Those Listed", "All Chargeability  Areas\nExcept Those Listed", "ALL AREAS", "DOMINICAN REPUBLIC", "")]
+CELLS = [(x,) for x in ("01DEC14", "01APR01", "C", "U", "01DEC98", "01JAN69", "01JAN68", "01dec14", "1DEC14", "31FEB20", "01SEPT20", "", "NA", "2016-11-08")]
+PAIRS = [("date:2024-01-01", "date:2024-01-31"), ("date:2024-01-01", "date:2024-02-01"), ("date:2023-11-01", "date:2024-02-01"), ("date:2024-03-15", "date:2023-12-31")]
+DATES = [(x,) for x in ("01/15/2024", "1/5/2024", "2024-01-01", "2024-1-1", "invalid-date", "", "13/01/2024", "2024-02-30")]
+
+
+def employment_class(spark, sf_dir):
+    return literals(spark, NAMES, "name string").select("name", v.employment_class(F.col("name")).alias("display"))
+
+
+def family_class(spark, sf_dir):
+    return literals(spark, [(x,) for x in ("1st", "1 st", "2A", "2 A", "2B", "3rd", "4th", "F4", "X")], "name string").select("name", v.family_class(F.col("name")).alias("display"))
+
+
+def country_from_header(spark, sf_dir):
+    return literals(spark, HEADERS, "header string").select("header", v.country_from_header(F.col("header")).alias("country"))
+
+
+def cell_dates(spark, sf_dir):
+    rows = literals(spark, CELLS, "cell string").withColumn("published", F.lit("2025-12-01").cast("date"))
+    return rows.select("cell", *(c.alias(n) for n, c in v.cutoff_columns(F.col("cell"), F.col("published")).items()))
+
+
+def month_math(spark, sf_dir):
+    return literals(spark, PAIRS, "a date, b date").select("a", "b", v.months_between(F.col("a"), F.col("b")).alias("months"), v.add_months(F.col("a"), F.lit(3)).alias("later"))
+
+
+def submission_dates(spark, sf_dir):
+    return literals(spark, DATES, "given string").select("given", v.submission_date(F.col("given"), F.lit("2025-12-01").cast("date")).alias("submission"))
+
+
+def bulletin_urls(spark, sf_dir):
+    return bulletins(spark, sf_dir).select("publication_date", v.bulletin_url(F.col("url"), F.col("publication_date")).alias("url"))
+
+
+def normalize_text(spark, sf_dir):
+    texts = [("  multiple   spaces  ",), ("line\nbreak\nhere",), ("tab\ttab\ttab",), ("a\xa0b",), ("",)]
+    return literals(spark, texts, "line string").select("line", v.normalize(F.col("line")).alias("clean"))
+
+
+def unpivot_cells(spark, sf_dir):
+    return _synthetic(spark)[1].select(*store.FACT)
+
+
+def table_extract(spark, sf_dir):
+    return _synthetic(spark)[0].select("url", "table_ix", "title", "row_ix", F.array_join("cells", "|").alias("cells"))
+
+
+MODERN = "<p>x</p><u>FINAL ACTION DATES FOR FAMILY-SPONSORED PREFERENCE CASES</u><table><tr><td>Family- Sponsored</td><td>All Chargeability Areas Except Those Listed</td><td>CHINA-mainland born</td><td>DOMINICAN REPUBLIC</td></tr><tr><td>F1</td><td>01DEC14</td><td>C</td><td>U</td></tr><tr><td>F2A</td><td>U</td></tr></table><u>Other</u><table><tr><td>a</td><td>b</td></tr></table>"
+LEGACY = "<table><tr><td>Family</td><td>All Chargeability Areas Except Those Listed</td><td>INDIA</td></tr><tr><td>1<sup>st</sup></td><td>01APR01</td><td>NA</td></tr></table>"
+
+
+def _synthetic(spark) -> tuple[DataFrame, DataFrame]:
+    made = literals(spark, [("a/visa-bulletin-for-march-2023.html", MODERN, "date:2023-03-01"), ("b/visa-bulletin-for-March-2003.html", LEGACY, "date:2003-03-01")], "url string, content string, publication_date date")
+    rows = pages.tables(made)
+    return rows, pages.unpivot(rows, made)
+
+
+QUERIES = {f.__name__: f for f in (projection, class_points, class_series, cutoff_facts, series_join, upsert_cutoffs, upsert_bulletins, new_bulletins, trace_index, chart_traces, visible_range, priority_line, link_discovery, employment_class, family_class, country_from_header, cell_dates, month_math, submission_dates, bulletin_urls, normalize_text, unpivot_cells, table_extract)}
+QUERIES |= {name: (lambda spark, sf_dir, f=f: f(cutoffs(spark, sf_dir), bulletins(spark, sf_dir))) for name, f in reports.REPORTS.items()}
+ORACLE_SQL = sql.queries(SUBMISSION, ONE)
