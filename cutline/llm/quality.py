@@ -86,7 +86,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             found, sizes = features(texts, len(ratio))
             owner = np.repeat(np.arange(len(texts)), sizes)
             weight = np.bincount(owner, ratio[found], minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("good").cast(pa.int32()), pa.array(weight), pa.array(sizes.astype(np.int64))], ["doc_id", "good", "log_weight", "n_features"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("good").cast(pa.int32()), pa.array(weight, pa.float64()), pa.array(sizes.astype(np.int64))], ["doc_id", "good", "log_weight", "n_features"])
 
     return docs.mapInArrow(run, "doc_id long, good int, log_weight double, n_features long")
 
