@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cutline.functions.vocabulary import month_of_name
 from cutline.operators import store
 from cutline.sources import pages
 
 
-def refresh(spark: SparkSession, folder: str, fact: str, checkpoint: str) -> None:
-    """Take in all pages that are new in the folder, then stop. Replays change nothing: each month that a batch has is merged and overwritten as a whole."""
+def _stored(spark: SparkSession, fact: str, schema: StructType) -> DataFrame:
+    """The fact as it is; empty before the first refresh."""
+    try:
+        return spark.read.schema(schema).parquet(fact).select(schema.names)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def refresh(spark: SparkSession, folder: str, fact: str, checkpoint: str, mode: str = "full") -> None:
+    """Take in all pages that are new in the folder, then stop.
+
+    mode: "full" writes a page's values over stored ones of the same key; "incremental" passes over
+    pages of months that are stored. Rows that vanish from a page stay. Replays change nothing: each
+    month that a batch has is merged and overwritten as a whole.
+    """
+    if mode not in ("full", "incremental"):
+        raise ValueError(f"mode is full or incremental, not {mode!r}")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cutline-"))
 
     def take(batch: DataFrame, _: int) -> None:
         found = batch.withColumn("publication_date", month_of_name(F.col("url"))).where("publication_date is not null")
+        schema = pages.unpivot(pages.tables(found), found).select(store.FACT).schema
+        stored = _stored(spark, fact, schema)
+        if mode == "incremental":
+            found = store.new_bulletins(found, stored)
         found = found.persist()
         cells = pages.unpivot(pages.tables(found), found)
-        new = store.upsert_cutoffs(cells.select(store.FACT).limit(0), cells, ["table_ix", "row_ix", "col_ix"]).persist()
-        try:
-            stored = spark.read.schema(new.schema).parquet(fact).join(new.select("publication_date").distinct(), "publication_date", "left_semi")
-            merged = stored.select(store.FACT).join(new, store.KEY, "left_anti").unionByName(new).checkpoint()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            merged = new
-        store.write(merged, fact)
+        new = store.upsert_cutoffs(spark.createDataFrame([], schema), cells, ["table_ix", "row_ix", "col_ix"]).persist()
+        months = stored.join(new.select("publication_date").distinct(), "publication_date", "left_semi")
+        # stored before the write, which replaces the files that it is read from
+        store.write(months.join(new, store.KEY, "left_anti").unionByName(new).checkpoint(), fact)
         new.unpersist()
         found.unpersist()
 
