@@ -1,21 +1,15 @@
-"""Language-model scores of whole texts by a weighted backoff automaton.
+"""Language-model scores of whole texts by a weighted backoff model of all n-grams that occur twice.
 
-Counts cover all training documents. A word is *frequent* if it makes up at least 2**-21 of the
-training tokens, so there are at most 2**21 of them whatever the size of the corpus; all other words,
-known or not, are members of one class. Over frequent words and that class stand the n-grams (of two
-and three) that make up at least 2**-17 of the tokens, at most 2**17 of each length, with discounted
-counts. They make an automaton: a state is a context that has n-grams, an arc reads a word, adds its
+Counts cover all training documents. Over their words stand the n-grams (of two and three) that occur
+at least LEAST times, a number that is the same at every size, with discounted counts. They make a
+weighted backoff automaton: a state is a context that has n-grams, an arc reads a word, adds its
 log-probability and leads to the longest context that the words read so far end with; where a state
 has no arc for a word, its failure arc adds the backoff weight and leads to the next shorter context.
-A text is read once from left to right.
 
-The probability of a word within the class comes from the word's own count, which is looked up by a
-join: only words that are not frequent are shuffled. The counts of all words together also give the
-base score (add-one unigrams).
-
-n-gram counts without a shuffle of all n-grams: a first pass adds them up in two tables of buckets,
-by two hash functions; an n-gram is counted singly, in a second pass, only if both of its buckets
-reach the least count. The tables' size is fixed, and so is that of what is broadcast.
+The automaton of a corpus grows with it, so it is never gathered: words, arcs and failure arcs are
+tables in the shared folder, keyed by context and word, and every place of a text meets those that a
+walk would take there (the arc of its two words before, or the weight of its failure arc and the arc
+of its one word before, and so on) by joins. Automaton is the same for a model that fits in memory.
 """
 
 from __future__ import annotations
@@ -29,19 +23,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, cut, mixed
+from .common import Words, blocks, cut
 
-FREQUENT, NGRAM = 2.0**-21, 2.0**-17
+#: The fewest occurrences of an n-gram that is kept.
+LEAST = 2
 #: Taken from every n-gram's count and given to words that were not seen after its context.
 DISCOUNT = 0.5
 #: Tokens of a slice, whose n-grams are counted at once.
 SLICE = 4_000_000
-#: Buckets of each of the two tables (eight for each n-gram that can reach the share), and how many travel in a row.
-BUCKETS, CHUNK = 1 << 20, 1 << 12
 #: Numbers of special words; frequent words follow.
 RARE, END, START, FIRST = 0, 1, 2, 3
 _BITS = 21
-_END_HASH = 0x454E44
+#: What stands for special words among the hashes of words.
+_END_HASH, _START_HASH, _RARE_HASH = 0x454E44, 0x5354415254, 0x52415245
 
 
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,19 +75,6 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-class Vocabulary:
-    """Numbers for frequent words: sorted hashes, from FIRST on."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + FIRST, RARE)
-
-
 def _sequence(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with START before and END after each, and for each token its place in its text."""
     ends = np.cumsum(sizes)
@@ -118,61 +99,69 @@ def _ngrams(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.concatenate([pairs, triples])
 
 
-def _buckets(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each n-gram in each of the tables."""
-    h = mixed(g.view(np.uint64))
-    return (h % np.uint64(BUCKETS)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+def _places(texts: list[bytes], frequent: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(row of the text, two words before, whether there are two, word before, word, its own hash) of each place, the end of the text being the last.
 
+    frequent: sorted hashes of the words that stand for themselves; None: all.
+    """
+    h, sizes = _word_hashes(texts)
+    own, place = _sequence(h, sizes)
+    special = (place == 0) | np.append(place[1:] == 0, True)
+    own[place == 0] = _START_HASH
+    own[special & (place > 0)] = _END_HASH
+    tokens = own if frequent is None else np.where(special | np.isin(own, frequent), own, _RARE_HASH)
+    at = np.flatnonzero(place >= 1)
+    return np.repeat(np.arange(len(texts)), sizes + 1), tokens[np.maximum(at - 2, 0)], place[at] >= 2, tokens[at - 1], tokens[at], own[at]
 
-def heavy_buckets(train: DataFrame, vocabulary, least: float) -> np.ndarray:
-    """For each table, which buckets hold at least `least` n-grams (with repeats)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, BUCKETS), np.int64)
-        for _, texts in blocks(batches, "text"):
-            h, sizes = _word_hashes(texts)
-            for table, at in zip(tables, _buckets(_ngrams(*_sequence(vocabulary.value.ids(h), sizes))), strict=True):
-                table += np.bincount(at, minlength=BUCKETS)
-        chunks = tables.astype("<u4").reshape(-1, CHUNK)
-        used = np.flatnonzero(chunks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([chunks[i].tobytes() for i in used.tolist()], pa.binary())], ["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.packbits(x >= least).tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
-
-    schema = "chunk long, counts binary"
-    heavy = np.zeros((2 * BUCKETS // CHUNK, CHUNK), bool)
-    for row in train.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
-        heavy[row["chunk"]] = np.unpackbits(np.frombuffer(row["counts"], np.uint8)).astype(bool)
-    return heavy.reshape(2, BUCKETS)
-
-
-def ngram_counts(train: DataFrame, vocabulary, least: float) -> DataFrame:
-    """(g, c): the n-grams that occur at least `least` times."""
-    heavy = train.sparkSession.sparkContext.broadcast(heavy_buckets(train, vocabulary, least))
+def ngram_counts(train: DataFrame, frequent, least: float) -> DataFrame:
+    """(a, b, w, c): the pairs (a is null) and triples of words (by their hashes) that occur at least `least` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _counted(held)], ["g", "c"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            a, two, b, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((w, a, b))
+            a, two, b, w = a[order], two[order], b[order], w[order]
+            for of, keys in ((two, (a, b, w)), (np.ones(len(w), bool), (b, w))):
+                keys = [x[of] for x in keys]
+                if len(keys) == 2:
+                    order = np.lexsort(keys[::-1])
+                    keys = [x[order] for x in keys]
+                if not len(keys[0]):
+                    continue
+                new = np.ones(len(keys[0]), bool)
+                new[1:] = np.any([np.diff(x) != 0 for x in keys], axis=0)
+                first = np.flatnonzero(new)
+                columns = [*(pa.array(x[first]) for x in keys), pa.array(np.diff(np.append(first, len(new))))]
+                if len(keys) == 2:
+                    columns = [pa.nulls(len(first), pa.int64()), *columns]
+                table = pa.RecordBatch.from_arrays(columns, ["a", "b", "w", "c"])
+                yield from (table.slice(i, 100_000) for i in range(0, len(first), 100_000))
 
         for _, texts in blocks(batches, "text"):
-            h, sizes = _word_hashes(texts)
-            g = _ngrams(*_sequence(vocabulary.value.ids(h), sizes))
-            one, two = _buckets(g)
-            held.append(g[heavy.value[0][one] & heavy.value[1][two]])
-            size += len(held[-1])
+            held.append(_places(texts, frequent.value)[1:5])
+            size += len(held[-1][0])
             if size >= SLICE:
-                yield rows()
+                yield from rows()
                 held, size = [], 0
-        yield rows()
+        if held:
+            yield from rows()
+
+    found = train.select("text").mapInArrow(run, "a long, b long, w long, c long")
+    return found.groupBy("a", "b", "w").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+
+
+def _weighted(found: DataFrame, context: Sequence[str]) -> DataFrame:
+    """(*context, total, log_back): of contexts, from rows (*context, c, total, lower) for each word seen after them; as _spread does.
 
-    return train.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    A word's probability is (c - DISCOUNT) / total; lower is the one under the shorter context.
+    """
+    sums = found.groupBy(*context).agg(F.first("total").cast("double").alias("total"), F.sum(F.col("c") - DISCOUNT).alias("kept"), F.sum("lower").alias("lower"))
+    full = F.col("lower") > 1 - 1e-9
+    back = F.when(full, 1e-12).otherwise(F.greatest(1 - F.col("kept") / F.col("total"), F.lit(1e-12)) / (1 - F.col("lower")))
+    return sums.select(*context, F.when(full, F.col("kept")).otherwise(F.col("total")).alias("total"), F.log10(back).alias("log_back"))
 
 
 def _spread(kept: dict[int, float], lower: float) -> tuple[dict[int, float], float]:
@@ -260,10 +249,7 @@ class Automaton:
         return self
 
 
-_ready: dict[int, Automaton] = {}
-
-
-def score(docs: DataFrame, train: Column, keep: Sequence[str] = (), doc_id: str = "doc_id", text: str = "text", frequent: float = FREQUENT, ngram: float = NGRAM) -> DataFrame:
+def score(docs: DataFrame, train: Column, keep: Sequence[str] = (), doc_id: str = "doc_id", text: str = "text", frequent: float = 0.0, ngram: float = 0.0) -> DataFrame:
     """(doc_id, *keep, n_tokens, n_known, train_tokens, base_score, score): one row per row of docs.
 
     The model learns from the rows for which `train` holds. Tokens are the lower-cased (A-Z) words and
@@ -272,78 +258,84 @@ def score(docs: DataFrame, train: Column, keep: Sequence[str] = (), doc_id: str
     tokens with c > 0. Null and empty texts are one token (the end). Null and repeated doc_ids keep
     their rows. Without training rows every token is unknown: N and V are 0. An empty table gives no
     rows; columns other than those named are not read.
+
+    frequent, ngram: shares of the training tokens; for a smaller model, words below the first are
+    members of one class and n-grams below the second are left out. At 0 all words, and all n-grams
+    that occur LEAST times, are counted singly.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep, train.alias("train"))
     training = rows.where("train")
     counts = cut(word_counts(training))
-    n, v, texts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == _END_HASH, F.col("c"))), F.lit(0))).first()
-    words = counts.where((F.col("h") != _END_HASH) & (F.col("c") >= frequent * n)).toArrow()
-    hashes, c = words.column("h").to_numpy(), words.column("c").to_numpy()
-    order = np.argsort(hashes)
-    hashes, c = hashes[order], c[order]
-    unigrams = np.concatenate([[n - texts - c.sum(), texts, 0], c]).astype(np.int64)
-    rare_tokens, rare_words = int(unigrams[RARE]), v - len(c) - bool(texts)
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes))
-
-    grams = ngram_counts(training, vocabulary, max(1.0, ngram * n)).toArrow()
-    model = Automaton(unigrams, texts, grams.column("g").to_numpy(), grams.column("c").to_numpy())
-    shared = spark.sparkContext.broadcast((model, np.log10(unigrams + 1.0)))
+    end, c = F.col("h") == _END_HASH, F.col("c")
+    n, v, texts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(end, c)), F.lit(0))).first()
+    single = counts.where(end | (c >= frequent * n))
+    single_tokens, single_words = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    rare_tokens, rare_words = n - single_tokens, v - single_words
+    of_rare = rare_tokens + DISCOUNT * single_words + DISCOUNT  # what is taken from words goes to the class of those not seen
+    mass = single_tokens - DISCOUNT * single_words + of_rare
+    listed = np.sort(single.select("h").toArrow().column("h").to_numpy()) if frequent else None
+    known = spark.sparkContext.broadcast(listed)
+
+    one = single.select("h", "c", ((c - DISCOUNT) / mass).alias("p"))
+    special = spark.createDataFrame([(_START_HASH, texts, 0.0), (_RARE_HASH, rare_tokens, of_rare / mass)], "h long, c long, p double")
+    one = one.unionByName(special)
+    grams = cut(ngram_counts(training, known, max(float(LEAST), ngram * n)))
+    pairs = grams.where("a IS NULL").select("b", "w", "c")
+    pairs = pairs.join(one.select(F.col("h").alias("w"), F.col("p").alias("lower")), "w").join(one.select(F.col("h").alias("b"), F.col("c").alias("total")), "b")
+    after_one = cut(_weighted(pairs, ["b"]))
+    pairs = cut(pairs.select("b", "w", "c").join(after_one, "b").select("b", "w", "c", ((F.col("c") - DISCOUNT) / F.col("total")).alias("p")))
+    # a triple that is kept has both of its pairs kept
+    triples = grams.where("a IS NOT NULL").join(pairs.select("b", "w", F.col("p").alias("lower")), ["b", "w"])
+    triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("w").alias("b"), F.col("c").alias("total")), ["a", "b"])
+    after_two = cut(_weighted(triples, ["a", "b"]))
+    triples = grams.where("a IS NOT NULL").join(after_two, ["a", "b"]).select("a", "b", "w", F.log10((F.col("c") - DISCOUNT) / F.col("total")).alias("log_three"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (automaton, log_count) = vocabulary.value, shared.value
-        if id(automaton) not in _ready:
-            _ready.clear()
-            _ready[id(automaton)] = automaton.ready()
         uid = TaskContext.get().partitionId() << 40
         for part, texts_ in blocks(batches, "text"):
-            h, sizes = _word_hashes(texts_)
-            ids = words.ids(h)
-            known = ids >= FIRST
-            of = np.repeat(np.arange(len(texts_)), sizes)
-            base = np.bincount(of[known], log_count[ids[known]], minlength=len(texts_)) + log_count[END]
-            sums, at, flat = [], 0, ids.tolist()
-            for n_words in sizes.tolist():
-                sums.append(automaton.read([*flat[at : at + n_words], END]))
-                at += n_words
-            # words that are not frequent, once for each text
-            rare, rare_of = h[~known], of[~known]
-            order = np.lexsort((rare, rare_of))
-            rare, rare_of = rare[order], rare_of[order]
-            new = np.ones(len(rare), bool)
-            new[1:] = (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(rare))).astype(np.int32)
-            spans = np.searchsorted(rare_of[first], np.arange(len(texts_) + 1))
-            listed = pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pa.StructArray.from_arrays([pa.array(rare[first]), pa.array(times)], ["h", "times"]))
-            columns = [pa.array(uid + np.arange(len(texts_))), part.column("doc_id"), *(part.column(x) for x in keep), pa.array(sizes + 1), pa.array(np.bincount(of[known], minlength=len(texts_)).astype(np.int64)), pa.array(base), pa.array(np.array(sums, float)), listed]
+            of, a, two, b, _, own = _places(texts_, known.value)
+            spans = np.searchsorted(of, np.arange(len(texts_) + 1))
+            places = pa.StructArray.from_arrays([pa.array(a, mask=~two), pa.array(b), pa.array(own)], ["a", "b", "h"])
+            columns = [pa.array(uid + np.arange(len(texts_))), part.column("doc_id"), *(part.column(x) for x in keep), pa.array(np.diff(spans).astype(np.int64)), pa.ListArray.from_arrays(pa.array(spans, pa.int32()), places)]
             uid += len(texts_)
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", *keep, "n_tokens", "frequent", "base", "walk", "rare"])
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", *keep, "n_tokens", "places"])
 
     kept = "".join(f"{x} {rows.schema[x].dataType.simpleString()}, " for x in keep)
-    schema = f"uid long, doc_id long, {kept}n_tokens long, frequent long, base double, walk double, rare array<struct<h: long, times: int>>"
-    each = rows.drop("train").mapInArrow(run, schema)
-    # the first row of a text carries what was summed in its task; a text without rare words has one row, under a hash of its own
-    facts = F.struct("doc_id", *keep, "n_tokens", "frequent", "base", "walk")
-    parts = each.select("uid", facts.alias("facts"), F.posexplode_outer("rare").alias("at", "rare"))
-    parts = parts.select("uid", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("facts")).alias("facts"), F.coalesce("rare.h", F.xxhash64("uid")).alias("h"), F.coalesce("rare.times", F.lit(0)).alias("times"))
-    found = parts.join(counts.withColumnRenamed("c", "count"), "h", "left")
-    c_, times = F.coalesce("count", F.lit(0)), F.col("times")
-    of_class = F.when(c_ > 0, (c_ - DISCOUNT) / F.lit(rare_tokens + DISCOUNT)).otherwise(F.lit((DISCOUNT * rare_words + DISCOUNT) / (rare_tokens + DISCOUNT)))
-    # a row whose hash is its own adds nothing, whatever word may have that hash
-    sums = found.groupBy("uid").agg(
+    each = rows.drop("train").mapInArrow(run, f"uid long, doc_id long, {kept}n_tokens long, places array<struct<a: long, b: long, h: long>>")
+    # the first place of a text, its only one without two words before, carries the text's columns
+    places = each.select("uid", F.struct("doc_id", *keep, "n_tokens").alias("facts"), F.posexplode("places").alias("at", "place"))
+    places = places.select("uid", F.when(F.col("at") == 0, F.col("facts")).alias("facts"), "place.a", "place.b", "place.h")
+    count = F.coalesce("count", F.lit(0))
+    alone = F.coalesce((F.col("count") >= frequent * n) | (F.col("h") == _END_HASH), F.lit(not frequent))
+    places = places.join(counts.withColumnRenamed("c", "count"), "h", "left")
+    of_class = F.when(count > 0, (count - DISCOUNT) / (rare_tokens + DISCOUNT)).otherwise((DISCOUNT * rare_words + DISCOUNT) / (rare_tokens + DISCOUNT))
+    seen = alone & (count > 0)
+    places = places.select(
+        "uid", "facts", "a", "b",
+        F.when(alone, F.col("h")).otherwise(F.lit(_RARE_HASH)).alias("w"),
+        count.alias("count"),
+        F.log10(F.when(seen, (count - DISCOUNT) / mass).otherwise(of_rare / mass)).alias("log_one"),
+        F.when(seen, 0.0).otherwise(F.log10(of_class)).alias("log_in_class"),
+    )
+    places = places.join(after_one.select("b", F.col("log_back").alias("back_one")), "b", "left")
+    places = places.join(pairs.select("b", "w", F.log10("p").alias("log_two")), ["b", "w"], "left")
+    places = places.join(after_two.select("a", "b", F.col("log_back").alias("back_two")), ["a", "b"], "left")
+    places = places.join(triples, ["a", "b", "w"], "left")
+    shorter = F.coalesce("log_two", F.coalesce("back_one", F.lit(0.0)) + F.col("log_one"))
+    walk = F.coalesce("log_three", F.coalesce("back_two", F.lit(0.0)) + shorter) + F.col("log_in_class")
+    sums = places.groupBy("uid").agg(
         F.max("facts").alias("facts"),
-        F.sum(F.when(times > 0, times * F.log10(c_ + 1)).otherwise(0.0)).alias("base"),
-        F.sum(F.when(times > 0, times * F.log10(of_class)).otherwise(0.0)).alias("walk"),
-        F.sum(F.when(c_ > 0, times).otherwise(0)).alias("known"),
+        F.sum(F.log10(F.col("count") + 1)).alias("base"),
+        F.sum(walk).alias("walk"),
+        F.sum(F.when(F.col("count") > 0, 1).otherwise(0)).alias("known"),
     )
-    end_known = 1 if texts else 0
     return sums.select(
         "facts.doc_id",
         *(F.col(f"facts.{x}").alias(x) for x in keep),
         "facts.n_tokens",
-        (F.col("facts.frequent") + F.col("known") + end_known).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("facts.base") + F.col("base") - F.col("facts.n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        (F.col("facts.walk") + F.col("walk")).alias("score"),
+        (F.col("base") - F.col("facts.n_tokens") * math.log10(n + v + 1)).alias("base_score"),
+        F.col("walk").alias("score"),
     )

@@ -114,3 +114,15 @@ def test_nothing_to_learn_from(spark):
     got = lm_scoring.score(docs(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert sorted((x["doc_id"], x["n_tokens"], x["n_known"], x["train_tokens"], x["base_score"]) for x in got) == [(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)]
     assert lm_scoring.score(docs(spark, []), F.lit(True)).count() == 0
+
+
+def test_rare_ngrams_count_at_every_size(spark):
+    """N-grams that occur twice stay in the model however many tokens surround them, and the rarest words stand for themselves."""
+    r = random.Random(4)
+    twice = " ".join(f"rare{i}" for i in range(12))
+    train = [twice, twice] + [" ".join(r.choice("abcdefgh") for _ in range(4000)) for _ in range(100)]
+    assert sum(len(t.split()) + 1 for t in train) > 3 << 17  # the old share of 2**-17 would ask for more than two
+    got = {x["doc_id"]: x["score"] for x in lm_scoring.score(docs(spark, [*enumerate(train), (-1, "rare3 rare9 a zzz")]), F.col("doc_id") >= 0).collect()}
+    slow = slow_model(train, 2)
+    for i, t in ((0, twice), (-1, "rare3 rare9 a zzz"), (5, train[5])):
+        assert got[i] == pytest.approx(slow(t), abs=1e-6)
