@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
-    return topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
+    return topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0, every_row=True)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

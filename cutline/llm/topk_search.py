@@ -61,6 +61,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         for q in range(len(queries)):
             resolve(q, np.flatnonzero(vector_ids != query_ids[q]))
     position = np.argsort(vector_ids)
+    by_id = vector_ids[position]
     open_ = np.arange(len(queries)) if kind is not object else np.zeros(0, int)
     for depth in (*DEPTHS, 1.0):
         if not len(open_):
@@ -73,9 +74,10 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         for part in np.split(open_, range(AT_ONCE, len(open_), AT_ONCE)):
             upper = up[part] @ most.T + down[part] @ most_down.T
             lower = up[part] @ least.T + down[part] @ least_down.T
-            own = position[np.minimum(np.searchsorted(vector_ids, query_ids[part], sorter=position), n - 1)]
-            has = vector_ids[own] == query_ids[part]
-            upper[np.flatnonzero(has), own[has]] = lower[np.flatnonzero(has), own[has]] = -np.inf
+            low_own, high_own = (np.searchsorted(by_id, query_ids[part], side) for side in ("left", "right"))
+            for i in np.flatnonzero(high_own > low_own).tolist():
+                own = position[low_own[i] : high_own[i]]
+                upper[i, own] = lower[i, own] = -np.inf
             bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(part), -np.inf, kind)
             inside = upper >= bar[:, None]
             for i, count in enumerate(inside.sum(axis=1).tolist()):
@@ -89,24 +91,26 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     return (np.concatenate(x) if x else empty for x in (rows, found, scores))
 
 
-def _quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: float) -> DataFrame:
-    """(vec_id, v, dim): integer vectors, one row per id."""
+def _quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: float, every_row: bool) -> DataFrame:
+    """(vec_id, v, dim): integer vectors, of every row or one per id."""
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     sound = F.col(embedding).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.col(vec_id).isNotNull()
     ints = vectors.where(sound).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
-    return ints.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    kept = ints if every_row else ints.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return kept.withColumn("dim", F.size("v"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, scale: float = 256.0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, scale: float = 256.0, vec_id: str = "vec_id", embedding: str = "embedding", every_row: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, or all if fewer.
 
     Components x become floor(scale * x). A query's own id is not among its candidates; ties go to the
     smaller id. Null ids and vectors that are null or hold null or non-finite components take no part;
     vectors of different lengths don't meet; of rows that repeat an id, the vector that sorts first
-    counts. Queries without candidates and empty tables give no rows; other columns are not read.
+    counts, or with every_row all do: each is a candidate of its own, and queries of one id share their k
+    ranks. Queries without candidates and empty tables give no rows; other columns are not read.
     """
-    candidates = cut(_quantised(vectors, vec_id, embedding, scale))
-    asked = cut(_quantised(queries, vec_id, embedding, scale)) if queries is not None else candidates
+    candidates = cut(_quantised(vectors, vec_id, embedding, scale, every_row))
+    asked = cut(_quantised(queries, vec_id, embedding, scale, every_row)) if queries is not None else candidates
     blocks = max(1, -(-candidates.count() // BLOCK))
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     deal = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))

@@ -53,3 +53,18 @@ def test_bounds_stop_early():
 
 def test_same_as_sql(spark):
     compare(spark, queries.QUERIES["op1_topk_search"], queries.ORACLE_SQL["op1_topk_search"], "/root/testdata/sf0.001")
+
+
+def test_rows_that_repeat_an_id_are_candidates(spark, tmp_path, monkeypatch):
+    """As in the SQL of the query: every row but those of the query's own id."""
+    monkeypatch.setattr(topk_search, "BLOCK", 30)
+    r = random.Random(3)
+    rows = [(i % 70, [r.gauss(0, 1) for _ in range(4)]) for i in range(160)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    q = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for query in (0, 50):
+        scores = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for j, x in q if j == query for i, v in q if i != query)[:5]
+        want += [(query, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
+    got = queries.op1_topk_search(spark, str(tmp_path)).collect()
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == sorted(want)
