@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,12 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own in local mode, else an error."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not given and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="cutline-"))
     return given or context.getCheckpointDir().get()
 
@@ -48,8 +52,10 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(df: DataFrame, most: int = 256 << 20) -> int:
+    """The session's number of shuffle partitions, or more where df would have over `most` bytes in each (as Spark estimates them, if it can)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // most) if size < 1 << 50 else 0)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -58,17 +64,15 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The rows in slices of about `most` bytes of text, so that what is made from a slice stays small."""
+    """The rows in slices of about `most` bytes of text; only a slice at a time is turned into Python's bytes."""
     for batch in batches:
-        texts = utf8(batch.column(column))
-        at = size = 0
-        for i, text in enumerate(texts):
-            size += len(text) + 1
-            if size >= most:
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, size = i + 1, 0
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+        sizes = pa.compute.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes.astype(np.int64) + 1), 0
+        while at < len(ends):
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1
+            part = batch.slice(at, to - at)
+            yield part, utf8(part.column(column))
+            at = to
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -80,30 +84,49 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 _BASE, _UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Runs of more bytes are hashed one by one: polynomials modulo 2**64 are equal for some (very regular) strings of over 1,000.
+_REGULAR = 256
 
 
 def _powers_to(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _UNBASE)):
+        found = []
+        for base in (_BASE, _UNBASE):
             steps = np.full(max(n, 1 << 20), base, np.uint64)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
+            found.append(np.multiply.accumulate(steps))
+        if n > 1 << 22:
+            return found  # of a very long text; not kept
+        _powers[:] = found
     return _powers
 
 
+def _polynomial(values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from (starts, ends) to a number of each run values[start:end], equal for equal runs."""
+    up, down = _powers_to(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return lambda starts, ends: (sums[ends] - sums[starts]) * down[starts]
+
+
 def runs_hashed(buffer: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A function that gives 64-bit hashes of many runs buffer[start:end] at once, equal for equal bytes."""
-    up, down = _powers_to(len(buffer) + 1)
-    sums = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[: len(buffer)], out=sums[1:])
-    return lambda starts, ends: mixed((sums[ends] - sums[starts]) * down[starts])
+    """A function that gives 64-bit hashes of many runs of bytes buffer[start:end] at once, equal for equal bytes."""
+    of = _polynomial(buffer.astype(np.uint64) + np.uint64(1))
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = mixed(of(starts, ends))
+        for i in np.flatnonzero(ends - starts > _REGULAR).tolist():
+            out[i] = xxhash.xxh64_intdigest(buffer[starts[i] : ends[i]].tobytes(), 42)
+        return out
+
+    return hashes
 
 
 class Words:
     """The lower-cased words of some texts, with 64-bit hashes of any run of them.
 
     buffer holds all words, one space between any two; word i is buffer[starts[i]:ends[i]]; text k has the
-    words first[k] to first[k + 1]. A run's hash is that of its words joined by one space.
+    words first[k] to first[k + 1]. A run's hash is made of those of its words (runs are of some dozens at most).
     """
 
     def __init__(self, texts: list[bytes]):
@@ -116,8 +139,12 @@ class Words:
         n = int(self.first[-1])
         self.starts = np.concatenate([[0], spaces + 1])[:n]
         self.ends = np.concatenate([spaces, [len(self.buffer)]])[:n]
-        self._hash = runs_hashed(self.buffer)
+        self._one = runs_hashed(self.buffer)(self.starts, self.ends)
+        self._run = _polynomial(self._one)
 
     def hashes(self, run: int = 1) -> np.ndarray:
         """Of each run of so many words (one for each start; runs may cross texts)."""
-        return self._hash(self.starts[: max(0, len(self.starts) - run + 1)], self.ends[run - 1 :])
+        if run == 1:
+            return self._one
+        starts = np.arange(max(0, len(self._one) - run + 1))
+        return mixed(self._run(starts, starts + run))

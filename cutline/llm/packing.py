@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    content, end = read_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
+    content = read_tokenizer(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(content, blanks_matter=False), Packer(capacity)
@@ -140,8 +140,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
         for part, texts in blocks(batches, "text"):
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
-                packer.add(doc, ids + end)
+            ids, sizes = encode(texts)
+            ends = np.cumsum(sizes)
+            data, ends = np.insert(ids, ends, end_id).astype("<u4").tobytes(), 4 * (ends + np.arange(1, len(ends) + 1))
+            for doc, low, high in zip(part.column("doc_id").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                packer.add(doc, data[low:high])
             yield rows()
         packer.finish()
         yield rows()

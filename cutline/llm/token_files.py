@@ -1,9 +1,9 @@
 """Token files: Arrow IPC files whose batches hold equal-length sequences.
 
 A file holds the token stream of a range of doc_ids, cut into sequences of one length: a fixed-size
-list of ids and one of mask bits (false: padding, at the end of a file only). Such columns are plain
-buffers, so sequence i of a memory-mapped file is a slice of the mapping: nothing is decoded or
-copied. Beside it lies a small Arrow file with each document's place. Files are written by the tasks
+list of ids and one of mask bytes (0: padding, at the end of a file only). Such columns are plain
+buffers, so ids and mask of sequence i of a memory-mapped file are slices of the mapping: nothing is
+decoded or copied. Beside it lies a small Arrow file with each document's place. Files are written by the tasks
 of a range-partitioned sort, under names of their own; what is listed in the manifest is what
 finished tasks wrote.
 """
@@ -30,7 +30,7 @@ _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens",
 
 
 def file_schema(length: int, small_ids: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16() if small_ids else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint16() if small_ids else pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 class _Writer:
@@ -51,7 +51,7 @@ class _Writer:
             self.held, self.size = [flat[whole:]], len(flat) - whole
 
     def _write(self, flat: np.ndarray, valid: int) -> None:
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, np.arange(len(flat)) < valid)]
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, (np.arange(len(flat)) < valid).view(np.uint8))]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -74,22 +74,23 @@ class TokenFile:
     def batch(self, i: int) -> pa.RecordBatch:
         return self.reader.get_batch(i)
 
+    def _view(self, name: str, i: int) -> np.ndarray:
+        at = i % ROWS * self.length
+        return self.batch(i // ROWS).column(name).values.to_numpy(zero_copy_only=True)[at : at + self.length]
+
     def sequence(self, i: int) -> np.ndarray:
         """The ids of sequence i, a view of the file."""
-        batch = self.batch(i // ROWS)
-        at = i % ROWS * self.length
-        return batch.column("ids").values.to_numpy(zero_copy_only=True)[at : at + self.length]
+        return self._view("ids", i)
 
     def mask(self, i: int) -> np.ndarray:
-        at = i % ROWS * self.length
-        return self.batch(i // ROWS).column("mask").values.slice(at, self.length).to_numpy(zero_copy_only=False)
+        """1 for each id of sequence i, 0 for padding; a view of the file."""
+        return self._view("mask", i)
 
     def stream(self) -> Iterator[np.ndarray]:
         """All ids in order, without padding, a batch at a time."""
         for i in range(self.reader.num_record_batches):
-            batch = self.batch(i)
-            valid = batch.column("mask").values.true_count
-            yield batch.column("ids").values.to_numpy(zero_copy_only=True)[:valid]
+            ids, mask = (self.batch(i).column(x).values.to_numpy(zero_copy_only=True) for x in ("ids", "mask"))
+            yield ids[: np.count_nonzero(mask)]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,14 +99,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     tokenizer: path of a byte-level tokenizer file. path: a folder that driver and executors share (by
     default a new one in the shared folder). Manifest: (part, ids_path, index_path, n_docs, n_tokens),
     one row per file, part ascending with doc_id. Ids are 16-bit where the vocabulary allows, else
-    32-bit. Null texts are empty; null doc_ids come first; rows that repeat a doc_id follow each other,
-    by text. An empty table writes no file. Other columns are not read.
+    32-bit. Null texts are empty; null doc_ids come first; rows that repeat a doc_id (or null) follow each
+    other in the order of a hash of their texts, by which they may also fall into several files. An empty
+    table writes no file. Other columns are not read. The files grow in number with the input.
     """
     spark, content = docs.sparkSession, read_tokenizer(tokenizer)
     from tokenizers import Tokenizer
 
     path = path or new_dir(spark, "tokens")
-    small_ids, end = max(Tokenizer.from_str(content).get_vocab_size(), end_id + 1) <= 1 << 16, np.array([end_id], "<u4")
+    small_ids = max(Tokenizer.from_str(content).get_vocab_size(), end_id + 1) <= 1 << 16
     schema = "part int, ids_path string, index_path string, n_docs long, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,14 +123,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
             if writer is None:
                 sink, places_sink = fs.open_output_stream(f"{root}/{name}.arrow"), fs.open_output_stream(f"{root}/{name}.index.arrow")
                 writer, places = _Writer(sink, length, small_ids), pa.ipc.new_file(places_sink, _INDEX)
-            starts, sizes = [], []
-            for ids in encode(texts):
-                ids = np.concatenate([np.frombuffer(ids, "<u4"), end])
-                writer.add(ids)
-                starts.append(total)
-                sizes.append(len(ids))
-                total += len(ids)
-            count += len(texts)
+            ids, sizes = encode(texts)
+            ends = np.cumsum(sizes)
+            writer.add(np.insert(ids, ends, end_id))
+            sizes, starts = sizes + 1, total + ends - sizes + np.arange(len(sizes))
+            total, count = total + int(sizes.sum()), count + len(texts)
             places.write_batch(pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=_INDEX))
         if writer is None:
             return
@@ -137,8 +136,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
         values = [part], [f"{path}/{name}.arrow"], [f"{path}/{name}.index.arrow"], [count], [total]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return cut(rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, schema))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    return cut(rows.repartitionByRange(partitions(docs), "doc_id", "hash").sortWithinPartitions("doc_id", "hash").mapInArrow(run, schema))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -160,7 +159,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 fs, ids_path = pa.fs.FileSystem.from_uri(row["ids_path"])
                 _, index_path = pa.fs.FileSystem.from_uri(row["index_path"])
-                with fs.open_input_file(ids_path) as ids, fs.open_input_file(index_path) as places:
+                read = pa.memory_map if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file
+                with read(ids_path) as ids, read(index_path) as places:
                     yield from _documents(TokenFile(ids), pa.ipc.open_file(places), row["before"])
 
     return listed.mapInArrow(run, schema)

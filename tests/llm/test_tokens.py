@@ -1,15 +1,17 @@
 """Packing and token files against the tokenizers library itself."""
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow.fs
 import pytest
+from pyspark.sql import functions as F
 from small import docs, odd_rows, words
 from tokenizers import Tokenizer
 
-from cutline.llm import packing, token_files
+from cutline.llm import packing, token_files, tokens
 from cutline.llm.tokens import encoder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -24,8 +26,9 @@ def ids_of(path, text, end):
 def test_ids_are_the_librarys(path, blanks):
     encode, direct = encoder(open(path, encoding="utf-8").read(), blanks), Tokenizer.from_file(path)
     for _ in range(2):
-        for text, ids in zip(ODD, encode([t.encode() for t in ODD]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == direct.encode(text, add_special_tokens=False).ids, text
+        ids, sizes = encode([t.encode() for t in ODD])
+        for text, found in zip(ODD, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert found.tolist() == direct.encode(text, add_special_tokens=False).ids, text
 
 
 def test_packing_is_whole(spark):
@@ -104,7 +107,8 @@ def test_token_files(spark):
     manifest = token_files.write_token_files(docs(spark, rows), BYTE, length=64)
     got = [tuple(x) for x in token_files.read_token_files(manifest).collect()]
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode())):
+    order = [(x["doc_id"], x["text"]) for x in docs(spark, rows).orderBy("doc_id", F.xxhash64("text")).collect()]
+    for i, t in order:
         ids = ids_of(BYTE, t, 0)
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -117,7 +121,29 @@ def test_token_files(spark):
         n = sum(file.batch(i).num_rows for i in range(file.reader.num_record_batches))
         for i in range(n):
             ids, mask = file.sequence(i), file.mask(i)
-            assert len(ids) == len(mask) == 64 and not ids.flags.owndata and not ids.flags.writeable and (i == n - 1 or mask.all())
-            stream += ids[mask].tolist()
-    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode()))
+            assert len(ids) == len(mask) == 64 and (i == n - 1 or mask.all())
+            assert not any(x.flags.owndata or x.flags.writeable for x in (ids, mask))
+            stream += ids[mask == 1].tolist()
     assert stream == [t for x in order for t in ids_of(BYTE, x[1], 0).tolist()]
+
+
+@pytest.mark.parametrize(("path", "blanks"), [(WORD, False), (BYTE, True)])
+def test_ids_of_many_made_texts(path, blanks):
+    """Letters of several scripts, marks, digits, punctuation and white space in any order; also when what is remembered is forgotten."""
+    r = random.Random(5)
+    parts = ["a", "B", "the", "ing", "9", "42", ".", ",", "...", "'", "'s", "-", "&&&", "(", ")", "|", "<", "<|", "|>", "_", "é", "É", "ß", "İ", "́", "ñ", "漢", "字", "…", "“", " ", " ", " ", "  ", "\n", "\t", "\xa0", "\U0001f600", "‍"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(3000)]
+    encode, direct = encoder(open(path, encoding="utf-8").read() + " ", blanks), Tokenizer.from_file(path)
+    for at in range(0, len(texts), 500):
+        ids, sizes = encode([t.encode() for t in texts[at : at + 500]])
+        for text, found in zip(texts[at : at + 500], np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert found.tolist() == direct.encode(text, add_special_tokens=False).ids, text
+
+
+def test_known_pieces_past_the_limit(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    encode, direct = encoder(open(BYTE, encoding="utf-8").read() + "  ", True), Tokenizer.from_file(BYTE)
+    for seed in range(8):
+        texts = [words(30, 10 * seed + i) for i in range(3)]
+        ids, sizes = encode([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [direct.encode(t, add_special_tokens=False).ids for t in texts]
