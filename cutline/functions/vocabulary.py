@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +40,26 @@ FAMILY_LABELS = {
     "F3": "F3: Married Sons/Daughters of U.S. Citizens",
     "F4": "F4: Brothers/Sisters of Adult U.S. Citizens",
 }
+# What a class's lower-case name contains, and its display name; the first that holds decides.
+FIFTH = [
+    (("high unemployment", "(nh", "rh", "nh,"), "High Unemployment (10%)"),
+    (("infrastructure", "(ri", "ri)"), "Infrastructure (2%)"),
+    (("rural", "(nr", "rr", "nr,"), "Rural (20%)"),
+    (("unreserved", "all others"), "Unreserved"),
+    (("non-regional",), "Non-Regional Center"),
+    (("targeted", "regional", "employ-ment", "employmentareas"), "Targeted Employment Areas / Regional Centers"),
+    (("pilot",), "Pilot Programs"),
+]
+OTHER_WORKERS = (("other worker",), "EB-3: Other Workers")
+RELIGIOUS = (("religious",), "EB-4: Religious Workers")
+UNNUMBERED = [(("schedule a",), "Schedule A Workers"), (("iraqi", "afghani"), "Iraqi & Afghani Translators")]
+# Names of the categories, texts of a page's title and description, the years that a typed date may have.
+CATEGORIES = {"family_sponsored": "Family-Sponsored", "employment_based": "Employment-Based"}
+TITLE_OF_ALL = "Visa Bulletin Predictions %d - Priority Date Tracker"
+TITLE = "%s %s Visa Bulletin Predictions & Tracker - %s %d"
+DESCRIPTION = "Track current priority dates and projections for %s %s visas. View historical trends, see when dates will move, and estimate your green card wait time."
+LICENSE = "https://creativecommons.org/publicdomain/zero/1.0/"
+YEARS = (1990, 2030)
 BULLETIN_URL = "https://travel.state.gov/content/travel/en/legal/visa-law0/visa-bulletin/%d/visa-bulletin-for-%s-%d.html"
 
 _SPACE = r"(?U)[\s ]+"
@@ -63,40 +86,32 @@ def family_class(name: Column) -> Column:
 
 
 def employment_class(name: Column) -> Column:
-    """The display name of an employment class; the first rule that holds decides; else the name with its spaces cleaned."""
+    """The display name of an employment class; the first rule that holds decides; else the name with its spaces cleaned.
+
+    The cleaned name is bound once, so that the expression stays small wherever it is used.
+    """
     clean = F.replace(F.replace(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")), F.lit(" -"), F.lit("-")), F.lit("- "), F.lit("-"))
+    return F.element_at(F.transform(F.array(clean), _employment_rule), 1)
+
+
+def _employment_rule(clean: Column) -> Column:
     low = F.lower(clean)
 
-    def has(*parts: str) -> Column:
-        found = low.contains(parts[0])
-        for part in parts[1:]:
-            found = found | low.contains(part)
-        return found
+    def has(parts: tuple[str, ...]) -> Column:
+        return reduce(or_, (low.contains(x) for x in parts))
 
     def ordinal(digit: str, ending: str) -> Column:
         return clean.startswith(digit) | clean.contains(f"{digit} {ending}") | clean.contains(digit + ending)
 
-    other, religious = has("other worker"), has("religious")
-    fifth = F.coalesce(
-        F.when(has("high unemployment", "(nh", "rh", "nh,"), "High Unemployment (10%)"),
-        F.when(has("infrastructure", "(ri", "ri)"), "Infrastructure (2%)"),
-        F.when(has("rural", "(nr", "rr", "nr,"), "Rural (20%)"),
-        F.when(has("unreserved", "all others"), "Unreserved"),
-        F.when(has("non-regional"), "Non-Regional Center"),
-        F.when(has("targeted", "regional", "employ-ment", "employmentareas"), "Targeted Employment Areas / Regional Centers"),
-        F.when(has("pilot"), "Pilot Programs"),
-        F.lit("All Categories"),
-    )
+    other, religious = has(OTHER_WORKERS[0]), has(RELIGIOUS[0])
+    fifth = F.coalesce(*(F.when(has(parts), label) for parts, label in FIFTH), F.lit("All Categories"))
     return F.coalesce(
         F.when(ordinal("1", "st"), "EB-1: Priority Workers"),
         F.when(ordinal("2", "nd"), "EB-2: Professionals with Advanced Degrees"),
-        F.when(ordinal("3", "rd"), F.when(other, "EB-3: Other Workers").otherwise("EB-3: Skilled Workers, Professionals")),
-        F.when(ordinal("4", "th"), F.when(religious, "EB-4: Religious Workers").otherwise("EB-4: Special Immigrants")),
-        F.when(clean.contains("5") | has("eb-5"), F.concat(F.lit("EB-5: "), fifth)),
-        F.when(other, "EB-3: Other Workers"),
-        F.when(religious, "EB-4: Religious Workers"),
-        F.when(has("schedule a"), "Schedule A Workers"),
-        F.when(has("iraqi", "afghani"), "Iraqi & Afghani Translators"),
+        F.when(ordinal("3", "rd"), F.when(other, OTHER_WORKERS[1]).otherwise("EB-3: Skilled Workers, Professionals")),
+        F.when(ordinal("4", "th"), F.when(religious, RELIGIOUS[1]).otherwise("EB-4: Special Immigrants")),
+        F.when(clean.contains("5") | has(("eb-5",)), F.concat(F.lit("EB-5: "), fifth)),
+        *(F.when(has(parts), label) for parts, label in (OTHER_WORKERS, RELIGIOUS, *UNNUMBERED)),
         clean,
     )
 
@@ -107,9 +122,11 @@ def cell_date(cell: Column) -> Column:
     return F.when(F.year(found) >= 2069, F.add_months(found, -1200)).otherwise(found)
 
 
-def cutoff_columns(value: Column, published: Column) -> dict[str, Column]:
-    """cutoff_value, cutoff_date, is_current, is_unavailable of a cell: a date (as in a page or ISO), C, U or other text."""
-    parsed = F.coalesce(cell_date(value), F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(value, "yyyy-MM-dd")))
+def cutoff_columns(value: Column, published: Column, iso: bool = False) -> dict[str, Column]:
+    """cutoff_value, cutoff_date, is_current, is_unavailable of a cell: a date (as in a page; iso: or YYYY-MM-DD), C, U or other text."""
+    parsed = cell_date(value)
+    if iso:
+        parsed = F.coalesce(parsed, F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(value, "yyyy-MM-dd")))
     return {
         "cutoff_value": F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), value),
         "cutoff_date": F.when(value == "C", published).otherwise(parsed),
@@ -133,6 +150,18 @@ def submission_date(text: Column, today: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "M/d/yyyy")), F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d")), today)
 
 
+def masked_date(typed: Column) -> Column:
+    """Digits as they are typed, with slashes after month and day; at most eight."""
+    digits = F.regexp_replace(typed, r"\D", "")
+    return F.concat_ws("/", *(F.nullif(F.substring(digits, at, n), F.lit("")) for at, n in ((1, 2), (3, 2), (5, 4))))
+
+
+def is_valid_date(text: Column) -> Column:
+    """Whether a typed date is empty, or m/d/y of a real day in the accepted years."""
+    day = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "M/d/yyyy"))
+    return (F.coalesce(text, F.lit("")) == "") | F.coalesce(F.year(day).between(*YEARS), F.lit(False))
+
+
 def bulletin_url(url: Column, published: Column) -> Column:
     """The stored URL, or that of the month: the folder is the fiscal year, which begins in October."""
     fiscal = F.year(published) + F.when(F.month(published) >= 10, 1).otherwise(0)

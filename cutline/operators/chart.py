@@ -1,4 +1,4 @@
-"""The traces of a chart, as rows."""
+"""The traces of charts, as rows. A chart is one category, country and action; its classes are its series."""
 
 from __future__ import annotations
 
@@ -9,41 +9,49 @@ from pyspark.sql import functions as F
 
 # The colours of the classes, in order.
 PALETTE = ["#0d6efd", "#198754", "#dc3545", "#ffc107", "#6f42c1", "#fd7e14", "#20c997", "#e83e8c"]
+CHART = ["visa_category", "country", "action_type"]
 
 
-def trace_index(points: DataFrame, projected: DataFrame) -> DataFrame:
-    """(visa_class_label, first_trace, has_projection, color, last_date, last_cutoff, estimated_date) of the classes of one chart, in order of their labels."""
-    ends = points.groupBy("visa_class_label").agg(F.min("publication_date").alias("first_date"), F.max("publication_date").alias("last_date"), F.max_by("cutoff_date", F.when(F.col("cutoff_date").isNotNull(), F.col("publication_date"))).alias("last_cutoff"))
-    rows = ends.join(projected.select("visa_class_label", "estimated_date"), "visa_class_label")
-    rows = rows.withColumn("has_projection", F.col("estimated_date").isNotNull() & F.col("last_cutoff").isNotNull())
-    order = Window.orderBy("visa_class_label")  # the classes of one chart are at most the vocabulary
-    width = F.lit(1) + F.col("has_projection").cast("int")
-    place = F.row_number().over(order) - 1
-    return rows.withColumns({"first_trace": (F.sum(width).over(order) - width).cast("int"), "color": F.element_at(F.array(*map(F.lit, PALETTE)), (place % len(PALETTE) + 1).cast("int")), "place": place})
+def trace_index(series: DataFrame) -> DataFrame:
+    """The series (rows of projected_series) with has_projection, width (traces of a class), first_trace, place and color, in order of their labels within each chart."""
+    rows = series.withColumn("has_projection", F.col("estimated_date").isNotNull() & F.col("last_cutoff").isNotNull()).withColumn("width", F.col("has_projection").cast("int") + 1)
+    order = Window.partitionBy(*CHART).orderBy("visa_class_label")
+    rows = rows.withColumns({"first_trace": (F.sum("width").over(order) - F.col("width")).cast("int"), "place": F.row_number().over(order) - 1})
+    return rows.withColumn("color", F.element_at(F.array(*map(F.lit, PALETTE)), (F.col("place") % len(PALETTE) + 1).cast("int")))
 
 
-def traces(points: DataFrame, projected: DataFrame, submission: str | datetime.date) -> DataFrame:
-    """(trace_idx, kind, visa_class_label, x, y, color): history of each class, its projection if there is one, and the line of the date itself."""
-    index, sub = trace_index(points, projected), F.lit(str(submission)).cast("date")
-    history = points.join(index.select("visa_class_label", "first_trace", "color"), "visa_class_label").select(F.col("first_trace").alias("trace_idx"), F.lit("history").alias("kind"), "visa_class_label", F.col("publication_date").alias("x"), F.col("cutoff_date").alias("y"), "color")
-    ends = F.explode(F.array(F.struct(F.col("last_date").alias("x"), F.col("last_cutoff").alias("y")), F.struct(F.col("estimated_date").alias("x"), sub.alias("y")))).alias("p")
-    ahead = index.where("has_projection").select((F.col("first_trace") + 1).alias("trace_idx"), F.lit("projection").alias("kind"), "visa_class_label", ends, "color").select("trace_idx", "kind", "visa_class_label", "p.x", "p.y", "color")
-    return history.union(ahead).union(priority_line(index, sub))
+def traces(series: DataFrame, submission: str | datetime.date) -> DataFrame:
+    """(chart's columns, trace_idx, kind, visa_class_label, x, y, color): history of each class, its projection if there is one, and the line of the date itself.
 
+    The line goes from the first class's first month to the furthest estimate (or that class's last
+    month). All rows of a class are made from its one row, so nothing is joined.
+    """
+    sub, whole = F.lit(str(submission)).cast("date"), Window.partitionBy(*CHART)
+    rows = trace_index(series)
+    rows = rows.withColumns({"line_trace": F.sum("width").over(whole).cast("int"), "furthest": F.max(F.when(F.col("has_projection"), F.col("estimated_date"))).over(whole)})
+    last = F.element_at("points", -1)["publication_date"]
 
-def priority_line(index: DataFrame, sub) -> DataFrame:
-    """From the first class's first month to the furthest estimate (or that class's last month), at the date itself."""
-    line = index.agg(
-        F.sum(F.lit(1) + F.col("has_projection").cast("int")).cast("int").alias("trace_idx"),
-        F.min_by("first_date", "place").alias("a"),
-        F.coalesce(F.max(F.when(F.col("has_projection"), F.col("estimated_date"))), F.min_by("last_date", "place")).alias("b"),
-    ).where("trace_idx is not null")
-    return line.select("trace_idx", F.lit("priority").alias("kind"), F.lit(None).cast("string").alias("visa_class_label"), F.explode(F.array("a", "b")).alias("x"), sub.alias("y"), F.lit("red").alias("color"))
+    def row(trace, kind: str, x, y, color=F.col("color"), label=F.col("visa_class_label")):
+        return F.struct(trace.alias("trace_idx"), F.lit(kind).alias("kind"), label.alias("visa_class_label"), x.alias("x"), y.alias("y"), color.alias("color"))
+
+    def line(x):
+        return row(F.col("line_trace"), "priority", x, sub, F.lit("red"), F.lit(None).cast("string"))
+
+    history = F.transform("points", lambda p: row(F.col("first_trace"), "history", p["publication_date"], p["cutoff_date"]))
+    ahead = F.array(*(row(F.col("first_trace") + 1, "projection", x, y) for x, y in ((last, F.col("last_cutoff")), (F.col("estimated_date"), sub))))
+    lines = F.array(line(F.element_at("points", 1)["publication_date"]), line(F.coalesce("furthest", last)))
+    every = F.concat(history, F.when(F.col("has_projection"), ahead).otherwise(F.array()), F.when(F.col("place") == 0, lines).otherwise(F.array()))
+    return rows.select(*CHART, F.explode(every).alias("t")).select(*CHART, "t.*")
+
+
+def shown(rows: DataFrame, classes: list[str]) -> DataFrame:
+    """Traces of the chosen classes, and the priority line."""
+    return rows.where(F.col("visa_class_label").isin(*classes) | (F.col("kind") == "priority"))
 
 
 def visible_range(rows: DataFrame) -> DataFrame:
-    """x and y ranges, in milliseconds, of all traces but the priority line, widened by 5 percent."""
+    """x and y ranges of each chart, in milliseconds, of all traces but the priority line, widened by 5 percent."""
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp")).cast("double")
-    r = rows.where("kind <> 'priority'").agg(F.min(ms("x")).alias("a"), F.max(ms("x")).alias("b"), F.min(ms("y")).alias("c"), F.max(ms("y")).alias("d"))
+    r = rows.where("kind <> 'priority'").groupBy(*CHART).agg(F.min(ms("x")).alias("a"), F.max(ms("x")).alias("b"), F.min(ms("y")).alias("c"), F.max(ms("y")).alias("d"))
     wide = lambda low, high: ((F.col(high) - F.col(low)) * 0.05)
-    return r.select((F.col("a") - wide("a", "b")).alias("x_min"), (F.col("b") + wide("a", "b")).alias("x_max"), (F.col("c") - wide("c", "d")).alias("y_min"), (F.col("d") + wide("c", "d")).alias("y_max"))
+    return r.select(*CHART, (F.col("a") - wide("a", "b")).alias("x_min"), (F.col("b") + wide("a", "b")).alias("x_max"), (F.col("c") - wide("c", "d")).alias("y_min"), (F.col("d") + wide("c", "d")).alias("y_max"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutline.functions.vocabulary import COUNTRIES, employment_class
+from cutline.functions.vocabulary import CATEGORIES, COUNTRIES, DESCRIPTION, LICENSE, TITLE, TITLE_OF_ALL, employment_class, lookup
 
 
 def summary_bulletins(facts: DataFrame, months: DataFrame) -> DataFrame:
@@ -40,8 +40,13 @@ def recent_records(facts: DataFrame, months: DataFrame) -> DataFrame:
 
 
 def point_query(facts: DataFrame, months: DataFrame, search: str = "f1 china") -> DataFrame:
-    """The latest 20 cutoffs of `class country`; dates where there are some, else the value; a mark for current ones."""
+    """The latest 20 cutoffs of `class country`; dates where there are some, else the value; a mark for current ones.
+
+    The class is the first word, in upper case; the other words, in lower case, are the country's code. Fewer than two words are a ValueError.
+    """
     parts = search.upper().split()
+    if len(parts) < 2:
+        raise ValueError("search for a class and a country, as in 'F1 China'")
     country = " ".join(parts[1:]).lower()
     rows = facts.where((F.col("visa_class") == parts[0]) & (F.col("country") == country)).join(months.select("publication_date"), "publication_date")
     shown = F.coalesce(F.date_format("cutoff_date", "yyyy-MM-dd"), "cutoff_value")
@@ -80,12 +85,58 @@ def sitemap_urls(facts: DataFrame, months: DataFrame, base: str = "https://examp
     return spark.createDataFrame([(f"{base}/{x}",) for x in ("", "faq/", "about/", "contact/")], "url string").unionByName(made)
 
 
-def seo_metadata(facts: DataFrame, months: DataFrame) -> DataFrame:
-    """A title for the page of each category and country."""
+def seo_metadata(facts: DataFrame, months: DataFrame, today: str = "2025-12-01", site: str = "Cutline", base: str = "https://example.org") -> DataFrame:
+    """Title, description and structured data (JSON) of the page of each category and country; an unknown country is its own label."""
+    day = F.lit(today).cast("date")
+    country = F.coalesce(lookup(F.col("country"), COUNTRIES), F.col("country"))
     rows = facts.select("visa_category", "country").distinct()
-    category = F.when(F.col("visa_category") == "family_sponsored", "Family-Sponsored").otherwise("Employment-Based")
-    label = F.create_map(*(F.lit(x) for p in COUNTRIES.items() for x in p))[F.col("country")]
-    return rows.select("visa_category", "country", F.concat(category, F.lit(" cutoff dates for "), label).alias("title"))
+    rows = rows.withColumns({"category_display": lookup(F.col("visa_category"), CATEGORIES), "country_display": country})
+    general = (F.col("country") == "all") & (F.col("visa_category") == "family_sponsored")
+    title = F.when(general, F.format_string(TITLE_OF_ALL, F.year(day))).otherwise(F.format_string(TITLE, "country_display", "category_display", F.date_format(day, "MMMM"), F.year(day)))
+    rows = rows.withColumns({"page_title": title, "page_description": F.format_string(DESCRIPTION, "country_display", "category_display")})
+    text = F.lit
+    data = F.struct(
+        text("https://schema.org").alias("@context"),
+        text("Dataset").alias("@type"),
+        F.col("page_title").alias("name"),
+        F.col("page_description").alias("description"),
+        F.struct(text("Organization").alias("@type"), text(site).alias("name"), text(base).alias("url")).alias("creator"),
+        F.concat(text("visa bulletin, "), "country_display", text(", "), "category_display", text(", priority date, immigration, green card")).alias("keywords"),
+        day.cast("string").alias("dateModified"),
+        F.lit(True).alias("isAccessibleForFree"),
+        text(LICENSE).alias("license"),
+        F.struct(text("DataDownload").alias("@type"), F.concat(text(base + "/"), F.replace("visa_category", text("_"), text("-")), text("/"), "country", text("/")).alias("contentUrl"), text("text/html").alias("encodingFormat")).alias("distribution"),
+    )
+    return rows.select("visa_category", "country", "page_title", "page_description", F.to_json(data).alias("structured_data"))
+
+
+def status_lines(facts: DataFrame, months: DataFrame) -> DataFrame:
+    """The status distribution as lines of a report: name, count with thousands, percent."""
+    rows = status_distribution(facts, months)
+    line = lambda name, c: F.concat(F.rpad(F.lit(name), 19, " "), F.format_string("%,6d records (%.1f%%)", c, 100.0 * F.col(c) / F.col("total")))
+    return rows.select(F.posexplode(F.array(line("Current (C):", "current"), line("Unavailable (U):", "unavailable"), line("With dates:", "dated"))).alias("place", "line"))
+
+
+def category_lines(facts: DataFrame, months: DataFrame) -> DataFrame:
+    return summary_by_category(facts, months).select(F.format_string("%-20s: %,6d records", "visa_category", "n").alias("line"))
+
+
+def bulletin_lines(facts: DataFrame, months: DataFrame) -> DataFrame:
+    return bulletin_counts(facts, months).select(F.format_string("%-15s %-,10d", F.col("publication_date").cast("string"), "n").alias("line"))
+
+
+def point_heading(facts: DataFrame, months: DataFrame, search: str = "f1 el salvador") -> DataFrame:
+    """The heading of a point query: the class, and the country in capitalised words."""
+    parts = search.upper().split()
+    return facts.sparkSession.createDataFrame([(parts[0], " ".join(parts[1:]))], "c string, k string").select(F.concat("c", F.lit(" - "), F.initcap("k"), F.lit(" (Last 20 bulletins)")).alias("heading"))
+
+
+def preview(months: DataFrame, most: int = 5) -> DataFrame:
+    """(place, line): the newest months by name, then how many more there are."""
+    names = months.orderBy(F.desc("publication_date")).limit(most)
+    names = names.select(F.row_number().over(Window.orderBy(F.desc("publication_date"))).alias("place"), F.date_format("publication_date", "MMMM yyyy").alias("line"))  # of `most` rows
+    more = months.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit(most + 1).alias("place"), F.format_string("... and %d more", F.col("n") - most).alias("line"))
+    return names.unionByName(more)
 
 
-REPORTS = {f.__name__: f for f in (summary_bulletins, summary_total, summary_by_category, status_distribution, bulletin_counts, recent_records, point_query, distinct_classes, dedup_employment_classes, column_widths, refresh_summary, sitemap_urls, seo_metadata)}
+REPORTS = {f.__name__: f for f in (summary_bulletins, summary_total, summary_by_category, status_distribution, bulletin_counts, recent_records, point_query, distinct_classes, dedup_employment_classes, column_widths, refresh_summary, sitemap_urls, seo_metadata, status_lines, category_lines, bulletin_lines, point_heading)}

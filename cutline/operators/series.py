@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutline.functions.vocabulary import FAMILY_LABELS, add_months, employment_class, family_class, lookup, months_between
+from cutline.functions.vocabulary import FAMILY_LABELS, add_months, bulletin_url, employment_class, family_class, lookup, months_between
 
 SERIES = ["visa_category", "country", "action_type", "visa_class_label"]
+PROJECTION = ["status", "message", "estimated_date", "months_to_wait", "avg_progress_days_per_month", "method"]
 EPOCH = datetime.date(2000, 1, 1)
+# The messages of a projection.
+REACHED = "Your application date has already been reached!"
+REACHED_BY_TREND = "Your application date has already been reached (based on historical trend)!"
+NO_MOVEMENT = "No forward progress detected in recent months."
+ESTIMATE = ("Estimated processing in ", " months", " (based on long-term trend)")
 
 
 def display(rows: DataFrame) -> DataFrame:
@@ -33,11 +39,22 @@ def points(cutoffs: DataFrame) -> DataFrame:
     return rows.select(*SERIES, "label_key", "publication_date", F.col("p.cutoff_date").alias("cutoff_date"), F.col("p.visa_class").alias("raw_class"))
 
 
-def series(points: DataFrame) -> DataFrame:
-    """One row per series: its class and the points in order of their months."""
+def with_urls(points: DataFrame, bulletins: DataFrame) -> DataFrame:
+    """Points with the url of their month's bulletin, stored or made from the month."""
+    stored = bulletins.groupBy("publication_date").agg(F.min("url").alias("url"))
+    return points.join(stored, "publication_date", "left").withColumn("url", bulletin_url(F.col("url"), F.col("publication_date")))
+
+
+def _gathered(points: DataFrame) -> list[Column]:
+    """Aggregates of a series (a point a month): its class, and the points in order of their months."""
+    parts = [c for c in ("publication_date", "cutoff_date", "url") if c in points.columns]
     employment = F.col("visa_category") == "employment_based"
-    rows = points.groupBy(*SERIES).agg(F.min(F.when(employment, F.col("raw_class")).otherwise(F.col("label_key"))).alias("visa_class"), F.array_sort(F.collect_list(F.struct("publication_date", "cutoff_date"))).alias("points"))
-    return rows.select(*SERIES, "visa_class", "points")
+    return [F.min(F.when(employment, F.col("raw_class")).otherwise(F.col("label_key"))).alias("visa_class"), F.array_sort(F.collect_list(F.struct(*parts))).alias("points")]
+
+
+def series(points: DataFrame) -> DataFrame:
+    """One row per series: its class and the points (with urls if they have them) in order of their months."""
+    return points.groupBy(*SERIES).agg(*_gathered(points)).select(*SERIES, "visa_class", "points")
 
 
 def projection(points: DataFrame, submission: str | datetime.date) -> DataFrame:
@@ -46,22 +63,24 @@ def projection(points: DataFrame, submission: str | datetime.date) -> DataFrame:
     The recent rate comes from the last 12 points that have a cutoff; without progress there, from a
     regression over all of them. Estimated dates beyond year 9999 are null.
     """
+    return projected_series(points, submission).select(*SERIES, *PROJECTION)
+
+
+def projected_series(points: DataFrame, submission: str | datetime.date) -> DataFrame:
+    """One row per series: visa_class, points, last_cutoff and the columns of projection, all from one aggregate."""
     sub = F.lit(str(submission)).cast("date")
-    has = F.col("cutoff_date").isNotNull()
-    order = Window.partitionBy(*SERIES).orderBy(F.col("cutoff_date").isNull(), F.desc("publication_date"))
     x, y = F.datediff("publication_date", F.lit(EPOCH)).cast("long"), F.datediff("cutoff_date", F.lit(EPOCH)).cast("long")
-    recent = has & (F.col("rn") <= 12)
-    both = F.struct("publication_date", "cutoff_date")
-    s = points.withColumn("rn", F.row_number().over(order)).groupBy(*SERIES).agg(
+    s = points.groupBy(*SERIES).agg(
+        *_gathered(points),
         F.count("*").alias("n_dates"),
         F.count("cutoff_date").alias("n"),
-        F.min(F.when(recent, both)).alias("a"),
-        F.max(F.when(recent, both)).alias("z"),
-        F.sum(F.when(has, x)).alias("sx"),
+        F.sum(F.when(F.col("cutoff_date").isNotNull(), x)).alias("sx"),
         F.sum(y).alias("sy"),
         F.sum(x * y).alias("sxy"),
-        F.sum(F.when(has, x * x)).alias("sxx"),
+        F.sum(F.when(F.col("cutoff_date").isNotNull(), x * x)).alias("sxx"),
     )
+    s = s.withColumn("recent", F.filter("points", lambda p: p["cutoff_date"].isNotNull()))
+    s = s.withColumns({"a": F.get("recent", F.greatest(F.lit(0), F.col("n") - 12).cast("int")), "z": F.try_element_at("recent", F.lit(-1))}).drop("recent")
     months = months_between(F.col("a.publication_date"), F.col("z.publication_date"))
     s = s.withColumns({
         "last_pub": F.col("z.publication_date"),
@@ -93,16 +112,19 @@ def projection(points: DataFrame, submission: str | datetime.date) -> DataFrame:
     case = lambda **by: F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in by.items()))
     near = F.when(F.col("wait") < 95_000, add_months(F.col("last_pub"), F.col("wait")))
     end = lambda d: F.when(d <= F.lit(datetime.date(9999, 12, 31)), d)
-    text = lambda w, tail: F.concat(F.lit("Estimated processing in "), w.cast("string"), F.lit(" months" + tail))
+    text = lambda w, tail: F.concat(F.lit(ESTIMATE[0]), w.cast("string"), F.lit(ESTIMATE[1] + tail))
     return s.select(
         *SERIES,
+        "visa_class",
+        "points",
+        F.col("last_cut").alias("last_cutoff"),
         F.when(F.col("kind") == "trend_current", "current").otherwise(F.col("kind")).alias("status"),
         case(
-            current=F.lit("Your application date has already been reached!"),
-            trend_current=F.lit("Your application date has already been reached (based on historical trend)!"),
-            no_movement=F.lit("No forward progress detected in recent months."),
+            current=F.lit(REACHED),
+            trend_current=F.lit(REACHED_BY_TREND),
+            no_movement=F.lit(NO_MOVEMENT),
             projected=text(F.col("wait"), ""),
-            projected_historical=text(F.col("hist_wait"), " (based on long-term trend)"),
+            projected_historical=text(F.col("hist_wait"), ESTIMATE[2]),
         ).alias("message"),
         case(projected=end(near), projected_historical=end(F.col("hist"))).alias("estimated_date"),
         case(current=F.lit(0), trend_current=F.lit(0), projected=F.col("wait"), projected_historical=F.col("hist_wait")).cast("int").alias("months_to_wait"),

@@ -27,9 +27,8 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.points(cutoffs(spark, sf_dir))
 
 
-def _chart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    points = series.points(cutoffs(spark, sf_dir).where(ONE))
-    return points, series.projection(points, SUBMISSION)
+def _chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.projected_series(series.points(cutoffs(spark, sf_dir).where(ONE)), SUBMISSION)
 
 
 def projection(spark, sf_dir):
@@ -56,7 +55,7 @@ def series_join(spark, sf_dir):
 
 def upsert_cutoffs(spark, sf_dir):
     every = cells(spark, sf_dir)
-    typed = every.select(*bindings.KEY, "row_ix", *(c.alias(n) for n, c in v.cutoff_columns(F.col("value"), F.col("publication_date")).items()))
+    typed = every.select(*bindings.KEY, "row_ix", *(c.alias(n) for n, c in v.cutoff_columns(F.col("value"), F.col("publication_date"), iso=True).items()))
     old = store.upsert_cutoffs(typed.select(*store.FACT).limit(0), typed.where("row_ix % 4 <> 0"), ["row_ix"])
     return store.upsert_cutoffs(old, typed.where("row_ix % 4 = 0"), ["row_ix"])
 
@@ -71,28 +70,51 @@ def new_bulletins(spark, sf_dir):
     return store.new_bulletins(months, months.where("month(publication_date) <= 6")).select("publication_date", "url")
 
 
+def new_bulletins_preview(spark, sf_dir):
+    return reports.preview(new_bulletins(spark, sf_dir))
+
+
+def series_with_projection(spark, sf_dir):
+    """The points of every series with their urls, and the series' projection; ordered by label and month."""
+    rows = series.projected_series(series.with_urls(_points(spark, sf_dir), bulletins(spark, sf_dir)), SUBMISSION)
+    rows = rows.select(*series.SERIES, "visa_class", *series.PROJECTION, F.explode("points").alias("p")).select(*series.SERIES, "visa_class", *series.PROJECTION, "p.*")
+    return rows.orderBy(*series.SERIES, "publication_date")
+
+
 def trace_index(spark, sf_dir):
-    return chart.trace_index(*_chart(spark, sf_dir)).select("visa_class_label", "first_trace", "has_projection", "color")
+    return chart.trace_index(_chart(spark, sf_dir)).select("visa_class_label", "first_trace", "has_projection", "color")
 
 
 def chart_traces(spark, sf_dir):
-    return chart.traces(*_chart(spark, sf_dir), SUBMISSION)
+    return chart.traces(_chart(spark, sf_dir), SUBMISSION).drop(*chart.CHART)
+
+
+def all_chart_traces(spark, sf_dir):
+    return chart.traces(series.projected_series(_points(spark, sf_dir), SUBMISSION), SUBMISSION).select(*chart.CHART, "trace_idx", "kind", "visa_class_label", "x", "y", "color")
+
+
+def shown_traces(spark, sf_dir):
+    return chart.shown(chart_traces(spark, sf_dir), ["EB-1: Priority Workers", "EB-3: Other Workers"])
 
 
 def visible_range(spark, sf_dir):
-    return chart.visible_range(chart_traces(spark, sf_dir))
+    return chart.visible_range(chart.traces(_chart(spark, sf_dir), SUBMISSION)).drop(*chart.CHART)
 
 
 def priority_line(spark, sf_dir):
-    return chart.priority_line(chart.trace_index(*_chart(spark, sf_dir)), F.lit(SUBMISSION).cast("date")).select("x", "y")
+    return chart_traces(spark, sf_dir).where("kind = 'priority'").select("x", "y")
 
 
 def link_discovery(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.links(table, "https://example.org", contains="th", ends="ed").select("url")
+    return pages.links(table, "https://example.org", contains="th", ends="e")
 
 
-NAMES = [(x,) for x in ("1st", "1 st", "2nd", "3rd", "3rd Other Workers", "4th", "4th Religious", "5th Set Aside: (Rural - 20%)", "5th Set Aside: (Rural: NR, RR - 20%)", "5th Set Aside: (High Unemployment - 10%)", "5th Set Aside: (Infrastructure - 2%)", "Infrastructure (2%, including RI)", "5th Unreserved (C5, T5, and all others)", "5th Non-Regional Center (C5 and T5)", "5th Targeted Employ-ment Areas", "5th Pilot Programs", "EB5", "EB1", "Other Workers", "Certain RELIGIOUS Workers", "Schedule A Workers", "Iraqi & Afghani Translators", "Foo  Bar", "A - B", "C", "current 5")]
+def index_links(spark, sf_dir):
+    return pages.links(literals(spark, [(INDEX,)], "html string"), "https://example.org")
+
+
+NAMES = [(x,) for x in ("1st", "1 st", "2nd", "3rd", "3rd Other Workers", "4th", "4th Religious", "5th Set Aside: (Rural - 20%)", "5th Set Aside: (Rural: NR, RR - 20%)", "5th Set Aside: (High Unemployment - 10%)", "5th Set Aside: Infrastructure (2%, including RI)", "5th Set Aside: (Infrastructure - 2%)", "RURAL (20%)", "High Unemployment (10%, including NH, RH)", "Unknown Visa Class XYZ", "EB-1", "Infrastructure (2%, including RI)", "5th Unreserved (C5, T5, and all others)", "5th Non-Regional Center (C5 and T5)", "5th Targeted Employ-ment Areas", "5th Pilot Programs", "EB5", "EB1", "Other Workers", "Certain RELIGIOUS Workers", "Schedule A Workers", "Iraqi & Afghani Translators", "Foo  Bar", "A - B", "C", "current 5")]
 HEADERS = [(x,) for x in ("CHINA-mainland born", "CHINA", "INDIA", " india ", "MEXICO", "Philippines", "EL SALVADOR GUATEMALA HONDURAS", "All Chargeability Areas Except Those Listed", "All Chargeability  Areas\nExcept Those Listed", "ALL AREAS", "DOMINICAN REPUBLIC", "")]
 CELLS = [(x,) for x in ("01DEC14", "01APR01", "C", "U", "01DEC98", "01JAN69", "01JAN68", "01dec14", "1DEC14", "31FEB20", "01SEPT20", "", "NA", "2016-11-08")]
 PAIRS = [("date:2024-01-01", "date:2024-01-31"), ("date:2024-01-01", "date:2024-02-01"), ("date:2023-11-01", "date:2024-02-01"), ("date:2024-03-15", "date:2023-12-31")]
@@ -133,24 +155,40 @@ def normalize_text(spark, sf_dir):
     return literals(spark, texts, "line string").select("line", v.normalize(F.col("line")).alias("clean"))
 
 
+def masked_dates(spark, sf_dir):
+    typed = F.col("typed")
+    return literals(spark, TYPED, "typed string").select("typed", v.masked_date(typed).alias("masked"), v.is_valid_date(typed).alias("valid"))
+
+
 def unpivot_cells(spark, sf_dir):
-    return _synthetic(spark)[1].select(*store.FACT)
+    return pages.unpivot(_synthetic(spark)).select(*store.FACT)
 
 
 def table_extract(spark, sf_dir):
-    return _synthetic(spark)[0].select("url", "table_ix", "title", "row_ix", F.array_join("cells", "|").alias("cells"))
+    return _synthetic(spark).where("table_ix is not null").select("url", "publication_date", "table_ix", "title", "row_ix", F.array_join("cells", "|").alias("cells"))
+
+
+def page_outcomes(spark, sf_dir):
+    return pages.outcomes(_synthetic(spark))
+
+
+def page_counters(spark, sf_dir):
+    return pages.run_counters(pages.outcomes(_synthetic(spark)))
 
 
+TYPED = [(x,) for x in ("01/15/2024", "1/5/2024", "01152024", "0115", "1", "13/01/2024", "02/30/2024", "02/29/2024", "01/32/2024", "12/31/1989", "01/01/2031", "abc", "", "2024-01-01")]
+INDEX = '<a class="x" href="/a/visa-bulletin-for-march-2023.html">x</a><a href="https://example.org/a/visa-bulletin-for-march-2023.html">x</a><a href=\'b/visa-bulletin-for-December-2024.html\'>x</a><a href="/about.html">x</a><a href="/a/visa-bulletin-for-nothing.html">x</a>'
 MODERN = "<p>x</p><u>FINAL ACTION DATES FOR FAMILY-SPONSORED PREFERENCE CASES</u><table><tr><td>Family- Sponsored</td><td>All Chargeability Areas Except Those Listed</td><td>CHINA-mainland born</td><td>DOMINICAN REPUBLIC</td></tr><tr><td>F1</td><td>01DEC14</td><td>C</td><td>U</td></tr><tr><td>F2A</td><td>U</td></tr></table><u>Other</u><table><tr><td>a</td><td>b</td></tr></table>"
 LEGACY = "<table><tr><td>Family</td><td>All Chargeability Areas Except Those Listed</td><td>INDIA</td></tr><tr><td>1<sup>st</sup></td><td>01APR01</td><td>NA</td></tr></table>"
 
 
-def _synthetic(spark) -> tuple[DataFrame, DataFrame]:
-    made = literals(spark, [("a/visa-bulletin-for-march-2023.html", MODERN, "date:2023-03-01"), ("b/visa-bulletin-for-March-2003.html", LEGACY, "date:2003-03-01")], "url string, content string, publication_date date")
-    rows = pages.tables(made)
-    return rows, pages.unpivot(rows, made)
+def _synthetic(spark) -> DataFrame:
+    """Tables of three pages and of a copy of the first, which has the same url and month."""
+    march = ("a/visa-bulletin-for-march-2023.html", MODERN, "date:2023-03-01")
+    made = [march, ("b/visa-bulletin-for-March-2003.html", LEGACY, "date:2003-03-01"), march, ("c/visa-bulletin-for-May-2004.html", "<p>no table</p>", "date:2004-05-01")]
+    return pages.tables(literals(spark, made, "url string, content string, publication_date date"))
 
 
-QUERIES = {f.__name__: f for f in (projection, class_points, class_series, cutoff_facts, series_join, upsert_cutoffs, upsert_bulletins, new_bulletins, trace_index, chart_traces, visible_range, priority_line, link_discovery, employment_class, family_class, country_from_header, cell_dates, month_math, submission_dates, bulletin_urls, normalize_text, unpivot_cells, table_extract)}
+QUERIES = {f.__name__: f for f in (projection, class_points, class_series, cutoff_facts, series_join, upsert_cutoffs, upsert_bulletins, new_bulletins, new_bulletins_preview, series_with_projection, trace_index, chart_traces, all_chart_traces, shown_traces, visible_range, priority_line, link_discovery, index_links, employment_class, family_class, country_from_header, cell_dates, month_math, submission_dates, bulletin_urls, normalize_text, masked_dates, unpivot_cells, table_extract, page_outcomes, page_counters)}
 QUERIES |= {name: (lambda spark, sf_dir, f=f: f(cutoffs(spark, sf_dir), bulletins(spark, sf_dir))) for name, f in reports.REPORTS.items()}
 ORACLE_SQL = sql.queries(SUBMISSION, ONE)

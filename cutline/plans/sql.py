@@ -139,10 +139,64 @@ def traces(sub: str) -> str:
 )"""
 
 
+def every_traces(sub: str) -> str:
+    """The traces of all charts at once."""
+    chart = "visa_category, country, action_type"
+    made = traces(sub).replace("(ORDER BY visa_class_label)", f"(PARTITION BY {chart} ORDER BY visa_class_label)").replace("USING (visa_class_label)", f"USING ({chart}, visa_class_label)")
+    made = made.replace("GROUP BY visa_class_label", f"GROUP BY {chart}, visa_class_label").replace("SELECT visa_class_label, min(publication_date)", f"SELECT {chart}, visa_class_label, min(publication_date)")
+    made = made.replace("FROM idx HAVING count(*) > 0", f"FROM idx GROUP BY {chart}").replace("SELECT CAST(sum(1 + CAST(has_projection AS INT)) AS INT) AS trace_idx", f"SELECT {chart}, CAST(sum(1 + CAST(has_projection AS INT)) AS INT) AS trace_idx")
+    for old in ("SELECT first_trace AS", "SELECT first_trace + 1", "SELECT trace_idx, 'priority'"):
+        made = made.replace(old, old.replace("SELECT ", f"SELECT {chart}, "))
+    return made
+
+
 def values(columns: str, rows: list[str]) -> str:
     return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) AS t({columns})"
 
 
+#: What texts of pages become.
+EMPLOYMENT_NAMES = {
+    "EB-1: Priority Workers": ["1st", "1 st"],
+    "EB-2: Professionals with Advanced Degrees": ["2nd"],
+    "EB-3: Skilled Workers, Professionals": ["3rd"],
+    "EB-3: Other Workers": ["3rd Other Workers", "Other Workers"],
+    "EB-4: Special Immigrants": ["4th"],
+    "EB-4: Religious Workers": ["4th Religious", "Certain RELIGIOUS Workers"],
+    "EB-5: Rural (20%)": ["5th Set Aside: (Rural - 20%)", "5th Set Aside: (Rural: NR, RR - 20%)", "current 5"],
+    "EB-5: High Unemployment (10%)": ["5th Set Aside: (High Unemployment - 10%)"],
+    "EB-5: Infrastructure (2%)": ["5th Set Aside: (Infrastructure - 2%)", "5th Set Aside: Infrastructure (2%, including RI)"],
+    "EB-5: Unreserved": ["5th Unreserved (C5, T5, and all others)"],
+    "EB-5: Non-Regional Center": ["5th Non-Regional Center (C5 and T5)"],
+    "EB-5: Targeted Employment Areas / Regional Centers": ["5th Targeted Employ-ment Areas"],
+    "EB-5: Pilot Programs": ["5th Pilot Programs"],
+    "EB-5: All Categories": ["EB5"],
+    "Schedule A Workers": ["Schedule A Workers"],
+    "Iraqi & Afghani Translators": ["Iraqi & Afghani Translators"],
+    "Foo Bar": ["Foo  Bar"],
+    "A-B": ["A - B"],
+    **{x: [x] for x in ("C", "EB1", "EB-1", "RURAL (20%)", "High Unemployment (10%, including NH, RH)", "Infrastructure (2%, including RI)", "Unknown Visa Class XYZ")},
+}
+COUNTRIES = {"all": "Other Countries", "china": "China (mainland born)", "india": "India", "mexico": "Mexico", "philippines": "Philippines", "el_salvador_guatemala_honduras": "El Salvador/Guatemala/Honduras"}
+_FAMILY_FINAL = "FINAL ACTION DATES FOR FAMILY-SPONSORED PREFERENCE CASES"
+_MODERN_ROWS = [f"'a/visa-bulletin-for-march-2023.html', DATE '2023-03-01', 0, '{_FAMILY_FINAL}', {i}, '{c}'" for i, c in enumerate(("Family- Sponsored|All Chargeability Areas Except Those Listed|CHINA-mainland born|DOMINICAN REPUBLIC", "F1|01DEC14|C|U", "F2A|U"))]
+_LEGACY_ROWS = [f"'b/visa-bulletin-for-March-2003.html', DATE '2003-03-01', 0, '{_FAMILY_FINAL}', {i}, '{c}'" for i, c in enumerate(("Family|All Chargeability Areas Except Those Listed|INDIA", "F1|01APR01|NA"))]
+_MODERN_CELLS = [f"DATE '2023-03-01', 'family_sponsored', '{c}', 'final_action', {rest}" for c, rest in (("F1", "'all', '2014-12-01', DATE '2014-12-01', false, false"), ("F1", "'china', 'C', DATE '2023-03-01', true, false"), ("F2A", "'all', 'U', NULL, false, true"))]
+_LEGACY_CELLS = [f"DATE '2003-03-01', 'family_sponsored', 'F1', 'final_action', {rest}" for rest in ("'all', '2001-04-01', DATE '2001-04-01', false, false", "'india', 'NA', NULL, false, false")]
+_DATED = {"01DEC14": "2014-12-01", "01APR01": "2001-04-01", "01DEC98": "1998-12-01", "01JAN69": "1969-01-01", "01JAN68": "2068-01-01", "01dec14": "2014-12-01", "1DEC14": "2014-12-01"}
+_TEXT = {
+    "employment_class": values("name, display", [f"'{x}', '{shown}'" for shown, names in EMPLOYMENT_NAMES.items() for x in names]),
+    "country_from_header": values("header, country", ["'CHINA-mainland born', 'china'", "'CHINA', NULL", "'INDIA', 'india'", "' india ', 'india'", "'MEXICO', 'mexico'", "'Philippines', 'philippines'", "'EL SALVADOR GUATEMALA HONDURAS', 'el_salvador_guatemala_honduras'", "'All Chargeability Areas Except Those Listed', 'all'", "E'All Chargeability  Areas\\nExcept Those Listed', 'all'", "'ALL AREAS', 'all'", "'DOMINICAN REPUBLIC', NULL", "'', NULL"]),
+    "cell_dates": values("cell, cutoff_value, cutoff_date, is_current, is_unavailable", [*(f"'{c}', '{d}', DATE '{d}', false, false" for c, d in _DATED.items()), "'C', 'C', DATE '2025-12-01', true, false", "'U', 'U', NULL, false, true", *(f"'{c}', '{c}', NULL, false, false" for c in ("31FEB20", "01SEPT20", "", "NA", "2016-11-08"))]),
+    "normalize_text": values("line, clean", ["'  multiple   spaces  ', 'multiple spaces'", "E'line\\nbreak\\nhere', 'line break here'", "E'tab\\ttab\\ttab', 'tab tab tab'", "'a' || chr(160) || 'b', 'a b'", "'', ''"]),
+    "masked_dates": values("typed, masked, valid", ["'01/15/2024', '01/15/2024', true", "'1/5/2024', '15/20/24', true", "'01152024', '01/15/2024', false", "'0115', '01/15', false", "'1', '1', false", "'13/01/2024', '13/01/2024', false", "'02/30/2024', '02/30/2024', false", "'02/29/2024', '02/29/2024', true", "'01/32/2024', '01/32/2024', false", "'12/31/1989', '12/31/1989', false", "'01/01/2031', '01/01/2031', false", "'abc', '', false", "'', '', true", "'2024-01-01', '20/24/0101', false"]),
+    "index_links": values("url, publication_date", ["'https://example.org/b/visa-bulletin-for-December-2024.html', DATE '2024-12-01'", "'https://example.org/a/visa-bulletin-for-march-2023.html', DATE '2023-03-01'", "'https://example.org/a/visa-bulletin-for-march-2023.html', DATE '2023-03-01'", "'https://example.org/a/visa-bulletin-for-nothing.html', NULL"]),
+    "table_extract": values("url, publication_date, table_ix, title, row_ix, cells", [*_MODERN_ROWS, *_LEGACY_ROWS, *_MODERN_ROWS]),
+    "unpivot_cells": values(FACT, [*_MODERN_CELLS, *_LEGACY_CELLS, *_MODERN_CELLS]),
+    "page_outcomes": values("url, publication_date, tables, rows, error", [f"{x}, NULL::VARCHAR" for x in ("'a/visa-bulletin-for-march-2023.html', DATE '2023-03-01', 1::BIGINT, 2::BIGINT", "'a/visa-bulletin-for-march-2023.html', DATE '2023-03-01', 1, 2", "'b/visa-bulletin-for-March-2003.html', DATE '2003-03-01', 1, 1", "'c/visa-bulletin-for-May-2004.html', DATE '2004-05-01', 0, 0")]),
+    "page_counters": "SELECT 4::BIGINT AS pages, 4::BIGINT AS succeeded, 0::BIGINT AS failed, 5::BIGINT AS rows, 0 AS exit_status",
+}
+
+
 def queries(sub: str, one: str) -> dict[str, str]:
     """By query name; the constants are those that the queries use."""
     base = f"WITH {BINDING}"
@@ -166,7 +220,16 @@ def queries(sub: str, one: str) -> dict[str, str]:
         "chart_traces": f"{chart} SELECT trace_idx, kind, visa_class_label, x, y, color FROM traces",
         "priority_line": f"{chart} SELECT x, y FROM traces WHERE kind = 'priority'",
         "visible_range": f"{chart}, r AS (SELECT min(epoch_ms(CAST(x AS TIMESTAMP))) AS a, max(epoch_ms(CAST(x AS TIMESTAMP))) AS b, min(epoch_ms(CAST(y AS TIMESTAMP))) AS c, max(epoch_ms(CAST(y AS TIMESTAMP))) AS d FROM traces WHERE kind <> 'priority') SELECT a - CAST(b - a AS DOUBLE) * CAST(0.05 AS DOUBLE) AS x_min, b + CAST(b - a AS DOUBLE) * CAST(0.05 AS DOUBLE) AS x_max, c - CAST(d - c AS DOUBLE) * CAST(0.05 AS DOUBLE) AS y_min, d + CAST(d - c AS DOUBLE) * CAST(0.05 AS DOUBLE) AS y_max FROM r",
-        "link_discovery": "WITH h AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1)) AS href FROM pages) SELECT CASE WHEN href LIKE '/%' THEN 'https://example.org' || href WHEN href LIKE 'http%' THEN href ELSE 'https://example.org/' || href END AS url FROM h WHERE contains(href, 'th') AND href LIKE '%ed'",
+        "series_with_projection": f"{every}, {projection(sub)}, named AS (SELECT {SERIES}, min(CASE WHEN visa_category = 'employment_based' THEN raw_class ELSE label_key END) AS visa_class FROM points GROUP BY ALL) SELECT projected.*, visa_class, publication_date, cutoff_date, {url} AS url FROM points JOIN projected USING ({SERIES}) JOIN named USING ({SERIES}) LEFT JOIN months USING (publication_date)",
+        "all_chart_traces": f"{every}, {projection(sub)}, {every_traces(sub)} SELECT visa_category, country, action_type, trace_idx, kind, visa_class_label, x, y, color FROM traces",
+        "shown_traces": f"{chart} SELECT trace_idx, kind, visa_class_label, x, y, color FROM traces WHERE kind = 'priority' OR visa_class_label IN ('EB-1: Priority Workers', 'EB-3: Other Workers')",
+        "new_bulletins_preview": f"{base}, m AS (SELECT publication_date, row_number() OVER (ORDER BY publication_date DESC) AS place FROM months WHERE month(publication_date) > 6) SELECT CAST(place AS INT) AS place, strftime(publication_date, '%B %Y') AS line FROM m WHERE place <= 5 UNION ALL SELECT 6, '... and ' || (count(*) - 5) || ' more' FROM m HAVING count(*) > 5",
+        "status_lines": f"{base}, c AS (SELECT count(*) AS total, count_if(is_current) AS a, count_if(is_unavailable) AS b, count_if(NOT is_current AND NOT is_unavailable) AS d FROM facts) SELECT CAST(place AS INT) AS place, rpad(name, 19, ' ') || lpad(format('{{:,}}', CAST(n AS BIGINT)), 6, ' ') || ' records (' || format('{{:.1f}}', CAST(100 AS DOUBLE) * n / total) || '%)' AS line FROM (SELECT 0 AS place, 'Current (C):' AS name, a AS n, total FROM c UNION ALL SELECT 1, 'Unavailable (U):', b, total FROM c UNION ALL SELECT 2, 'With dates:', d, total FROM c)",
+        "category_lines": f"{base} SELECT rpad(visa_category, 20, ' ') || ': ' || lpad(format('{{:,}}', count(*)), 6, ' ') || ' records' AS line FROM facts GROUP BY visa_category",
+        "bulletin_lines": f"{base} SELECT strftime(months.publication_date, '%Y-%m-%d') || '      ' || rpad(format('{{:,}}', count(facts.country)), 10, ' ') AS line FROM months LEFT JOIN facts USING (publication_date) GROUP BY months.publication_date",
+        "point_heading": "SELECT 'F1 - El Salvador (Last 20 bulletins)' AS heading",
+        **_TEXT,
+        "link_discovery": "WITH h AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1)) AS href FROM pages) SELECT CASE WHEN href LIKE '/%' THEN 'https://example.org' || href WHEN href LIKE 'http%' THEN href ELSE 'https://example.org/' || href END AS url, CAST(NULL AS DATE) AS publication_date FROM h WHERE contains(href, 'th') AND href LIKE '%e'",
         "bulletin_urls": f"{base} SELECT publication_date, {url} AS url FROM months",
         "family_class": values("name, display", ["'1st', 'F1'", "'1 st', 'F1'", "'2A', 'F2A'", "'2 A', 'F2A'", "'2B', 'F2B'", "'3rd', 'F3'", "'4th', 'F4'", "'F4', 'F4'", "'X', 'X'"]),
         "month_math": "SELECT a, b, CAST((year(b) - year(a)) * 12 + month(b) - month(a) AS INT) AS months, a + 90 AS later FROM (VALUES (DATE '2024-01-01', DATE '2024-01-31'), (DATE '2024-01-01', DATE '2024-02-01'), (DATE '2023-11-01', DATE '2024-02-01'), (DATE '2024-03-15', DATE '2023-12-31')) AS t(a, b)",
@@ -183,5 +246,10 @@ def queries(sub: str, one: str) -> dict[str, str]:
         "column_widths": f"{base} SELECT {', '.join(f'CAST(max(length(CAST({c} AS VARCHAR))) AS INT) AS {c}' for c in ('publication_date', 'visa_category', 'visa_class', 'action_type', 'country', 'cutoff_value'))} FROM facts",
         "refresh_summary": f"{base}, p AS (SELECT months.publication_date, count(facts.country) AS n FROM months LEFT JOIN facts USING (publication_date) GROUP BY months.publication_date) SELECT CAST(count_if(n > 0) AS BIGINT) AS succeeded, CAST(count_if(n = 0) AS BIGINT) AS failed, CAST(sum(n) AS BIGINT) AS rows FROM p",
         "sitemap_urls": "SELECT 'https://example.org/' || p AS url FROM (VALUES (''), ('faq/'), ('about/'), ('contact/')) AS t(p) UNION ALL SELECT 'https://example.org/' || c || '/' || k FROM (VALUES ('employment-based'), ('family-sponsored')) AS a(c), (VALUES (''), ('china/'), ('india/'), ('mexico/'), ('philippines/'), ('el_salvador_guatemala_honduras/')) AS b(k)",
-        "seo_metadata": f"{base} SELECT DISTINCT visa_category, country, CASE visa_category WHEN 'family_sponsored' THEN 'Family-Sponsored' ELSE 'Employment-Based' END || ' cutoff dates for ' || CASE country WHEN 'all' THEN 'Other Countries' WHEN 'china' THEN 'China (mainland born)' WHEN 'india' THEN 'India' WHEN 'mexico' THEN 'Mexico' WHEN 'philippines' THEN 'Philippines' ELSE 'El Salvador/Guatemala/Honduras' END AS title FROM facts",
+        "seo_metadata": f"""{base}, p AS (SELECT DISTINCT visa_category, country, CASE visa_category WHEN 'family_sponsored' THEN 'Family-Sponsored' ELSE 'Employment-Based' END AS c, CASE country {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in COUNTRIES.items())} END AS k FROM facts),
+          t AS (SELECT *, CASE WHEN visa_category = 'family_sponsored' AND country = 'all' THEN 'Visa Bulletin Predictions 2025 - Priority Date Tracker' ELSE k || ' ' || c || ' Visa Bulletin Predictions & Tracker - December 2025' END AS page_title,
+            'Track current priority dates and projections for ' || k || ' ' || c || ' visas. View historical trends, see when dates will move, and estimate your green card wait time.' AS page_description FROM p)
+          SELECT visa_category, country, page_title, page_description, CAST(json_object('@context', 'https://schema.org', '@type', 'Dataset', 'name', page_title, 'description', page_description, 'creator', json_object('@type', 'Organization', 'name', 'Cutline', 'url', 'https://example.org'),
+            'keywords', 'visa bulletin, ' || k || ', ' || c || ', priority date, immigration, green card', 'dateModified', '2025-12-01', 'isAccessibleForFree', true, 'license', 'https://creativecommons.org/publicdomain/zero/1.0/',
+            'distribution', json_object('@type', 'DataDownload', 'contentUrl', 'https://example.org/' || replace(visa_category, '_', '-') || '/' || country || '/', 'encodingFormat', 'text/html')) AS VARCHAR) AS structured_data FROM t""",
     }

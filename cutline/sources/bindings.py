@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutline.functions.vocabulary import cutoff_columns
@@ -33,7 +33,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Of the rows of a key, the last in the given order: a grouped maximum, so nothing is sorted and rows combine before the shuffle."""
+    """Of the rows of a key, the last in the given order: a grouped maximum, so rows combine before the shuffle."""
     rest = [c for c in rows.columns if c not in key and c not in order]
     best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return best.select(*key, "_row.*")
@@ -42,7 +42,7 @@ def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed fact table: the last cell of each key."""
     rows = last_wins(cells(spark, sf_dir), KEY, ["row_ix"])
-    return rows.withColumns(cutoff_columns(F.col("value"), F.col("publication_date"))).drop("value")
+    return rows.withColumns(cutoff_columns(F.col("value"), F.col("publication_date"), iso=True)).drop("value")
 
 
 def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,3 @@ def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = months.agg(F.max("publication_date").alias("m")).where("m is not null").select(F.explode(F.array(F.add_months("m", 1), F.add_months("m", 2))).alias("publication_date"))
     url = F.when(F.month("publication_date") % 3 != 0, F.concat(F.lit("https://example.org/"), F.date_format("publication_date", "yyyy-MM")))
     return months.union(later).select("publication_date", url.alias("url"))
-
-
-def numbered(rows: DataFrame, partition: list[str], *order) -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions.vocabulary import FAMILY_LEGACY, TITLES, absolute_url, cell_date, country_from_header, cutoff_columns, month_of_name
 
-LAYOUT = "url string, table_ix int, title string, row_ix int, cells array<string>"
+LAYOUT = "url string, publication_date date, page_ix long, table_ix int, title string, headers array<string>, row_ix int, cells array<string>, error string"
 
 
 def links(pages: DataFrame, base: str, contains: str = "visa-bulletin-for", ends: str = ".html", html: str = "html") -> DataFrame:
@@ -105,23 +105,50 @@ def page_tables(html: str) -> list[tuple[str, list[list[str]]]]:
     return found
 
 
-def tables(pages: DataFrame, url: str = "url", content: str = "content") -> DataFrame:
-    """One row per table row (row_ix 0: headers) of each page; HTML is parsed in Python, a batch of pages at a time."""
+def tables(pages: DataFrame, url: str = "url", content: str = "content", parse: Callable[[str], list[tuple[str, list[list[str]]]]] = page_tables) -> DataFrame:
+    """One row per table row (row_ix 0: headers) of each page; HTML is parsed in Python, a batch of pages at a time.
+
+    Each row carries its page's month and its table's headers, and page_ix tells pages of one url apart,
+    so nothing is joined later. A page without tables gives one row without table_ix; one that cannot be
+    parsed gives such a row with its error, and the other pages go on.
+    """
+    names = [x.split()[0] for x in LAYOUT.split(", ")]
+
+    def page(url: str, published, page_ix: int, html: str) -> list[tuple]:
+        try:
+            found = parse(html)
+        except Exception as e:  # whatever is wrong with a page is its own outcome
+            return [(url, published, page_ix, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+        rows = [(url, published, page_ix, t, title, body[0], r, cells, None) for t, (title, body) in enumerate(found) for r, cells in enumerate(body)]
+        return rows or [(url, published, page_ix, None, None, None, None, None, None)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(u, t, title, r, cells) for u, html in zip(batch["url"], batch["content"], strict=True) for t, (title, body) in enumerate(page_tables(html)) for r, cells in enumerate(body)]
-            yield pd.DataFrame(rows, columns=["url", "table_ix", "title", "row_ix", "cells"])
+            rows = [row for given in zip(*(batch[c] for c in ("url", "publication_date", "page_ix", "content")), strict=True) for row in page(*given)]
+            made = pd.DataFrame(rows, columns=names)
+            yield made.astype({"table_ix": "Int32", "row_ix": "Int32"})
 
-    return pages.select(F.col(url).alias("url"), F.col(content).alias("content")).mapInPandas(run, LAYOUT)
+    columns = [F.col(url).alias("url"), F.col("publication_date"), F.monotonically_increasing_id().alias("page_ix"), F.col(content).alias("content")]
+    return pages.select(*columns).mapInPandas(run, LAYOUT)
 
 
-def unpivot(rows: DataFrame, pages: DataFrame) -> DataFrame:
+def unpivot(rows: DataFrame) -> DataFrame:
     """Cutoff cells of the tables: one row per class and country that the header names; cells without a header (or the reverse) are dropped."""
-    header = rows.where("row_ix = 0").select("url", "table_ix", F.col("cells").alias("headers"))
-    body = rows.where("row_ix > 0").join(header, ["url", "table_ix"]).join(pages.select("url", "publication_date"), "url")
+    body = rows.where("row_ix > 0")
     cells = body.select("*", F.posexplode("cells").alias("col_ix", "value")).where((F.col("col_ix") > 0) & (F.col("col_ix") < F.size("headers")))
     cells = cells.withColumn("country", country_from_header(F.element_at("headers", F.col("col_ix") + 1))).where("country is not null")
     kind = lambda i: F.create_map(*(F.lit(x) for t, v in TITLES.items() for x in (t, v[i])))[F.col("title")]
     first = F.element_at("cells", 1)
-    return cells.select("publication_date", kind(0).alias("visa_category"), F.coalesce(F.date_format(cell_date(first), "yyyy-MM-dd"), first).alias("visa_class"), kind(1).alias("action_type"), "country", "table_ix", "row_ix", "col_ix", *(c.alias(n) for n, c in cutoff_columns(F.col("value"), F.col("publication_date")).items()))
+    return cells.select("publication_date", kind(0).alias("visa_category"), F.coalesce(F.date_format(cell_date(first), "yyyy-MM-dd"), first).alias("visa_class"), kind(1).alias("action_type"), "country", "page_ix", "table_ix", "row_ix", "col_ix", *(c.alias(n) for n, c in cutoff_columns(F.col("value"), F.col("publication_date")).items()))
+
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    """(url, publication_date, tables, rows, error) of each page that was parsed."""
+    each = rows.groupBy("page_ix", "url", "publication_date").agg(F.count_if(F.col("row_ix") == 0).alias("tables"), F.count_if(F.col("row_ix") > 0).alias("rows"), F.max("error").alias("error"))
+    return each.drop("page_ix")
+
+
+def run_counters(outcomes: DataFrame) -> DataFrame:
+    """(pages, succeeded, failed, rows, exit_status) of a run: 1 where a page failed, else 0."""
+    failed = F.count_if(F.col("error").isNotNull())
+    return outcomes.agg(F.count("*").alias("pages"), F.count_if(F.col("error").isNull()).alias("succeeded"), failed.alias("failed"), F.coalesce(F.sum("rows"), F.lit(0).cast("long")).alias("rows"), F.when(failed > 0, 1).otherwise(0).alias("exit_status"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,32 +25,39 @@ def _stored(spark: SparkSession, fact: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def refresh(spark: SparkSession, folder: str, fact: str, checkpoint: str, mode: str = "full") -> None:
+def refresh(spark: SparkSession, folder: str, fact: str, checkpoint: str, mode: str = "full", log: str | None = None) -> None:
     """Take in all pages that are new in the folder, then stop.
 
     mode: "full" writes a page's values over stored ones of the same key; "incremental" passes over
     pages of months that are stored. Rows that vanish from a page stay. Replays change nothing: each
-    month that a batch has is merged and overwritten as a whole.
+    month that a batch has is merged and overwritten as a whole. A page that cannot be parsed leaves the
+    others alone. log: a folder for the outcome of each page (see pages.outcomes) with the seconds that
+    its batch took; a batch that is run again replaces its own outcomes.
     """
     if mode not in ("full", "incremental"):
         raise ValueError(f"mode is full or incremental, not {mode!r}")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cutline-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="cutline-"))
 
-    def take(batch: DataFrame, _: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
+        began = time.time()
         found = batch.withColumn("publication_date", month_of_name(F.col("url"))).where("publication_date is not null")
-        schema = pages.unpivot(pages.tables(found), found).select(store.FACT).schema
+        schema = pages.unpivot(pages.tables(found)).select(store.FACT).schema
         stored = _stored(spark, fact, schema)
         if mode == "incremental":
             found = store.new_bulletins(found, stored)
-        found = found.persist()
-        cells = pages.unpivot(pages.tables(found), found)
-        new = store.upsert_cutoffs(spark.createDataFrame([], schema), cells, ["table_ix", "row_ix", "col_ix"]).persist()
+        rows = pages.tables(found).persist()
+        new = store.upsert_cutoffs(spark.createDataFrame([], schema), pages.unpivot(rows), ["page_ix", "table_ix", "row_ix", "col_ix"]).persist()
         months = stored.join(new.select("publication_date").distinct(), "publication_date", "left_semi")
         # stored before the write, which replaces the files that it is read from
         store.write(months.join(new, store.KEY, "left_anti").unionByName(new).checkpoint(), fact)
+        if log:
+            pages.outcomes(rows).withColumn("seconds", F.lit(time.time() - began)).write.mode("overwrite").parquet(f"{log}/batch={number}")
         new.unpersist()
-        found.unpersist()
+        rows.unpersist()
 
     files = spark.readStream.format("text").option("wholetext", True).load(folder).select(F.col("_metadata.file_name").alias("url"), F.col("value").alias("content"))
     files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -11,6 +11,5 @@ def test_same_as_sql(spark, name):
     compare(spark, QUERIES[name], ORACLE_SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)

@@ -29,7 +29,8 @@ def test_refresh(spark, tmp_path):
     refresh(spark, str(folder), fact, str(tmp_path / "c"), mode="incremental")
     second = _fact(spark, fact)
     assert set(first) < set(second) and {r[0] for r in second} == {"2003-03-01", "2023-03-01"}
-    refresh(spark, str(folder), fact, str(tmp_path / "d"))
+    refresh(spark, str(folder), fact, str(tmp_path / "d"), log=str(tmp_path / "log"))
+    assert sorted((r["tables"], r["rows"], r["error"]) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [(1, 1, None), (1, 2, None)]
     third = _fact(spark, fact)
     assert len(third) == len(second) and ("2023-03-01", "F1", "china", "2020-01-01") in third and ("2023-03-01", "F1", "china", "C") not in third
 
