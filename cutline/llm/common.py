@@ -63,6 +63,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_hashes(texts: list[bytes]) -> pa.Array:
+    """XXH64 of each text, seed 42, as Spark's xxhash64 gives it for a string."""
+    return pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """The rows in slices of about `most` bytes of text; only a slice at a time is turned into Python's bytes."""
     for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, mixed, runs_hashed
+from .common import blocks, cut, mixed, runs_hashed, text_hashes
 
 BUCKETS = 1 << 14
 #: Labelled rows, at most, that the target and the cut are learnt from (those of the smallest hashed ids).
@@ -79,16 +79,16 @@ def models(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, good, log_weight, n_features) of each row of (doc_id, text, good)."""
+    """(doc_id, good, log_weight, n_features, text_hash) of each row of (doc_id, text, good)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, "text"):
             found, sizes = features(texts, len(ratio))
             owner = np.repeat(np.arange(len(texts)), sizes)
             weight = np.bincount(owner, ratio[found], minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("good").cast(pa.int32()), pa.array(weight, pa.float64()), pa.array(sizes.astype(np.int64))], ["doc_id", "good", "log_weight", "n_features"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("good").cast(pa.int32()), pa.array(weight, pa.float64()), pa.array(sizes.astype(np.int64)), text_hashes(texts)], ["doc_id", "good", "log_weight", "n_features", "text_hash"])
 
-    return docs.mapInArrow(run, "doc_id long, good int, log_weight double, n_features long")
+    return docs.mapInArrow(run, "doc_id long, good int, log_weight double, n_features long, text_hash long")
 
 
 def best_cut(mean: np.ndarray, good: np.ndarray, good_weight: float = GOOD_WEIGHT) -> float:
@@ -107,15 +107,15 @@ def best_cut(mean: np.ndarray, good: np.ndarray, good_weight: float = GOOD_WEIGH
     return float("inf") if at == len(mean) else float((mean[at - 1] + mean[at]) / 2)
 
 
-def importance(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int = 42, max_labels: int = LABELS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, log_weight, n_features, accepted, gumbel_key, sampled): one row per row of docs.
+def importance(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int = 42, max_labels: int = LABELS, doc_id: str = "doc_id", text: str = "text", text_hash: bool = False) -> DataFrame:
+    """(doc_id, log_weight, n_features, accepted, gumbel_key, sampled, and text_hash if wanted): one row per row of docs.
 
     log_weight is the log of the importance weight; accepted: its mean per n-gram is at least the cut
     learnt from at most `max_labels` labelled rows; gumbel_key is the weight with Gumbel noise drawn
     from a hash of doc_id; sampled marks the given share of the accepted rows with the largest keys
     (ties to the smaller doc_id). Texts without tokens (null or empty too) have weight 0. Labels with
     null doc_id or quality are passed over, of several for one doc_id the lowest counts; without
-    labels of both kinds every row is accepted. Rows with null doc_id are scored like others. An empty
+    labels of both kinds every row is accepted. text_hash (XXH64 of the text, seed 42) tells rows of one doc_id apart. Rows with null doc_id are scored like others. An empty
     table gives no rows; other columns are not read.
     """
     rows = _labelled(docs, labels, doc_id, text, max_labels)
@@ -127,7 +127,7 @@ def importance(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int
     scored = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
     least = kth_largest(scored.where("accepted").select("gumbel_key", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id")), share)
     inside = F.lit(False) if least is None else (F.col("gumbel_key") > least[0]) | ((F.col("gumbel_key") == least[0]) & (F.coalesce("doc_id", F.lit(0)) <= least[1]))
-    return scored.select("doc_id", "log_weight", "n_features", "accepted", "gumbel_key", (F.col("accepted") & inside).alias("sampled"))
+    return scored.select("doc_id", "log_weight", "n_features", "accepted", "gumbel_key", (F.col("accepted") & inside).alias("sampled"), *["text_hash"] * text_hash)
 
 
 def kth_largest(keys: DataFrame, share: float, bins: int = 4096) -> tuple[float, int] | None:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, small
+from .common import blocks, cut, small, text_hashes
 from .components import connected_components
 
 DISTANCE = 3
@@ -51,14 +51,14 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per document, the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash): one row per document, the fingerprint as a signed long, and see text_hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, "text"):
             found = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found), text_hashes(texts)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _ball(value: Column, bits: int) -> Column:
@@ -172,13 +172,13 @@ def links(fps: DataFrame) -> DataFrame:
     return probes.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row per row of docs.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", text_hash: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id, and text_hash if wanted): one row per row of docs.
 
     component_id is the smallest doc_id that can be reached over links of at most 3 differing bits, the
     document itself included. Null texts count as empty; texts without words have fingerprint zero and
     link like others. A null doc_id keeps its row and is never a component's id unless there is no
-    other (then null). Repeated rows are repeated in the result. An empty table gives no rows; other
+    other (then null). Repeated rows are repeated in the result; text_hash (XXH64 of the text, seed 42) tells rows of one doc_id apart. An empty table gives no rows; other
     columns are not read.
     """
     each = cut(fingerprints(docs, doc_id, text))
@@ -187,4 +187,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     by = classes.select("fp", "label").join(ids, "label").select("fp", "component_id")
-    return each.join(by, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return each.join(by, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["text_hash"] * text_hash)
