@@ -22,8 +22,8 @@ from .common import blocks, cut, small
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525013)
 #: Symbols (of two bytes) in a piece: 2**15 products of 16 and 31 bits add up to less than 2**63.
 PIECE = 1 << 15
-#: Rows of one fingerprint beyond which the comparison is spread over several tasks.
-HOT_GROUP = 1_000
+#: Rows of one fingerprint beyond which the comparison is spread over several tasks: as many parts as a part then has rows.
+HOT_GROUP = 100
 _SPACE = frozenset(b" \t\n\x0b\x0c\r")
 
 
@@ -138,7 +138,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     alone = each.join(groups, ["fp", "size"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
 
     rows = docs.mapInArrow(_texts, "doc_id long, fp long, size long, data binary").join(groups, ["fp", "size"])
-    rows = rows.withColumn("parts", F.ceil(F.col("n") / HOT_GROUP)).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    rows = rows.withColumn("parts", F.when(F.col("n") > HOT_GROUP, F.ceil(F.sqrt("n"))).otherwise(F.lit(1)).cast("long")).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
     rows = cut(_classed(rows.withColumns({"of_part": F.lit(None).cast("long"), "of_class": F.lit(None).cast("int")})))
     # the first texts of the parts of a large group meet; what they are is what their parts are
     heads = rows.where("data is not null").select("doc_id", "fp", "size", "data", F.col("part").alias("of_part"), F.col("class").alias("of_class"), F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"))
