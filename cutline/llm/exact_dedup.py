@@ -2,15 +2,17 @@
 
 A text is a string of 16-bit symbols; its fingerprint is the value of that polynomial at a fixed
 point, modulo two primes. Pieces of 64 KiB are hashed independently of each other and combine by
-shifting: the hash of A followed by B is hash(A) * base ** len(B) + hash(B). Texts that agree in
-fingerprint and length are then compared piece by piece with the first text of their run in a sorted
-stream, so a collision never merges different texts.
+shifting: the hash of A followed by B is hash(A) * base ** len(B) + hash(B). The pieces of a huge
+text are rows of their own, which are hashed by different tasks and combined by text; a text of less
+is hashed where it is. Texts that agree in fingerprint and length are then compared piece by piece
+with the first text of their run in a sorted stream, so a collision never merges different texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from .common import blocks, cut, small
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525013)
 #: Symbols (of two bytes) in a piece: 2**15 products of 16 and 31 bits add up to less than 2**63.
 PIECE = 1 << 15
+#: Bytes of a text beyond which its pieces are hashed by different tasks.
+HUGE = 64 * 2 * PIECE
 #: Rows of one fingerprint beyond which the comparison is spread over several tasks: as many parts as a part then has rows.
 HOT_GROUP = 100
 _SPACE = frozenset(b" \t\n\x0b\x0c\r")
@@ -78,11 +82,13 @@ def _same(a: bytes, b: bytes) -> bool:
     return all(a[at : at + step] == b[at : at + step] for at in range(0, len(a), step))
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(batches: Iterator[pa.RecordBatch], huge: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, fp, size, sha) of each text; fp is null for huge ones."""
     for rows, texts in blocks(batches, "text"):
         norm = [normalised(t) for t in texts]
+        fp = [None if len(t) > huge else _fp(n) for t, n in zip(texts, norm, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array([_fp(t) for t in norm], pa.int64()), pa.array([len(t) for t in norm], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in norm])],
+            [rows.column("doc_id"), pa.array(fp, pa.int64()), pa.array([len(t) for t in norm], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in norm])],
             ["doc_id", "fp", "size", "sha"],
         )
 
@@ -93,6 +99,45 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_fp(t) for t in norm], pa.int64()), pa.array([len(t) for t in norm], pa.int64()), pa.array(norm, pa.binary())], ["doc_id", "fp", "size", "data"])
 
 
+def _huge_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Like _texts, with the SHA-256 in place of the fingerprint."""
+    for rows, texts in blocks(batches, "text"):
+        norm = [normalised(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([hashlib.sha256(t).hexdigest() for t in norm]), pa.array([len(t) for t in norm], pa.int64()), pa.array(norm, pa.binary())], ["doc_id", "sha", "size", "data"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, sha, size, at, piece): the pieces of each text."""
+    step = 2 * PIECE
+    for rows, texts in blocks(batches, "text"):
+        for row, text in zip(rows.column("row").to_pylist(), texts, strict=True):
+            norm = normalised(text)
+            sha = hashlib.sha256(norm).hexdigest()
+            for at in range(0, len(norm), step):
+                yield pa.RecordBatch.from_pylist([{"row": row, "sha": sha, "size": len(norm), "at": at, "piece": norm[at : at + step]}])
+
+
+def _hashed_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sha, size, at, a, b, shift_a, shift_b): the two hashes of each piece, and what those of the text before it are multiplied by."""
+    for rows, pieces in blocks(batches, "piece"):
+        found = [(*polynomial(x), *(pow(base, -(-len(x) // 2), prime) for base, prime in zip(BASES, PRIMES, strict=True))) for x in pieces]
+        columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("sha", "size", "at")), *columns], ["sha", "size", "at", "a", "b", "shift_a", "shift_b"])
+
+
+def huge_fingerprints(docs: DataFrame) -> DataFrame:
+    """(sha, size, fp) of each different normalised text of docs (column text), its pieces hashed as rows and then combined.
+
+    A text's hashes are gathered in order of its pieces: some 40 bytes for every 64 KiB of it.
+    """
+    pieces = docs.select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_pieces, "row long, sha string, size long, at long, piece binary")
+    hashed = pieces.repartition("row", "at").mapInArrow(_hashed_pieces, "sha string, size long, at long, a long, b long, shift_a long, shift_b long")
+    hashed = hashed.dropDuplicates(["sha", "size", "at"]).groupBy("sha", "size").agg(F.array_sort(F.collect_list(F.struct("at", "a", "b", "shift_a", "shift_b"))).alias("pieces"))
+    none = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    whole = F.aggregate("pieces", none, lambda h, p: F.struct(((h["a"] * p["shift_a"] + p["a"]) % PRIMES[0]).alias("a"), ((h["b"] * p["shift_b"] + p["b"]) % PRIMES[1]).alias("b")))
+    return hashed.select("sha", "size", whole.alias("h")).select("sha", "size", (F.shiftleft("h.a", 31).bitwiseOR(F.col("h.b"))).alias("fp"))
+
+
 _CLASSED = "doc_id long, fp long, size long, part long, class int, of_part long, of_class int, again boolean, sha string, data binary"
 
 
@@ -123,21 +168,30 @@ def _classed(rows: DataFrame) -> DataFrame:
     return rows.repartition("fp", "size", "part").sortWithinPartitions("fp", "size", "part", "doc_id").mapInArrow(_compare, _CLASSED)
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", huge: int = HUGE) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256): one row per row of docs.
 
     Texts are equal when identical after each run of white space becomes one space; null counts as
     empty. Of equal texts the row with the smallest doc_id stays (one of them if that doc_id repeats);
     a null doc_id stays only where no row of the group has one. Texts that nothing repeats are never
-    shuffled. An empty table gives no rows; other columns are not read.
+    shuffled, but for the pieces of texts of more than `huge` bytes. An empty table gives no rows; other
+    columns are not read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    each = cut(docs.mapInArrow(_hashes, "doc_id long, fp long, size long, sha string"))
+    each = cut(docs.mapInArrow(partial(_hashes, huge=huge), "doc_id long, fp long, size long, sha string"))
+    is_huge = F.coalesce(F.octet_length("text"), F.lit(0)) > huge
+    data = docs.where(~is_huge).mapInArrow(_texts, "doc_id long, fp long, size long, data binary")
+    if not each.where("fp IS NULL").isEmpty():
+        found = cut(huge_fingerprints(docs.where(is_huge)))
+        long = each.where("fp IS NULL").drop("fp").join(found, ["sha", "size"])
+        each = cut(each.where("fp IS NOT NULL").unionByName(long))
+        long = docs.where(is_huge).mapInArrow(_huge_texts, "doc_id long, sha string, size long, data binary").join(found, ["sha", "size"])
+        data = data.unionByName(long.drop("sha"))
     groups = cut(each.groupBy("fp", "size").agg(F.count("*").alias("n")).where("n > 1"))
     groups = small(groups, groups.count())
     alone = each.join(groups, ["fp", "size"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
 
-    rows = docs.mapInArrow(_texts, "doc_id long, fp long, size long, data binary").join(groups, ["fp", "size"])
+    rows = data.join(groups, ["fp", "size"])
     rows = rows.withColumn("parts", F.when(F.col("n") > HOT_GROUP, F.ceil(F.sqrt("n"))).otherwise(F.lit(1)).cast("long")).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
     rows = cut(_classed(rows.withColumns({"of_part": F.lit(None).cast("long"), "of_class": F.lit(None).cast("int")})))
     # the first texts of the parts of a large group meet; what they are is what their parts are

@@ -46,6 +46,18 @@ def test_hashes_combine():
         assert exact_dedup.combine(exact_dedup.polynomial(a), exact_dedup.polynomial(b), (m + 1) // 2) == exact_dedup.polynomial(a + b)
 
 
+def test_huge_texts_are_hashed_piece_by_piece(spark):
+    long = " ".join(f"w{i * i}" for i in range(40_000))  # some 350 KB
+    texts = [long, long.replace(" ", " \n"), long + "x", "y" + long, long[:-1], long, " " * 300_000, " ", "ab", None]
+    rows = [(20 - i, t) for i, t in enumerate(texts)] + [(None, long), (20, long)]
+    huge = 200_000
+    found = exact_dedup.exact_duplicates(docs(spark, rows), huge=huge)
+    assert sorted((tuple(x) for x in found.collect()), key=str) == brute(rows)
+    found = exact_dedup.huge_fingerprints(docs(spark, [r for r in rows if len(r[1] or "") > huge]).select("text"))
+    norm = {exact_dedup.normalised(t.encode()) for t in texts if len(t or "") > huge}
+    assert {tuple(x) for x in found.collect()} == {(hashlib.sha256(t).hexdigest(), len(t), exact_dedup._fp(t)) for t in norm}
+
+
 def test_equal_fingerprints_of_different_texts():
     rows = [(1, b"aa"), (2, b"bb"), (3, b"aa"), (4, b"cc"), (4, b"cc"), (5, b"bb")]
     batch = pa.RecordBatch.from_pylist([{"doc_id": i, "fp": 1, "size": 2, "part": 0, "parts": 2, "of_part": None, "of_class": None, "data": t} for i, t in rows])
