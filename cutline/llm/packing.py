@@ -4,8 +4,9 @@ While documents arrive, the open windows (sequences that are partly filled) are
 they are: levels[f] counts those with f tokens. A document goes to the level, or to a new window,
 that leaves the sum of the squared counts smallest, which keeps many different levels in stock, so
 that what comes next finds a window that it fills. Documents longer than a window fill whole windows
-first. What is open when a partition ends is cut together: full windows, then windows of a power of
-two, which need no padding.
+first. When a partition ends, windows of a power of two stay, as they need no padding; of the others
+the emptiest is dissolved, and its pieces go by the same rule to those that are left (one that fits
+none fills the fullest, and its rest goes on), until one is left, which is cut into powers of two.
 
 Every partition packs the documents that it reads, in their order: nothing is shuffled, and a lost
 task packs the same sequences again.
@@ -25,7 +26,7 @@ from .common import blocks
 from .tokens import encoder, read_tokenizer
 
 CAPACITY = 2048
-#: Open windows of a partition beyond which they are cut together (only documents that never fit each other come to so many).
+#: Open windows of a partition beyond which they are finished (only documents that never fit each other come to so many).
 OPEN = 4_096
 
 Piece = tuple[object, int, bytes, int]  # doc_id, start, ids, tokens of the document
@@ -41,17 +42,34 @@ class Packer:
         self.open = 0
         self.done: list[list[Piece]] = []
 
-    def level_for(self, n: int) -> int:
-        """The level (0: a new window) that takes n tokens with the least growth of the sum of squares; of equals the fullest."""
+    def level_for(self, n: int, new: bool = True) -> int | None:
+        """The level (0: a new window) that takes n tokens with the least growth of the sum of squares; of equals the fullest. Without `new`, None where no open window takes them."""
         here, there = self.levels[: self.capacity - n + 1], self.levels[n:]
-        growth = np.where(here > 0, 2 * (there - here) + 2, np.iinfo(np.int64).max)
+        none = np.iinfo(np.int64).max
+        growth = np.where(here > 0, 2 * (there - here) + 2, none)
         if here[-1] > 0:
             growth[-1] = 1 - 2 * here[-1]  # it gets full and is no longer counted
-        if n < self.capacity:
-            growth[0] = 2 * there[0] + 1
+        growth[0] = none if not new else 2 * there[0] + 1 if n < self.capacity else 0
+        best = len(growth) - 1 - int(np.argmin(growth[::-1]))
+        return None if growth[best] == none else best
+
+    def _take(self, level: int) -> list[Piece]:
+        """A window of the level, no longer open."""
+        self.levels[level] -= 1
+        self.open -= 1
+        return self.windows[level].pop()
+
+    def _put(self, level: int, piece: Piece) -> None:
+        """The piece into a window of the level (0: a new one)."""
+        window = self._take(level) if level else []
+        window.append(piece)
+        level += len(piece[2]) // 4
+        if level == self.capacity:
+            self.done.append(window)
         else:
-            growth[0] = 0
-        return len(growth) - 1 - int(np.argmin(growth[::-1]))
+            self.windows.setdefault(level, []).append(window)
+            self.levels[level] += 1
+            self.open += 1
 
     def add(self, doc: object, ids: bytes) -> None:
         n = len(ids) // 4
@@ -61,48 +79,48 @@ class Packer:
             start += self.capacity
         if start == n:
             return
-        rest = n - start
-        level = self.level_for(rest)
-        window = self.windows[level].pop() if level else []
-        self.levels[level] -= bool(level)
-        self.open += not level
-        window.append((doc, start, ids[4 * start :], n))
-        if level + rest == self.capacity:
-            self.done.append(window)
-            self.open -= 1
-        else:
-            self.windows.setdefault(level + rest, []).append(window)
-            self.levels[level + rest] += 1
+        self._put(self.level_for(n - start), (doc, start, ids[4 * start :], n))
         if self.open > self.most_open:
             self.finish()
 
     def finish(self) -> None:
-        """Cut what is open: windows of a power of two stay, the rest is put end to end and cut into full windows and, at last, powers of two."""
-        rest: list[Piece] = []
-        for level in sorted(self.windows, reverse=True):
-            for window in self.windows[level]:
-                if level & (level - 1):
-                    rest += window
-                else:
-                    self.done.append(window)
-        total = sum(len(p[2]) // 4 for p in rest)
-        sizes = [self.capacity] * (total // self.capacity)
-        sizes += [1 << b for b in range(self.capacity.bit_length(), -1, -1) if total % self.capacity >> b & 1]
-        pieces = iter(rest)
-        doc, start, ids, n = next(pieces, (None, 0, b"", 0))
+        """Close what is open, as the module says; no window is padded."""
+        for level in (1 << b for b in range(self.capacity.bit_length() - 1)):
+            while self.levels[level]:
+                self.done.append(self._take(level))
+        while self.open > 1:
+            for piece in self._take(int(np.argmax(self.levels > 0))):
+                self._put_again(piece)
+        if self.open:
+            level = int(np.argmax(self.levels > 0))
+            self._cut(self._take(level), [1 << b for b in range(level.bit_length() - 1, -1, -1) if level >> b & 1])
+
+    def _put_again(self, piece: Piece) -> None:
+        """The piece into open windows, as long as there are any."""
+        doc, start, ids, n = piece
+        while ids:
+            level = self.level_for(len(ids) // 4, new=not self.open)
+            size = len(ids) if level is not None else 0
+            if level is None:
+                level = self.capacity - int(np.argmax(self.levels[::-1] > 0))
+                size = 4 * (self.capacity - level)
+            self._put(level, (doc, start, ids[:size], n))
+            start, ids = start + size // 4, ids[size:]
+
+    def _cut(self, window: list[Piece], sizes: list[int]) -> None:
+        """A window's pieces into windows of these sizes."""
+        pieces = iter(window)
+        doc, start, ids, n = next(pieces)
         for size in sizes:
-            window = []
+            part = []
             while size:
                 take = min(size, len(ids) // 4)
                 if take:
-                    window.append((doc, start, ids[: 4 * take], n))
+                    part.append((doc, start, ids[: 4 * take], n))
                     start, ids, size = start + take, ids[4 * take :], size - take
                 else:
                     doc, start, ids, n = next(pieces)
-            self.done.append(window)
-        self.levels[:] = 0
-        self.windows.clear()
-        self.open = 0
+            self.done.append(part)
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"

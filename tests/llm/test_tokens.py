@@ -86,6 +86,25 @@ def test_sum_of_squares_rule():
         assert packer.levels.sum() == packer.open
 
 
+@pytest.mark.parametrize("count", [1, 2, 40, 300])
+def test_open_windows_are_finished_by_the_rule(count):
+    r, packer, at_once = np.random.default_rng(count), packing.Packer(2048), 0
+    texts = [np.full(n, i, "<u4").tobytes() for i, n in enumerate(r.integers(1, 900, count).tolist())]
+    for i, ids in enumerate(texts):
+        packer.add(i, ids)
+    packer.finish()
+    assert not packer.open and not packer.levels.any()
+    sizes = [sum(len(p[2]) // 4 for p in w) for w in packer.done]
+    assert all(n & (n - 1) == 0 and 0 < n <= 2048 for n in sizes)
+    pieces = sorted((p for w in packer.done for p in w), key=lambda p: p[:2])
+    for i, ids in enumerate(texts):
+        mine = [p for p in pieces if p[0] == i]
+        assert b"".join(p[2] for p in mine) == ids
+        assert [p[1] for p in mine] == np.cumsum([0, *(len(p[2]) // 4 for p in mine[:-1])]).tolist()
+        at_once += len(mine) == 1
+    assert count < 40 or at_once > 0.6 * count  # few documents are cut
+
+
 def test_open_windows_are_bounded():
     packer = packing.Packer(2048, most_open=10)
     for i in range(500):
