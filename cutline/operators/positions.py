@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have yet, made of `name`."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame, name: str, *besides: str) -> str:
+    """A column name that is neither df's nor one of `besides`, made of `name`."""
+    taken = {c.lower() for c in (*df.columns, *besides)}
     while name.lower() in taken:
         name += "_"
     return name
@@ -39,7 +39,7 @@ def positions(rows: DataFrame, order: list[str | Column], name: str = "position"
     order are told apart by where they were read, so that even a value which most rows have is dealt
     over many ranges; which of them comes first is open, so order by all that matters. No rows give none.
     """
-    at, part, rank, before = (fresh(rows, x) for x in ("at", "part", "rank", "before"))
+    at, part, rank, before = (fresh(rows, x, name) for x in ("at", "part", "rank", "before"))
     spread = rows.withColumn(rank, F.monotonically_increasing_id())
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = spread.repartitionByRange(parts, *order, rank).sortWithinPartitions(*order, rank).withColumn(at, F.monotonically_increasing_id())

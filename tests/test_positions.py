@@ -23,7 +23,7 @@ def test_equal_rows_get_places_of_their_own(spark):
 
 def test_sums_before(spark):
     rows = spark.range(300).select((F.col("id") * 13 % 300).alias("v"), (F.col("id") % 4).alias("w"))
-    got = sorted((r["v"], r["w"], r["position"]) for r in positions(rows, ["v"], weight="w").collect())
+    got = sorted((r["v"], r["w"], r["before"]) for r in positions(rows, ["v"], "before", weight="w").collect())
     total = 0
     for v, (_, w, before) in enumerate(got):
         assert got[v][0] == v and before == total
