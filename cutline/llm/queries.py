@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, packing, quality, sentencepiece_codec, simhash_dedup, substring_dedup, token_files, topk_search, warc
+from . import exact_dedup, hilbert_sharding, lm_scoring, merkle_manifest, oracles, packing, quality, sentencepiece_codec, simhash_dedup, substring_dedup, token_files, topk_search, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_simhash_dedup, op3_exact_dedup, op4_sentencepiece, op5_warc, op6_substring_dedup, op7_packing, op8_token_files, op9_lm_scoring, op10_quality_classifier)}
+def op11_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_sharding.hilbert_shards(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.product_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest.manifest(_table(spark, sf_dir, "documents"), tampered=found)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_simhash_dedup, op3_exact_dedup, op4_sentencepiece, op5_warc, op6_substring_dedup, op7_packing, op8_token_files, op9_lm_scoring, op10_quality_classifier, op11_hilbert_sharding, op12_vector_codes, op13_merkle_manifest)}
 
 ORACLE_SQL = {
     "op1_topk_search": """
@@ -89,4 +103,7 @@ ORACLE_SQL = {
         SELECT n.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, n.doc_id = g.keep_id AS kept, n.text_sha256
         FROM n JOIN g USING (text_sha256)
     """,
+    "op11_hilbert_sharding": oracles.hilbert_sharding(),
+    "op12_vector_codes": oracles.vector_codes(),
+    "op13_merkle_manifest": oracles.merkle_manifest(),
 }
