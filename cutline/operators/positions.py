@@ -2,33 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def fresh(df: DataFrame, name: str, *besides: str) -> str:
-    """A column name that is neither df's nor one of `besides`, made of `name`."""
-    taken = {c.lower() for c in (*df.columns, *besides)}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Sees to it that checkpoints go to spark.checkpoint.dir; a folder of our own only in local mode, where that is unset."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if not given and spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="cutline-"))
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in the shared folder, so that later steps neither recompute nor lose them."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+from cutline.shared import fresh, stored
 
 
 def positions(rows: DataFrame, order: list[str | Column], name: str = "position", weight: str | None = None) -> DataFrame:

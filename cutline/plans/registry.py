@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions import vocabulary as v
 from cutline.operators import chart, reports, series, store
-from cutline.plans import sql
+from cutline.plans import analytics, sql
 from cutline.sources import bindings, pages
 from cutline.sources.bindings import bulletins, cells, cutoffs
 
@@ -191,4 +191,5 @@ def _synthetic(spark) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (projection, class_points, class_series, cutoff_facts, series_join, upsert_cutoffs, upsert_bulletins, new_bulletins, new_bulletins_preview, series_with_projection, trace_index, chart_traces, all_chart_traces, shown_traces, visible_range, priority_line, link_discovery, index_links, employment_class, family_class, country_from_header, cell_dates, month_math, submission_dates, bulletin_urls, normalize_text, masked_dates, unpivot_cells, table_extract, page_outcomes, page_counters)}
 QUERIES |= {name: (lambda spark, sf_dir, f=f: f(cutoffs(spark, sf_dir), bulletins(spark, sf_dir))) for name, f in reports.REPORTS.items()}
-ORACLE_SQL = sql.queries(SUBMISSION, ONE)
+QUERIES |= analytics.QUERIES
+ORACLE_SQL = sql.queries(SUBMISSION, ONE) | analytics.ORACLE_SQL

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 
 from pyspark.errors import AnalysisException
@@ -12,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from cutline.functions.vocabulary import month_of_name
 from cutline.operators import store
+from cutline.shared import checkpoint_dir
 from cutline.sources import pages
 
 
@@ -36,11 +36,7 @@ def refresh(spark: SparkSession, folder: str, fact: str, checkpoint: str, mode:
     """
     if mode not in ("full", "incremental"):
         raise ValueError(f"mode is full or incremental, not {mode!r}")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if not given and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="cutline-"))
+    checkpoint_dir(spark)
 
     def take(batch: DataFrame, number: int) -> None:
         began = time.time()
