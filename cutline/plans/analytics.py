@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.operators import matching, ranks
+from cutline.operators import matching, ranks, series, stored_stats, text_index
+from cutline.plans import sql
+from cutline.shared import new_path, stored
+from cutline.sources.bindings import cutoffs
+from cutline.streaming import movement
+
+SUBMISSION = "1993-06-01"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +48,76 @@ def yearly_trends(spark, sf_dir):
     return ranks.yearly_trend(_table(spark, sf_dir, "orders"), "o_totalprice", "o_orderdate", ["o_orderpriority"])
 
 
-QUERIES = {f.__name__: f for f in (band_matches, percent_ranks, percent_ranks_by_priority, histogram_equal_width, histogram_equal_depth, yearly_trends)}
+def stored_percentiles(spark, sf_dir):
+    """Lines as wage records of employers, by source and year: stored up to 1998, then refreshed with the months after it."""
+    lines = _table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'")
+    rows = lines.select(F.col("l_suppkey").alias("employer"), F.col("l_linestatus").alias("source"), F.year("l_shipdate").alias("year"), F.trunc("l_shipdate", "month").alias("month"), F.col("l_extendedprice").alias("wage"))
+    path, by = new_path(spark, "stored-stats"), ["employer", "source", "year"]
+    months = [r[0] for r in rows.where("year >= 1999").select("month").distinct().collect()]
+    stored_stats.build(rows.where("year < 1999"), path, by, "wage", "month")
+    stored_stats.refresh(rows, path, months, by, "wage", "month")
+    return stored_stats.view(spark, path, by, {"median": 0.5, "upper": 0.9})
+
+
+#: What the search looks for.
+TEXTS = ["Widget", "ring", "0042", "MACHIN", "er#00000012", "no such text", "E"]
+
+
+def contained_text(spark, sf_dir):
+    """Customers and parts of which a name or kind contains a text."""
+    made = None
+    for table, id, columns in (("customer", "c_custkey", ["c_name", "c_mktsegment"]), ("part", "p_partkey", ["p_name", "p_type"])):
+        rows, path = _table(spark, sf_dir, table).select(id, *columns), new_path(spark, f"index-{table}")
+        text_index.add(rows, path, id, columns)
+        for text in TEXTS:
+            hits = text_index.search(rows, path, text, id, columns).select(F.lit(table).alias("kind"), F.lit(text).alias("looked_for"), F.col(id).alias("id"), *(F.col(c).alias(n) for c, n in zip(columns, ("name", "sort"), strict=True)))
+            made = hits if made is None else made.unionByName(hits)
+    return made
+
+
+def monthly_movement(spark, sf_dir):
+    return movement.movement(series.points(cutoffs(spark, sf_dir)), SUBMISSION)
+
+
+def monthly_movement_stream(spark, sf_dir):
+    """The same rows, by a stream that gets the months in two parts, each month of the second later than those of the first."""
+    columns = [*series.SERIES, "publication_date", "cutoff_date"]
+    points = stored(series.points(cutoffs(spark, sf_dir)).select(*columns))
+    arriving, path, checkpoint = (new_path(spark, f"movement-{x}") for x in ("points", "table", "stream"))
+    for early in (True, False):
+        points.where((F.col("publication_date") < "1998-01-01") == early).write.mode("append").parquet(arriving)
+        movement.keep_current(spark.readStream.schema(points.schema).parquet(arriving), path, checkpoint)
+    return movement.read(spark, path, SUBMISSION)
+
+
+QUERIES = {f.__name__: f for f in (band_matches, percent_ranks, percent_ranks_by_priority, histogram_equal_width, histogram_equal_depth, yearly_trends, stored_percentiles, contained_text, monthly_movement, monthly_movement_stream)}
+
+def _like(kind: str, table: str, id: str, name: str, sort: str) -> str:
+    return f"SELECT '{kind}' AS kind, t AS looked_for, {id} AS id, {name} AS name, {sort} AS sort FROM {table}, unnest({TEXTS}) u(t) WHERE lower({name}) LIKE '%' || lower(t) || '%' OR lower({sort}) LIKE '%' || lower(t) || '%'"
+
+
+_MOVEMENT = f"""
+    WITH {sql.BINDING}, {sql.points()},
+    m AS (SELECT {sql.SERIES}, publication_date, cutoff_date, CAST(date_diff('day', lag(cutoff_date) OVER w, cutoff_date) AS INT) AS moved_days FROM points WINDOW w AS (PARTITION BY {sql.SERIES} ORDER BY publication_date)),
+    t AS (SELECT *, avg(moved_days) OVER (PARTITION BY {sql.SERIES} ORDER BY publication_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS trend_days, CAST(greatest(date_diff('day', cutoff_date, DATE '{SUBMISSION}'), 0) AS INT) AS gap FROM m)
+    SELECT {sql.SERIES}, publication_date, cutoff_date, moved_days, trend_days, CASE WHEN cutoff_date IS NULL THEN 0 ELSE gap END AS gap_days,
+      CASE WHEN cutoff_date IS NULL OR gap = 0 THEN 0.0::DOUBLE WHEN trend_days > 0 THEN gap / trend_days END AS wait_months
+    FROM t
+"""
+_PERCENTILE = lambda p: f"s[CAST(floor((n - 1) * {p}) AS INT) + 1] + (s[least(CAST(floor((n - 1) * {p}) AS INT) + 2, n)] - s[CAST(floor((n - 1) * {p}) AS INT) + 1]) * ((n - 1) * CAST({p} AS DOUBLE) - floor((n - 1) * CAST({p} AS DOUBLE)))"
 
 ORACLE_SQL = {
+    "stored_percentiles": f"""
+        WITH g AS (
+          SELECT l_suppkey AS employer, l_linestatus AS source, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(20,4))) AS total,
+            min(l_extendedprice) AS low, max(l_extendedprice) AS high, list(l_extendedprice ORDER BY l_extendedprice) AS s
+          FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2, 3
+        )
+        SELECT employer, source, year, n, CAST(total AS DOUBLE) / n AS mean, low, high, true AS exact, {_PERCENTILE(0.5)} AS median, {_PERCENTILE(0.9)} AS upper FROM g
+    """,
+    "contained_text": _like("customer", "customer", "c_custkey", "c_name", "c_mktsegment") + " UNION ALL " + _like("part", "part", "p_partkey", "p_name", "p_type"),
+    "monthly_movement": _MOVEMENT,
+    "monthly_movement_stream": _MOVEMENT,
     "band_matches": """
         WITH o AS (SELECT o_orderkey, o_custkey AS k, o_totalprice AS v, CAST(o_orderdate AS DATE) AS d FROM orders),
         r AS (SELECT k, v, d, min(o_orderkey) AS id FROM o WHERE v > 0 GROUP BY k, v, d),
