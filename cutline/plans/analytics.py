@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.operators import matching, ranks, series, stored_stats, text_index
+from cutline.operators import history, matching, names, ranks, rollups, scenarios, series, stored_stats, text_index
 from cutline.plans import sql
 from cutline.shared import new_path, stored
+from cutline.sources import delimited
 from cutline.sources.bindings import cutoffs
 from cutline.streaming import movement
 
@@ -90,7 +91,65 @@ def monthly_movement_stream(spark, sf_dir):
     return movement.read(spark, path, SUBMISSION)
 
 
-QUERIES = {f.__name__: f for f in (band_matches, percent_ranks, percent_ranks_by_priority, histogram_equal_width, histogram_equal_depth, yearly_trends, stored_percentiles, contained_text, monthly_movement, monthly_movement_stream)}
+#: How the names of parts are spelled, by the last digits of their keys.
+SPELLED = "CASE p_partkey % 12 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' Inc.' WHEN 2 THEN p_name || ', LLC' WHEN 3 THEN substr(p_name, 1, 2) || substr(p_name, 4) WHEN 4 THEN substr(p_name, 1, 1) || p_name WHEN 5 THEN substr(p_name, 1, 1) || 'x' || substr(p_name, 3) ELSE p_name END"
+
+
+def canonical_names(spark, sf_dir):
+    return names.canonical_names(_table(spark, sf_dir, "part").select(F.expr(SPELLED).alias("name")), "name")
+
+
+def changelog(spark, sf_dir):
+    """Customers and the priority of their last order of each day as a grade that holds until another is known; taken in by three batches in no order of time."""
+    rows = _table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderkey", "o_orderpriority")
+    key, values = ["o_custkey"], ["o_orderpriority"]
+    seen, found = None, None
+    for part in (1, 0, 2):
+        batch = rows.where(F.col("o_orderkey") % 3 == part)
+        seen = stored(history.observe(seen, batch, key, values, "day", "o_orderkey"))
+        found = stored(history.intervals(seen, key, values, "day") if found is None else history.merge(found, seen, batch, key, values, "day"))
+    return found
+
+
+def changelog_as_of(spark, sf_dir):
+    return history.as_of(changelog(spark, sf_dir), "1997-06-15").drop("valid_to")
+
+
+def balance_rollup(spark, sf_dir):
+    """Balances of customers by region, nation and segment, with shares and places."""
+    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    rows = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rollups.rollup_shares(rows, ["r_name", "n_name", "c_mktsegment"], "c_acctbal")
+
+
+def top_segments(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rollups.rollup_shares(rows, ["n_name", "c_mktsegment"], "c_acctbal", top=3).where("depth = 2").drop("depth")
+
+
+def period_rates(spark, sf_dir):
+    return scenarios.period_rates(series.points(cutoffs(spark, sf_dir)))
+
+
+def wait_scenarios(spark, sf_dir):
+    return scenarios.wait_scenarios(series.points(cutoffs(spark, sf_dir)), SUBMISSION)
+
+
+def csv_orders(spark, sf_dir):
+    """Orders written as lines of CSV by year, some of them spoilt, and read back: all rows that fit, and the keys of those that do not with the reason."""
+    path, orders = new_path(spark, "csv-orders"), _table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    cents = F.when(k % 97 == 5, F.lit("a lot")).otherwise(F.round(F.col("o_totalprice") * 100).cast("long").cast("string"))
+    status = F.when(k % 89 == 7, F.lit("")).otherwise(F.col("o_orderstatus"))
+    line = F.concat_ws(",", k.cast("string"), F.when(k % 83 != 3, F.col("o_custkey").cast("string")), status, cents)
+    orders.select(line.alias("value"), F.year("o_orderdate").alias("year")).write.partitionBy("year").text(path)
+    rows = delimited.read(spark, path, "orderkey long, custkey long, status string, cents long", required=["status"], header=False)
+    key = F.coalesce(F.when(F.col("reason") == "malformed", F.split("line", ",")[0].cast("long")), F.col("orderkey"))
+    fits = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    return rows.select(key.alias("orderkey"), fits("custkey"), fits("status"), fits("cents"), "year", "reason")
+
+
+QUERIES = {f.__name__: f for f in (band_matches, percent_ranks, percent_ranks_by_priority, histogram_equal_width, histogram_equal_depth, yearly_trends, stored_percentiles, contained_text, monthly_movement, monthly_movement_stream, canonical_names, changelog, changelog_as_of, balance_rollup, top_segments, period_rates, wait_scenarios, csv_orders)}
 
 def _like(kind: str, table: str, id: str, name: str, sort: str) -> str:
     return f"SELECT '{kind}' AS kind, t AS looked_for, {id} AS id, {name} AS name, {sort} AS sort FROM {table}, unnest({TEXTS}) u(t) WHERE lower({name}) LIKE '%' || lower(t) || '%' OR lower({sort}) LIKE '%' || lower(t) || '%'"
@@ -105,8 +164,58 @@ _MOVEMENT = f"""
     FROM t
 """
 _PERCENTILE = lambda p: f"s[CAST(floor((n - 1) * {p}) AS INT) + 1] + (s[least(CAST(floor((n - 1) * {p}) AS INT) + 2, n)] - s[CAST(floor((n - 1) * {p}) AS INT) + 1]) * ((n - 1) * CAST({p} AS DOUBLE) - floor((n - 1) * CAST({p} AS DOUBLE)))"
+_NEAR = "row_number() OVER (PARTITION BY a.form ORDER BY b.n DESC, b.form)"
+_NAMES = f"""
+    WITH s AS (SELECT {SPELLED} AS variation, count(*) AS n FROM part GROUP BY 1),
+    f AS MATERIALIZED (SELECT *, regexp_replace(trim(regexp_replace(lower(variation), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '( (inc|llc))+$', '') AS form FROM s),
+    g AS MATERIALIZED (SELECT form, sum(n) AS n FROM f GROUP BY form),
+    p0 AS MATERIALIZED (SELECT form, root FROM (SELECT a.form, b.form AS root, {_NEAR} AS r FROM g a JOIN g b ON a.form = b.form OR length(a.form) >= 4 AND length(b.form) >= 4 AND levenshtein(a.form, b.form) = 1) WHERE r = 1),
+    {", ".join(f"p{i + 1} AS MATERIALIZED (SELECT a.form, b.root FROM p{i} a JOIN p{i} b ON a.root = b.form)" for i in range(6))},
+    v AS (SELECT f.*, root FROM f JOIN p6 USING (form))
+    SELECT variation, n, first_value(variation) OVER (PARTITION BY root ORDER BY n DESC, variation) AS canonical FROM v
+"""
+_CHANGES = """
+    WITH d AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1, 2),
+    l AS (SELECT *, lag(o_orderpriority) OVER w AS was, row_number() OVER w AS r FROM d WINDOW w AS (PARTITION BY o_custkey ORDER BY day)),
+    c AS (SELECT o_custkey, o_orderpriority, day AS valid_from, lead(day) OVER (PARTITION BY o_custkey ORDER BY day) AS valid_to FROM l WHERE r = 1 OR was IS DISTINCT FROM o_orderpriority)
+"""
+
+
+def _shares(levels: list[str], source: str) -> str:
+    parts = []
+    for depth in range(len(levels) + 1):
+        given, parent = levels[:depth], levels[: max(0, depth - 1)]
+        over = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        names = "".join(f"{c}, " for c in given) + "".join(f"NULL AS {c}, " for c in levels[depth:])
+        parts.append(f"SELECT {names}{depth} AS depth, n, CAST(t AS DOUBLE) AS total, CAST(t AS DOUBLE) * 100 / CAST(sum(t) OVER ({over}) AS DOUBLE) AS share, CAST(row_number() OVER ({over} ORDER BY t DESC{''.join(f', {c}' for c in given)}) AS INT) AS place FROM (SELECT {''.join(f'{c}, ' for c in given)}count(*) AS n, sum(CAST(c_acctbal AS DECIMAL(38,4))) AS t FROM {source}{' GROUP BY ' + ', '.join(given) if given else ''})")
+    return " UNION ALL ".join(parts)
+
+
+_RATES = f"""
+    WITH {sql.BINDING}, {sql.points()},
+    e AS (SELECT {sql.SERIES}, CAST(year(publication_date) // 5 * 5 AS INT) AS period, count(*) AS n, min(publication_date) AS first_date, max(publication_date) AS last_date,
+      arg_min(cutoff_date, publication_date) AS first_cutoff, arg_max(cutoff_date, publication_date) AS last_cutoff FROM points WHERE cutoff_date IS NOT NULL GROUP BY ALL),
+    r AS (SELECT * EXCLUDE (first_cutoff), CASE WHEN last_date > first_date THEN date_diff('day', first_cutoff, last_cutoff) * CAST(12 AS DOUBLE) / date_diff('day', first_date, last_date) END AS months_per_year FROM e)
+"""
 
 ORACLE_SQL = {
+    "canonical_names": _NAMES,
+    "changelog": _CHANGES + " SELECT * FROM c",
+    "changelog_as_of": _CHANGES + " SELECT o_custkey, o_orderpriority, valid_from FROM c WHERE valid_from <= DATE '1997-06-15' AND (valid_to IS NULL OR valid_to > DATE '1997-06-15')",
+    "balance_rollup": _shares(["r_name", "n_name", "c_mktsegment"], "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "top_segments": "SELECT * EXCLUDE (depth) FROM (" + _shares(["n_name", "c_mktsegment"], "customer JOIN nation ON c_nationkey = n_nationkey") + ") WHERE depth = 2 AND place <= 3",
+    "period_rates": _RATES + " SELECT * FROM r",
+    "wait_scenarios": _RATES + f""",
+        b AS (SELECT {sql.SERIES}, max(months_per_year) AS best, arg_max(months_per_year, period) AS latest, arg_max(last_cutoff, period) AS last_cutoff FROM r GROUP BY ALL),
+        w AS (SELECT {sql.SERIES}, scenario, last_cutoff, greatest(date_diff('day', last_cutoff, DATE '{SUBMISSION}'), 0) / CAST(30.4375 AS DOUBLE) AS gap_months, CASE base WHEN 'best' THEN best ELSE latest END * CAST(factor AS DOUBLE) AS months_per_year
+          FROM b, (VALUES ('optimistic', 'best', 1.0), ('current', 'latest', 1.0), ('pessimistic', 'latest', 0.5), ('doubled quota', 'latest', 2.0)) s(scenario, base, factor))
+        SELECT *, CASE WHEN gap_months = 0 THEN 0 WHEN months_per_year > 0 THEN gap_months / months_per_year END AS wait_years FROM w
+    """,
+    "csv_orders": """
+        WITH o AS (SELECT *, CASE WHEN o_orderkey % 97 = 5 OR o_orderkey % 83 = 3 THEN 'malformed' WHEN o_orderkey % 89 = 7 THEN 'missing status' END AS reason FROM orders)
+        SELECT o_orderkey AS orderkey, CASE WHEN reason IS NULL THEN o_custkey END AS custkey, CASE WHEN reason IS NULL THEN o_orderstatus END AS status,
+          CASE WHEN reason IS NULL THEN CAST(round(o_totalprice * 100) AS BIGINT) END AS cents, CAST(year(o_orderdate) AS INT) AS year, reason FROM o
+    """,
     "stored_percentiles": f"""
         WITH g AS (
           SELECT l_suppkey AS employer, l_linestatus AS source, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(20,4))) AS total,
