@@ -1,4 +1,4 @@
-"""Delimited files with a given schema: the rows that fit it, and the lines that do not."""
+"""Delimited lines with a given schema: the rows that fit it, and the lines that do not."""
 
 from __future__ import annotations
 
@@ -10,21 +10,25 @@ LINE = "_line"
 
 
 def read(spark: SparkSession, path: str, schema: str | StructType, required: list[str] | None = None, header: bool = True, **options: str) -> DataFrame:
-    """The files' rows with file (its name), reason (null for a row that fits) and line (the text of one that does not).
+    """A row for each line that is not blank: the schema's columns, those of the folders, file (its name), reason (null for a row that fits) and line (the text).
 
     A line is rejected as `malformed` if it has too few or too many fields or a value that its column's type cannot hold, and as
-    `missing x` if it fits but x, one of `required`, is empty. Folders named column=value are columns, and a condition on
-    them leaves the others' files unopened. options: those of Spark's CSV reader.
+    `missing x` if it fits but x, one of `required`, is empty. header: lines that are just the columns' names are passed over.
+    Folders named column=value are columns, and a condition on them leaves the others' files unopened. options: those of
+    from_csv, such as sep. Lines are parsed whole whichever columns are asked for; a record has one line.
     """
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    whole = StructType(list(fields.fields)).add(LINE, "string")
-    given = {"header": str(header).lower(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": LINE, "columnPruning": "false", "enforceSchema": "true"} | options
-    rows = spark.read.options(**given).schema(whole).csv(path)
-    reason = F.when(F.col(LINE).isNotNull(), F.lit("malformed"))
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{LINE} string"])
+    lines = spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    lines = lines.where(F.trim("value") != "").select(*folders, "value", F.col("_metadata.file_name").alias("file"))
+    if header:
+        lines = lines.where(F.trim("value") != options.get("sep", ",").join(fields.names))
+    parsed = lines.withColumn("_row", F.from_csv("value", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": LINE} | options))
+    reason = F.when(F.col("_row").isNull() | F.col(f"_row.{LINE}").isNotNull(), F.lit("malformed"))
     for name in required or []:
-        reason = reason.when(F.col(name).isNull(), F.lit(f"missing {name}"))
-    extra = [c for c in rows.columns if c not in whole.names]
-    return rows.select(*fields.names, *extra, F.col("_metadata.file_name").alias("file"), reason.alias("reason"), F.col(LINE).alias("line"))
+        reason = reason.when(F.col(f"_row.{name}").isNull(), F.lit(f"missing {name}"))
+    return parsed.select(*(F.col(f"_row.`{c}`").alias(c) for c in fields.names), *folders, "file", reason.alias("reason"), F.col("value").alias("line"))
 
 
 def accepted(rows: DataFrame) -> DataFrame:
@@ -32,6 +36,5 @@ def accepted(rows: DataFrame) -> DataFrame:
 
 
 def rejected(rows: DataFrame) -> DataFrame:
-    """(file, reason, line) of the lines that were not taken; a line that fits but lacks a value has its columns as JSON."""
-    own = [c for c in rows.columns if c not in ("file", "reason", "line")]
-    return rows.where("reason is not null").select("file", "reason", F.coalesce("line", F.to_json(F.struct(*own))).alias("line"))
+    """(file, reason, line) of the lines that were not taken."""
+    return rows.where("reason is not null").select("file", "reason", "line")
