@@ -172,7 +172,12 @@ def absolute_url(href: Column, base: str) -> Column:
     return F.when(href.startswith("/"), F.concat(F.lit(base), href)).when(href.startswith("http"), href).otherwise(F.concat(F.lit(base + "/"), href))
 
 
+def shown_date(date: Column) -> Column:
+    """A date as in Jan 05, 2024."""
+    return F.date_format(date, "MMM dd, yyyy")
+
+
 def month_of_name(url: Column) -> Column:
     """The month in a file name `…-Month-Year.html`; null if it has none."""
-    name = F.substring_index(F.substring_index(F.substring_index(url, "?", 1), "/", -1), ".html", 1)
+    name = F.substring_index(F.substring_index(F.regexp_replace(url, "[?#].*$", ""), "/", -1), ".html", 1)
     return F.try_to_date(F.concat(F.initcap(F.regexp_extract(name, r"([A-Za-z]+)-(\d{4})$", 1)), F.lit("-"), F.regexp_extract(name, r"([A-Za-z]+)-(\d{4})$", 2)), "MMMM-yyyy")

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutline.functions.vocabulary import shown_date
+
 # The colours of the classes, in order.
 PALETTE = ["#0d6efd", "#198754", "#dc3545", "#ffc107", "#6f42c1", "#fd7e14", "#20c997", "#e83e8c"]
 CHART = ["visa_category", "country", "action_type"]
@@ -55,3 +57,38 @@ def visible_range(rows: DataFrame) -> DataFrame:
     r = rows.where("kind <> 'priority'").groupBy(*CHART).agg(F.min(ms("x")).alias("a"), F.max(ms("x")).alias("b"), F.min(ms("y")).alias("c"), F.max(ms("y")).alias("d"))
     wide = lambda low, high: ((F.col(high) - F.col(low)) * 0.05)
     return r.select(*CHART, (F.col("a") - wide("a", "b")).alias("x_min"), (F.col("b") + wide("a", "b")).alias("x_max"), (F.col("c") - wide("c", "d")).alias("y_min"), (F.col("d") + wide("c", "d")).alias("y_max"))
+
+
+def cards(series: DataFrame) -> DataFrame:
+    """The series (rows of projected_series) that have an estimated date, for which alone a card is shown."""
+    return series.where("estimated_date is not null")
+
+
+def documents(series: DataFrame, submission: str | datetime.date) -> DataFrame:
+    """One row per chart: chart_json (its traces in order), trace_info (JSON of each class's traces and colour), priority_date_trace_idx, submission_date_formatted.
+
+    A trace has trace_idx, kind, name (null for the line of the date), color, x and y; dates are written YYYY-MM-DD, and a month without a cutoff has a null y.
+    """
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    keys = [*CHART, "trace_idx", "kind", "visa_class_label", "color"]
+    points = traces(series, submission).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
+    axis = lambda name: F.transform("p", lambda point: day(point[name]))
+    trace = F.struct("trace_idx", "kind", F.col("visa_class_label").alias("name"), "color", axis("x").alias("x"), axis("y").alias("y"))
+    charts = points.groupBy(*CHART).agg(F.to_json(F.array_sort(F.collect_list(trace))).alias("chart_json"))
+    indices = F.when(F.col("has_projection"), F.array(F.col("first_trace"), F.col("first_trace") + 1)).otherwise(F.array("first_trace"))
+    info = F.struct("place", F.struct("visa_class", F.col("visa_class_label").alias("label"), "color", indices.alias("trace_indices")).alias("of"))
+    classes = trace_index(series).groupBy(*CHART).agg(F.array_sort(F.collect_list(info)).alias("info"), F.sum("width").cast("int").alias("priority_date_trace_idx"))
+    shown = shown_date(F.lit(str(submission)).cast("date"))
+    return charts.join(classes, CHART).select(*CHART, "chart_json", F.to_json(F.transform("info", lambda i: i["of"])).alias("trace_info"), "priority_date_trace_idx", shown.alias("submission_date_formatted"))
+
+
+# What a request asks for where it does not say.
+DEFAULTS = {"visa_category": "family_sponsored", "country": "all", "action_type": "final_action"}
+
+
+def requests(asked: DataFrame, series: DataFrame) -> DataFrame:
+    """The rows asked, with what is missing of DEFAULTS filled in, the number of classes that the chart has, and has_data."""
+    full = asked.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default)) for c, default in DEFAULTS.items()})
+    counts = series.groupBy(*CHART).agg(F.count("*").alias("classes"))
+    rows = full.join(counts, CHART, "left").withColumn("classes", F.coalesce("classes", F.lit(0)).cast("long"))
+    return rows.withColumn("has_data", F.col("classes") > 0)

@@ -111,9 +111,9 @@ def seo_metadata(facts: DataFrame, months: DataFrame, today: str = "2025-12-01",
 
 
 def status_lines(facts: DataFrame, months: DataFrame) -> DataFrame:
-    """The status distribution as lines of a report: name, count with thousands, percent."""
+    """The status distribution as lines of a report: name, count with thousands, percent (0.0 where there are no rows)."""
     rows = status_distribution(facts, months)
-    line = lambda name, c: F.concat(F.rpad(F.lit(name), 19, " "), F.format_string("%,6d records (%.1f%%)", c, 100.0 * F.col(c) / F.col("total")))
+    line = lambda name, c: F.concat(F.rpad(F.lit(name), 19, " "), F.format_string("%,6d records (%.1f%%)", c, F.coalesce(F.try_divide(100.0 * F.col(c), F.col("total")), F.lit(0.0))))
     return rows.select(F.posexplode(F.array(line("Current (C):", "current"), line("Unavailable (U):", "unavailable"), line("With dates:", "dated"))).alias("place", "line"))
 
 
@@ -126,8 +126,10 @@ def bulletin_lines(facts: DataFrame, months: DataFrame) -> DataFrame:
 
 
 def point_heading(facts: DataFrame, months: DataFrame, search: str = "f1 el salvador") -> DataFrame:
-    """The heading of a point query: the class, and the country in capitalised words."""
+    """The heading of a point query: the class, and the country in capitalised words. Fewer than two words are a ValueError, as there."""
     parts = search.upper().split()
+    if len(parts) < 2:
+        raise ValueError("search for a class and a country, as in 'F1 China'")
     return facts.sparkSession.createDataFrame([(parts[0], " ".join(parts[1:]))], "c string, k string").select(F.concat("c", F.lit(" - "), F.initcap("k"), F.lit(" (Last 20 bulletins)")).alias("heading"))
 
 

@@ -101,6 +101,22 @@ def visible_range(spark, sf_dir):
     return chart.visible_range(chart.traces(_chart(spark, sf_dir), SUBMISSION)).drop(*chart.CHART)
 
 
+def chart_json(spark, sf_dir):
+    return chart.documents(series.projected_series(_points(spark, sf_dir), SUBMISSION), SUBMISSION)
+
+
+def projection_cards(spark, sf_dir):
+    return chart.cards(series.projected_series(_points(spark, sf_dir), SUBMISSION)).select(*series.SERIES, *series.PROJECTION)
+
+
+def chart_requests(spark, sf_dir):
+    """Customers as visitors who ask for a category, a country and an action, or leave some of them out."""
+    k = F.col("c_custkey")
+    given = lambda c, rest, values: F.when(k % rest == 0, F.lit(None)).when(k % rest == 1, "").otherwise(F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))).alias(c)
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", given("visa_category", 5, ["family_sponsored", "employment_based"]), given("country", 7, ["all", "china", "india", "nowhere"]), given("action_type", 4, ["final_action", "filing", "dates_for_filing"]))
+    return chart.requests(asked, series.series(_points(spark, sf_dir)))
+
+
 def priority_line(spark, sf_dir):
     return chart_traces(spark, sf_dir).where("kind = 'priority'").select("x", "y")
 
@@ -189,7 +205,7 @@ def _synthetic(spark) -> DataFrame:
     return pages.tables(literals(spark, made, "url string, content string, publication_date date"))
 
 
-QUERIES = {f.__name__: f for f in (projection, class_points, class_series, cutoff_facts, series_join, upsert_cutoffs, upsert_bulletins, new_bulletins, new_bulletins_preview, series_with_projection, trace_index, chart_traces, all_chart_traces, shown_traces, visible_range, priority_line, link_discovery, index_links, employment_class, family_class, country_from_header, cell_dates, month_math, submission_dates, bulletin_urls, normalize_text, masked_dates, unpivot_cells, table_extract, page_outcomes, page_counters)}
+QUERIES = {f.__name__: f for f in (projection, class_points, class_series, cutoff_facts, series_join, upsert_cutoffs, upsert_bulletins, new_bulletins, new_bulletins_preview, series_with_projection, trace_index, chart_traces, all_chart_traces, shown_traces, visible_range, chart_json, projection_cards, chart_requests, priority_line, link_discovery, index_links, employment_class, family_class, country_from_header, cell_dates, month_math, submission_dates, bulletin_urls, normalize_text, masked_dates, unpivot_cells, table_extract, page_outcomes, page_counters)}
 QUERIES |= {name: (lambda spark, sf_dir, f=f: f(cutoffs(spark, sf_dir), bulletins(spark, sf_dir))) for name, f in reports.REPORTS.items()}
 QUERIES |= analytics.QUERIES
 ORACLE_SQL = sql.queries(SUBMISSION, ONE) | analytics.ORACLE_SQL

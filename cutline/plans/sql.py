@@ -207,6 +207,9 @@ def queries(sub: str, one: str) -> dict[str, str]:
     split = lambda rule: f"(SELECT *, row_number() OVER (PARTITION BY publication_date, visa_category, visa_class, action_type, country ORDER BY row_ix DESC) AS r FROM cells WHERE {rule})"
     typed = "publication_date, visa_category, visa_class, action_type, country, value AS cutoff_value, CASE WHEN value = 'C' THEN publication_date ELSE TRY_CAST(CASE WHEN length(value) = 10 THEN value END AS DATE) END AS cutoff_date, value = 'C' AS is_current, value = 'U' AS is_unavailable"
     key = "publication_date, visa_category, visa_class, action_type, country"
+    keys = "visa_category, country, action_type"
+    given = lambda c, rest, values, default: f"CASE WHEN c_custkey % {rest} < 2 THEN '{default}' ELSE {values}[c_custkey % {len(values)} + 1] END AS {c}"
+    asked = ", ".join([given("visa_category", 5, ["family_sponsored", "employment_based"], "family_sponsored"), given("country", 7, ["all", "china", "india", "nowhere"], "all"), given("action_type", 4, ["final_action", "filing", "dates_for_filing"], "final_action")])
     return {
         "projection": f"{every}, {projection(sub)} SELECT * FROM projected",
         "class_points": f"{every} SELECT {SERIES}, publication_date, cutoff_date, raw_class FROM points",
@@ -222,6 +225,13 @@ def queries(sub: str, one: str) -> dict[str, str]:
         "visible_range": f"{chart}, r AS (SELECT min(epoch_ms(CAST(x AS TIMESTAMP))) AS a, max(epoch_ms(CAST(x AS TIMESTAMP))) AS b, min(epoch_ms(CAST(y AS TIMESTAMP))) AS c, max(epoch_ms(CAST(y AS TIMESTAMP))) AS d FROM traces WHERE kind <> 'priority') SELECT a - CAST(b - a AS DOUBLE) * CAST(0.05 AS DOUBLE) AS x_min, b + CAST(b - a AS DOUBLE) * CAST(0.05 AS DOUBLE) AS x_max, c - CAST(d - c AS DOUBLE) * CAST(0.05 AS DOUBLE) AS y_min, d + CAST(d - c AS DOUBLE) * CAST(0.05 AS DOUBLE) AS y_max FROM r",
         "series_with_projection": f"{every}, {projection(sub)}, named AS (SELECT {SERIES}, min(CASE WHEN visa_category = 'employment_based' THEN raw_class ELSE label_key END) AS visa_class FROM points GROUP BY ALL) SELECT projected.*, visa_class, publication_date, cutoff_date, {url} AS url FROM points JOIN projected USING ({SERIES}) JOIN named USING ({SERIES}) LEFT JOIN months USING (publication_date)",
         "all_chart_traces": f"{every}, {projection(sub)}, {every_traces(sub)} SELECT visa_category, country, action_type, trace_idx, kind, visa_class_label, x, y, color FROM traces",
+        "projection_cards": f"{every}, {projection(sub)} SELECT * FROM projected WHERE estimated_date IS NOT NULL",
+        "chart_requests": f"{every}, n AS (SELECT visa_category, country, action_type, count(DISTINCT visa_class_label) AS classes FROM points GROUP BY ALL), a AS (SELECT c_custkey, {asked}  FROM customer) SELECT a.*, coalesce(classes, 0) AS classes, classes IS NOT NULL AS has_data FROM a LEFT JOIN n USING (visa_category, country, action_type)",
+        "chart_json": f"""{every}, {projection(sub)}, {every_traces(sub)}, named AS (SELECT {SERIES}, min(CASE WHEN visa_category = 'employment_based' THEN raw_class ELSE label_key END) AS visa_class FROM points GROUP BY ALL),
+            t AS (SELECT {keys}, '{{"trace_idx":' || trace_idx || ',"kind":"' || kind || '"' || coalesce(',"name":"' || visa_class_label || '"', '') || ',"color":"' || color || '","x":[' || string_agg('"' || x || '"', ',' ORDER BY x, y) || '],"y":[' || string_agg(coalesce('"' || y || '"', 'null'), ',' ORDER BY x, y) || ']}}' AS j, trace_idx FROM traces GROUP BY {keys}, trace_idx, kind, visa_class_label, color),
+            c AS (SELECT {keys}, '[' || string_agg(j, ',' ORDER BY trace_idx) || ']' AS chart_json FROM t GROUP BY {keys}),
+            i AS (SELECT {keys}, '[' || string_agg('{{"visa_class":"' || visa_class || '","label":"' || visa_class_label || '","color":"' || color || '","trace_indices":[' || first_trace || CASE WHEN has_projection THEN ',' || (first_trace + 1) ELSE '' END || ']}}', ',' ORDER BY place) || ']' AS trace_info, CAST(sum(1 + CAST(has_projection AS INT)) AS INT) AS priority_date_trace_idx FROM idx JOIN named USING ({SERIES}) GROUP BY {keys})
+            SELECT {keys}, chart_json, trace_info, priority_date_trace_idx, strftime(DATE '{sub}', '%b %d, %Y') AS submission_date_formatted FROM c JOIN i USING ({keys})""",
         "shown_traces": f"{chart} SELECT trace_idx, kind, visa_class_label, x, y, color FROM traces WHERE kind = 'priority' OR visa_class_label IN ('EB-1: Priority Workers', 'EB-3: Other Workers')",
         "new_bulletins_preview": f"{base}, m AS (SELECT publication_date, row_number() OVER (ORDER BY publication_date DESC) AS place FROM months WHERE month(publication_date) > 6) SELECT CAST(place AS INT) AS place, strftime(publication_date, '%B %Y') AS line FROM m WHERE place <= 5 UNION ALL SELECT 6, '... and ' || (count(*) - 5) || ' more' FROM m HAVING count(*) > 5",
         "status_lines": f"{base}, c AS (SELECT count(*) AS total, count_if(is_current) AS a, count_if(is_unavailable) AS b, count_if(NOT is_current AND NOT is_unavailable) AS d FROM facts) SELECT CAST(place AS INT) AS place, rpad(name, 19, ' ') || lpad(format('{{:,}}', CAST(n AS BIGINT)), 6, ' ') || ' records (' || format('{{:.1f}}', CAST(100 AS DOUBLE) * n / total) || '%)' AS line FROM (SELECT 0 AS place, 'Current (C):' AS name, a AS n, total FROM c UNION ALL SELECT 1, 'Unavailable (U):', b, total FROM c UNION ALL SELECT 2, 'With dates:', d, total FROM c)",

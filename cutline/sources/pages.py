@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutline.functions.vocabulary import FAMILY_LEGACY, TITLES, absolute_url, cell_date, country_from_header, cutoff_columns, month_of_name
@@ -14,9 +14,24 @@ from cutline.functions.vocabulary import FAMILY_LEGACY, TITLES, absolute_url, ce
 LAYOUT = "url string, publication_date date, page_ix long, table_ix int, title string, headers array<string>, row_ix int, cells array<string>, error string"
 
 
+#: The value of an anchor's href, in quotes of either kind or bare.
+_HREF = r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+#: The entities that occur in links; the ampersand last, so that nothing is decoded twice.
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&#38;": "&", "&amp;": "&"}
+
+
+def _unescaped(value: Column) -> Column:
+    """An attribute's value without its quotes and entities."""
+    value = F.trim(F.regexp_replace(value, r"""^["']|["']$""", ""))
+    for entity, meant in _ENTITIES.items():
+        value = F.replace(value, F.lit(entity), F.lit(meant))
+    return value
+
+
 def links(pages: DataFrame, base: str, contains: str = "visa-bulletin-for", ends: str = ".html", html: str = "html") -> DataFrame:
     """(url, publication_date): distinct absolute links of the pages, newest month first (without a month last)."""
-    hrefs = pages.select(F.explode(F.regexp_extract_all(F.col(html), F.lit(r"<a\s[^>]*?href=[\"']([^\"']*)[\"']"), 1)).alias("href")).where(F.col("href").contains(contains) & F.col("href").endswith(ends)).distinct()
+    attributes = F.regexp_extract_all(F.col(html), F.lit(_HREF), 1)
+    hrefs = pages.select(F.explode(F.transform(attributes, _unescaped)).alias("href")).where(F.col("href").contains(contains) & F.col("href").endswith(ends)).distinct()
     urls = hrefs.select(absolute_url(F.col("href"), base).alias("url"))
     return urls.withColumn("publication_date", month_of_name(F.col("url"))).orderBy(F.desc_nulls_last("publication_date"), "url")
 
@@ -78,14 +93,15 @@ def _clean(text: str) -> str:
 def page_tables(html: str) -> list[tuple[str, list[list[str]]]]:
     """(title, rows) of a page's tables, the first row holding the headers.
 
-    The title is the underlined text before the table, `earlier than` being passed over. A page without
+    The title is the underlined text before the table, `earlier than` being passed over; it is given up
+    at the twentieth such text, whatever that says. A page without
     any such table is read by the older layout: the first cell names the kind of class.
     """
     parser = _Tables()
     parser.feed(html or "")
     found = []
     for before, rows in parser.tables:
-        title = next((t for t in map(_clean, reversed(before[-20:])) if t != "earlier than"), None)
+        title = next((t for t in map(_clean, reversed(before[-19:])) if t != "earlier than"), None)
         data = [[" ".join(text) for tag, text in row if tag == "td"] for row in rows]
         if title in TITLES and data and len(data[0]) > 1:
             found.append((title, [row for row in data if row]))
@@ -100,8 +116,9 @@ def page_tables(html: str) -> list[tuple[str, list[list[str]]]]:
         if kind is None:
             continue
         body = [[" ".join(text) for tag, text in row if tag == "td"] for row in rows[1:]]
-        body = [[FAMILY_LEGACY.get(_clean(r[0]), _clean(r[0])) if kind == "family" else r[0], *r[1:]] for r in body if len(r) > 1]
-        found.append((kinds[kind], [headers, *body]))
+        body = [[FAMILY_LEGACY.get(r[0], r[0]) if kind == "family" else r[0], *r[1:]] for r in body if len(r) > 1]
+        if body:
+            found.append((kinds[kind], [headers, *body]))
     return found
 
 

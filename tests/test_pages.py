@@ -13,9 +13,26 @@ def _tables(spark, rows, **given):
     return pages.tables(spark.createDataFrame(rows, "url string, content string, publication_date date"), **given)
 
 
-def test_a_title_may_be_the_twentieth_underline():
-    page = lambda n: f"<u>{TITLE}</u>" + "<u>earlier than</u>" * n + "<table><tr><td>a</td><td>INDIA</td></tr><tr><td>F1</td><td>C</td></tr></table>"
-    assert pages.page_tables(page(19)) and not pages.page_tables(page(20))
+def test_the_twentieth_underline_is_one_too_many():
+    page = lambda n, title=TITLE: f"<u>{title}</u>" + "<u>earlier than</u>" * n + "<table><tr><td>a</td><td>INDIA</td></tr><tr><td>F1</td><td>C</td></tr></table>"
+    assert pages.page_tables(page(0)) and pages.page_tables(page(18))
+    assert not pages.page_tables(page(19)) and not pages.page_tables(page(20))
+    assert not pages.page_tables(page(2, "other"))
+
+
+def test_legacy_tables():
+    head = "<table><tr><td>Family</td><td>INDIA</td></tr>"
+    rows = lambda *names: "".join(f"<tr><td>{n}</td><td>C</td></tr>" for n in names)
+    ((_, body),) = pages.page_tables(head + rows("1st", "2 A", "2  A", "F9") + "</table>")
+    assert [r[0] for r in body[1:]] == ["F1", "F2A", "2  A", "F9"]
+    assert not pages.page_tables(head + "</table>") and not pages.page_tables(head + "<tr><td>only</td></tr></table>")
+
+
+def test_links(spark):
+    html = """<A class="a>b" HREF="/x/visa-bulletin-for-may-2020.html">x</A> <a href=/y/visa-bulletin-for-june-2020.html>y</a>
+      <a data-href="/no/visa-bulletin-for-no.html" href='z/visa-bulletin-for-a&amp;b.html'>z</a> <a href="/w/visa-bulletin-for-july-2020.html#top">w</a> <a>none</a> <area href="/visa-bulletin-for-x.html">"""
+    found = pages.links(spark.createDataFrame([(html,), (None,), (html,)], "html string"), "https://e.org", ends="")
+    assert [(r["url"], str(r["publication_date"])) for r in found.collect()] == [("https://e.org/w/visa-bulletin-for-july-2020.html#top", "2020-07-01"), ("https://e.org/y/visa-bulletin-for-june-2020.html", "2020-06-01"), ("https://e.org/x/visa-bulletin-for-may-2020.html", "2020-05-01"), ("https://e.org/z/visa-bulletin-for-a&b.html", "None")]
 
 
 def test_pages_of_one_url_stay_apart(spark):

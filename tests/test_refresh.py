@@ -1,7 +1,7 @@
 import pytest
 
 from cutline.plans.registry import LEGACY, MODERN
-from cutline.streaming.refresh import refresh
+from cutline.streaming.refresh import failed_pages, refresh
 
 
 def _fact(spark, path):
@@ -40,3 +40,36 @@ def test_refresh_of_no_pages(spark, tmp_path):
     refresh(spark, str(tmp_path / "pages"), str(tmp_path / "fact"), str(tmp_path / "c"))
     with pytest.raises(ValueError):
         refresh(spark, str(tmp_path / "pages"), str(tmp_path / "fact"), str(tmp_path / "c"), mode="other")
+
+
+def test_failed_pages_are_tried_again(spark, tmp_path):
+    """A page fails until a marker exists; it is tried three times in a refresh, and again in the next one, after which its cells are there."""
+    folder, fact, log, marker, calls = tmp_path / "pages", str(tmp_path / "fact"), str(tmp_path / "log"), tmp_path / "well", tmp_path / "calls"
+    folder.mkdir()
+    calls.mkdir()
+    (folder / "visa-bulletin-for-march-2023.html").write_text(MODERN)
+    (folder / "visa-bulletin-for-March-2003.html").write_text(LEGACY)
+    well, called = str(marker), str(calls)
+
+    def parse(html):
+        import os
+        import uuid
+
+        from cutline.sources import pages
+
+        if "1<sup>" in html:
+            open(f"{called}/{uuid.uuid4().hex}", "w").close()
+            if not os.path.exists(well):
+                raise ValueError("not now")
+        return pages.page_tables(html)
+
+    given = {"log": log, "delay": 0.01, "parse": parse}
+    refresh(spark, str(folder), fact, str(tmp_path / "c"), **given)
+    assert {r[0] for r in _fact(spark, fact)} == {"2023-03-01"} and len(list(calls.iterdir())) == 3
+    assert [r["url"] for r in failed_pages(spark, log).collect()] == ["visa-bulletin-for-March-2003.html"]
+    marker.write_text("")
+    refresh(spark, str(folder), fact, str(tmp_path / "c"), **given)
+    assert {r[0] for r in _fact(spark, fact)} == {"2003-03-01", "2023-03-01"} and failed_pages(spark, log).isEmpty()
+    before = len(list(calls.iterdir()))
+    refresh(spark, str(folder), fact, str(tmp_path / "c"), **given)
+    assert len(list(calls.iterdir())) == before
