@@ -77,12 +77,16 @@ def refresh_summary(facts: DataFrame, months: DataFrame) -> DataFrame:
 
 
 def sitemap_urls(facts: DataFrame, months: DataFrame, base: str = "https://example.org") -> DataFrame:
-    """The fixed pages and those of each category and country."""
+    """(url, last_month, n): the fixed pages, and those of each category and of each of its countries with the latest month and the number of cutoffs shown there."""
     spark = facts.sparkSession
-    categories = spark.createDataFrame([("employment-based",), ("family-sponsored",)], "c string")
-    countries = spark.createDataFrame([("",), *((f"{c}/",) for c in COUNTRIES if c != "all")], "k string")
-    made = categories.crossJoin(countries).select(F.concat(F.lit(base + "/"), "c", F.lit("/"), "k").alias("url"))  # 2 x 6 rows
-    return spark.createDataFrame([(f"{base}/{x}",) for x in ("", "faq/", "about/", "contact/")], "url string").unionByName(made)
+    counts = facts.groupBy("visa_category", "country").agg(F.max("publication_date").alias("last"), F.count("*").alias("n"))
+    wanted = [(c, k, f"{base}/{c.replace('_', '-')}/" + (f"{k}/" if k else "")) for c in CATEGORIES for k in ("", *COUNTRIES) if k != "all"]
+    pages = spark.createDataFrame(wanted, "c string, k string, url string")
+    shown = pages.join(F.broadcast(pages.sparkSession.createDataFrame([(k, x) for k in COUNTRIES for x in ({k, ""} - {"all"})], "country string, k string")), "k")
+    shown = shown.join(counts, (shown["c"] == counts["visa_category"]) & (shown["country"] == counts["country"]), "left")
+    shown = shown.groupBy("url").agg(F.max("last").alias("last_month"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    fixed = spark.createDataFrame([(f"{base}/{x}",) for x in ("", "faq/", "about/", "contact/")], "url string")
+    return fixed.select("url", F.lit(None).cast("date").alias("last_month"), F.lit(None).cast("long").alias("n")).unionByName(shown)
 
 
 def seo_metadata(facts: DataFrame, months: DataFrame, today: str = "2025-12-01", site: str = "Cutline", base: str = "https://example.org") -> DataFrame:
@@ -125,12 +129,19 @@ def bulletin_lines(facts: DataFrame, months: DataFrame) -> DataFrame:
     return bulletin_counts(facts, months).select(F.format_string("%-15s %-,10d", F.col("publication_date").cast("string"), "n").alias("line"))
 
 
-def point_heading(facts: DataFrame, months: DataFrame, search: str = "f1 el salvador") -> DataFrame:
-    """The heading of a point query: the class, and the country in capitalised words. Fewer than two words are a ValueError, as there."""
-    parts = search.upper().split()
-    if len(parts) < 2:
-        raise ValueError("search for a class and a country, as in 'F1 China'")
-    return facts.sparkSession.createDataFrame([(parts[0], " ".join(parts[1:]))], "c string, k string").select(F.concat("c", F.lit(" - "), F.initcap("k"), F.lit(" (Last 20 bulletins)")).alias("heading"))
+def headings(searches: DataFrame, search: str) -> DataFrame:
+    """The rows with the heading of each point query: the class in upper case, and the country with a capital after every other character than a letter; null for fewer than two words."""
+    words = F.split(F.trim(F.upper(search)), r"\s+")
+    country = F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), " ")
+    parts = F.regexp_extract_all(country, F.lit(r"[^\p{L}]*\p{L}+|[^\p{L}]+$"), F.lit(0))
+    titled = F.array_join(F.transform(parts, lambda p: F.concat(F.regexp_extract(p, r"^[^\p{L}]*", 0), F.initcap(F.regexp_extract(p, r"\p{L}+$", 0)))), "")
+    return searches.withColumn("heading", F.when(F.size(words) >= 2, F.concat(F.element_at(words, 1), F.lit(" - "), titled, F.lit(" (Last 20 bulletins)"))))
+
+
+def point_heading(facts: DataFrame, months: DataFrame) -> DataFrame:
+    """(search, heading, n) of the point query for each class and country that there are cutoffs of."""
+    searches = facts.groupBy(F.concat_ws(" ", F.lower("visa_class"), "country").alias("search")).agg(F.count("*").alias("n"))
+    return headings(searches, "search").select("search", "heading", "n")
 
 
 def preview(months: DataFrame, most: int = 5) -> DataFrame:

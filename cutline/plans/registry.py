@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +17,6 @@ ONE = "visa_category = 'employment_based' AND country = 'china' AND action_type
 FLAGSHIP = "projection"
 
 
-def literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame([tuple(datetime.date.fromisoformat(x[5:]) if isinstance(x, str) and x.startswith("date:") else x for x in r) for r in rows], schema)
-
-
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.points(cutoffs(spark, sf_dir))
 
@@ -127,39 +121,48 @@ def link_discovery(spark, sf_dir):
 
 
 def index_links(spark, sf_dir):
-    return pages.links(literals(spark, [(INDEX,)], "html string"), "https://example.org")
+    return pages.links(bindings.index_pages(spark, sf_dir), "https://example.org")
+
+
+def _spread(spark: SparkSession, sf_dir: str, column: str, texts: list[tuple]) -> DataFrame:
+    """(o_orderkey, column): the texts dealt over all orders."""
+    every = F.array(*(F.lit(t) for (t,) in texts))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.element_at(every, (F.col("o_orderkey") % len(texts) + 1).cast("int")).alias(column))
 
 
 NAMES = [(x,) for x in ("1st", "1 st", "2nd", "3rd", "3rd Other Workers", "4th", "4th Religious", "5th Set Aside: (Rural - 20%)", "5th Set Aside: (Rural: NR, RR - 20%)", "5th Set Aside: (High Unemployment - 10%)", "5th Set Aside: Infrastructure (2%, including RI)", "5th Set Aside: (Infrastructure - 2%)", "RURAL (20%)", "High Unemployment (10%, including NH, RH)", "Unknown Visa Class XYZ", "EB-1", "Infrastructure (2%, including RI)", "5th Unreserved (C5, T5, and all others)", "5th Non-Regional Center (C5 and T5)", "5th Targeted Employ-ment Areas", "5th Pilot Programs", "EB5", "EB1", "Other Workers", "Certain RELIGIOUS Workers", "Schedule A Workers", "Iraqi & Afghani Translators", "Foo  Bar", "A - B", "C", "current 5")]
 HEADERS = [(x,) for x in ("CHINA-mainland born", "CHINA", "INDIA", " india ", "MEXICO", "Philippines", "EL SALVADOR GUATEMALA HONDURAS", "All Chargeability Areas Except Those Listed", "All Chargeability  Areas\nExcept Those Listed", "ALL AREAS", "DOMINICAN REPUBLIC", "")]
 CELLS = [(x,) for x in ("01DEC14", "01APR01", "C", "U", "01DEC98", "01JAN69", "01JAN68", "01dec14", "1DEC14", "31FEB20", "01SEPT20", "", "NA", "2016-11-08")]
-PAIRS = [("date:2024-01-01", "date:2024-01-31"), ("date:2024-01-01", "date:2024-02-01"), ("date:2023-11-01", "date:2024-02-01"), ("date:2024-03-15", "date:2023-12-31")]
+FAMILY = [(x,) for x in ("1st", "1 st", "2A", "2 A", "2B", "3rd", "4th", "F4", "X")]
+LINES = [(x,) for x in ("  multiple   spaces  ", "line\nbreak\nhere", "tab\ttab\ttab", "a\xa0b", "")]
 DATES = [(x,) for x in ("01/15/2024", "1/5/2024", "2024-01-01", "2024-1-1", "invalid-date", "", "13/01/2024", "2024-02-30")]
 
 
 def employment_class(spark, sf_dir):
-    return literals(spark, NAMES, "name string").select("name", v.employment_class(F.col("name")).alias("display"))
+    return _spread(spark, sf_dir, "name", NAMES).withColumn("display", v.employment_class(F.col("name")))
 
 
 def family_class(spark, sf_dir):
-    return literals(spark, [(x,) for x in ("1st", "1 st", "2A", "2 A", "2B", "3rd", "4th", "F4", "X")], "name string").select("name", v.family_class(F.col("name")).alias("display"))
+    return _spread(spark, sf_dir, "name", FAMILY).withColumn("display", v.family_class(F.col("name")))
 
 
 def country_from_header(spark, sf_dir):
-    return literals(spark, HEADERS, "header string").select("header", v.country_from_header(F.col("header")).alias("country"))
+    return _spread(spark, sf_dir, "header", HEADERS).withColumn("country", v.country_from_header(F.col("header")))
 
 
 def cell_dates(spark, sf_dir):
-    rows = literals(spark, CELLS, "cell string").withColumn("published", F.lit("2025-12-01").cast("date"))
-    return rows.select("cell", *(c.alias(n) for n, c in v.cutoff_columns(F.col("cell"), F.col("published")).items()))
+    rows = _spread(spark, sf_dir, "cell", CELLS).withColumn("published", F.lit("2025-12-01").cast("date"))
+    return rows.select("o_orderkey", "cell", *(c.alias(n) for n, c in v.cutoff_columns(F.col("cell"), F.col("published")).items()))
 
 
 def month_math(spark, sf_dir):
-    return literals(spark, PAIRS, "a date, b date").select("a", "b", v.months_between(F.col("a"), F.col("b")).alias("months"), v.add_months(F.col("a"), F.lit(3)).alias("later"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("a"), F.col("o_custkey"))
+    rows = orders.withColumn("b", F.date_add("a", (F.col("o_custkey") * 37 % 900 - 300).cast("int")))
+    return rows.select("o_orderkey", "a", "b", v.months_between(F.col("a"), F.col("b")).alias("months"), v.add_months(F.col("a"), F.lit(3)).alias("later"))
 
 
 def submission_dates(spark, sf_dir):
-    return literals(spark, DATES, "given string").select("given", v.submission_date(F.col("given"), F.lit("2025-12-01").cast("date")).alias("submission"))
+    return _spread(spark, sf_dir, "given", DATES).withColumn("submission", v.submission_date(F.col("given"), F.lit("2025-12-01").cast("date")))
 
 
 def bulletin_urls(spark, sf_dir):
@@ -167,45 +170,43 @@ def bulletin_urls(spark, sf_dir):
 
 
 def normalize_text(spark, sf_dir):
-    texts = [("  multiple   spaces  ",), ("line\nbreak\nhere",), ("tab\ttab\ttab",), ("a\xa0b",), ("",)]
-    return literals(spark, texts, "line string").select("line", v.normalize(F.col("line")).alias("clean"))
+    return _spread(spark, sf_dir, "line", LINES).withColumn("clean", v.normalize(F.col("line")))
 
 
 def masked_dates(spark, sf_dir):
     typed = F.col("typed")
-    return literals(spark, TYPED, "typed string").select("typed", v.masked_date(typed).alias("masked"), v.is_valid_date(typed).alias("valid"))
+    return _spread(spark, sf_dir, "typed", TYPED).select("o_orderkey", "typed", v.masked_date(typed).alias("masked"), v.is_valid_date(typed).alias("valid"))
 
 
 def unpivot_cells(spark, sf_dir):
-    return pages.unpivot(_synthetic(spark)).select(*store.FACT)
+    return pages.unpivot(_parsed(spark, sf_dir)).select(*store.FACT)
 
 
 def table_extract(spark, sf_dir):
-    return _synthetic(spark).where("table_ix is not null").select("url", "publication_date", "table_ix", "title", "row_ix", F.array_join("cells", "|").alias("cells"))
+    return _parsed(spark, sf_dir).where("table_ix is not null").select("url", "publication_date", "table_ix", "title", "row_ix", F.array_join("cells", "|").alias("cells"))
 
 
 def page_outcomes(spark, sf_dir):
-    return pages.outcomes(_synthetic(spark))
+    return pages.outcomes(_parsed(spark, sf_dir))
 
 
 def page_counters(spark, sf_dir):
-    return pages.run_counters(pages.outcomes(_synthetic(spark)))
+    return pages.run_counters(pages.outcomes(_parsed(spark, sf_dir)))
 
 
 TYPED = [(x,) for x in ("01/15/2024", "1/5/2024", "01152024", "0115", "1", "13/01/2024", "02/30/2024", "02/29/2024", "01/32/2024", "12/31/1989", "01/01/2031", "abc", "", "2024-01-01")]
-INDEX = '<a class="x" href="/a/visa-bulletin-for-march-2023.html">x</a><a href="https://example.org/a/visa-bulletin-for-march-2023.html">x</a><a href=\'b/visa-bulletin-for-December-2024.html\'>x</a><a href="/about.html">x</a><a href="/a/visa-bulletin-for-nothing.html">x</a>'
 MODERN = "<p>x</p><u>FINAL ACTION DATES FOR FAMILY-SPONSORED PREFERENCE CASES</u><table><tr><td>Family- Sponsored</td><td>All Chargeability Areas Except Those Listed</td><td>CHINA-mainland born</td><td>DOMINICAN REPUBLIC</td></tr><tr><td>F1</td><td>01DEC14</td><td>C</td><td>U</td></tr><tr><td>F2A</td><td>U</td></tr></table><u>Other</u><table><tr><td>a</td><td>b</td></tr></table>"
 LEGACY = "<table><tr><td>Family</td><td>All Chargeability Areas Except Those Listed</td><td>INDIA</td></tr><tr><td>1<sup>st</sup></td><td>01APR01</td><td>NA</td></tr></table>"
 
 
-def _synthetic(spark) -> DataFrame:
-    """Tables of three pages and of a copy of the first, which has the same url and month."""
-    march = ("a/visa-bulletin-for-march-2023.html", MODERN, "date:2023-03-01")
-    made = [march, ("b/visa-bulletin-for-March-2003.html", LEGACY, "date:2003-03-01"), march, ("c/visa-bulletin-for-May-2004.html", "<p>no table</p>", "date:2004-05-01")]
-    return pages.tables(literals(spark, made, "url string, content string, publication_date date"))
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the tables in all months' pages."""
+    return pages.tables(bindings.bulletin_pages(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (projection, class_points, class_series, cutoff_facts, series_join, upsert_cutoffs, upsert_bulletins, new_bulletins, new_bulletins_preview, series_with_projection, trace_index, chart_traces, all_chart_traces, shown_traces, visible_range, chart_json, projection_cards, chart_requests, priority_line, link_discovery, index_links, employment_class, family_class, country_from_header, cell_dates, month_math, submission_dates, bulletin_urls, normalize_text, masked_dates, unpivot_cells, table_extract, page_outcomes, page_counters)}
 QUERIES |= {name: (lambda spark, sf_dir, f=f: f(cutoffs(spark, sf_dir), bulletins(spark, sf_dir))) for name, f in reports.REPORTS.items()}
 QUERIES |= analytics.QUERIES
-ORACLE_SQL = sql.queries(SUBMISSION, ONE) | analytics.ORACLE_SQL
+#: The texts that are dealt over the orders, and the column that holds them.
+TEXTS = {"employment_class": ("name", NAMES), "family_class": ("name", FAMILY), "country_from_header": ("header", HEADERS), "cell_dates": ("cell", CELLS), "submission_dates": ("given", DATES), "normalize_text": ("line", LINES), "masked_dates": ("typed", TYPED)}
+ORACLE_SQL = sql.queries(SUBMISSION, ONE, TEXTS) | analytics.ORACLE_SQL

@@ -177,11 +177,6 @@ EMPLOYMENT_NAMES = {
     **{x: [x] for x in ("C", "EB1", "EB-1", "RURAL (20%)", "High Unemployment (10%, including NH, RH)", "Infrastructure (2%, including RI)", "Unknown Visa Class XYZ")},
 }
 COUNTRIES = {"all": "Other Countries", "china": "China (mainland born)", "india": "India", "mexico": "Mexico", "philippines": "Philippines", "el_salvador_guatemala_honduras": "El Salvador/Guatemala/Honduras"}
-_FAMILY_FINAL = "FINAL ACTION DATES FOR FAMILY-SPONSORED PREFERENCE CASES"
-_MODERN_ROWS = [f"'a/visa-bulletin-for-march-2023.html', DATE '2023-03-01', 0, '{_FAMILY_FINAL}', {i}, '{c}'" for i, c in enumerate(("Family- Sponsored|All Chargeability Areas Except Those Listed|CHINA-mainland born|DOMINICAN REPUBLIC", "F1|01DEC14|C|U", "F2A|U"))]
-_LEGACY_ROWS = [f"'b/visa-bulletin-for-March-2003.html', DATE '2003-03-01', 0, '{_FAMILY_FINAL}', {i}, '{c}'" for i, c in enumerate(("Family|All Chargeability Areas Except Those Listed|INDIA", "F1|01APR01|NA"))]
-_MODERN_CELLS = [f"DATE '2023-03-01', 'family_sponsored', '{c}', 'final_action', {rest}" for c, rest in (("F1", "'all', '2014-12-01', DATE '2014-12-01', false, false"), ("F1", "'china', 'C', DATE '2023-03-01', true, false"), ("F2A", "'all', 'U', NULL, false, true"))]
-_LEGACY_CELLS = [f"DATE '2003-03-01', 'family_sponsored', 'F1', 'final_action', {rest}" for rest in ("'all', '2001-04-01', DATE '2001-04-01', false, false", "'india', 'NA', NULL, false, false")]
 _DATED = {"01DEC14": "2014-12-01", "01APR01": "2001-04-01", "01DEC98": "1998-12-01", "01JAN69": "1969-01-01", "01JAN68": "2068-01-01", "01dec14": "2014-12-01", "1DEC14": "2014-12-01"}
 _TEXT = {
     "employment_class": values("name, display", [f"'{x}', '{shown}'" for shown, names in EMPLOYMENT_NAMES.items() for x in names]),
@@ -189,15 +184,43 @@ _TEXT = {
     "cell_dates": values("cell, cutoff_value, cutoff_date, is_current, is_unavailable", [*(f"'{c}', '{d}', DATE '{d}', false, false" for c, d in _DATED.items()), "'C', 'C', DATE '2025-12-01', true, false", "'U', 'U', NULL, false, true", *(f"'{c}', '{c}', NULL, false, false" for c in ("31FEB20", "01SEPT20", "", "NA", "2016-11-08"))]),
     "normalize_text": values("line, clean", ["'  multiple   spaces  ', 'multiple spaces'", "E'line\\nbreak\\nhere', 'line break here'", "E'tab\\ttab\\ttab', 'tab tab tab'", "'a' || chr(160) || 'b', 'a b'", "'', ''"]),
     "masked_dates": values("typed, masked, valid", ["'01/15/2024', '01/15/2024', true", "'1/5/2024', '15/20/24', true", "'01152024', '01/15/2024', false", "'0115', '01/15', false", "'1', '1', false", "'13/01/2024', '13/01/2024', false", "'02/30/2024', '02/30/2024', false", "'02/29/2024', '02/29/2024', true", "'01/32/2024', '01/32/2024', false", "'12/31/1989', '12/31/1989', false", "'01/01/2031', '01/01/2031', false", "'abc', '', false", "'', '', true", "'2024-01-01', '20/24/0101', false"]),
-    "index_links": values("url, publication_date", ["'https://example.org/b/visa-bulletin-for-December-2024.html', DATE '2024-12-01'", "'https://example.org/a/visa-bulletin-for-march-2023.html', DATE '2023-03-01'", "'https://example.org/a/visa-bulletin-for-march-2023.html', DATE '2023-03-01'", "'https://example.org/a/visa-bulletin-for-nothing.html', NULL"]),
-    "table_extract": values("url, publication_date, table_ix, title, row_ix, cells", [*_MODERN_ROWS, *_LEGACY_ROWS, *_MODERN_ROWS]),
-    "unpivot_cells": values(FACT, [*_MODERN_CELLS, *_LEGACY_CELLS, *_MODERN_CELLS]),
-    "page_outcomes": values("url, publication_date, tables, rows, error", [f"{x}, NULL::VARCHAR" for x in ("'a/visa-bulletin-for-march-2023.html', DATE '2023-03-01', 1::BIGINT, 2::BIGINT", "'a/visa-bulletin-for-march-2023.html', DATE '2023-03-01', 1, 2", "'b/visa-bulletin-for-March-2003.html', DATE '2003-03-01', 1, 1", "'c/visa-bulletin-for-May-2004.html', DATE '2004-05-01', 0, 0")]),
-    "page_counters": "SELECT 4::BIGINT AS pages, 4::BIGINT AS succeeded, 0::BIGINT AS failed, 5::BIGINT AS rows, 0 AS exit_status",
 }
 
 
-def queries(sub: str, one: str) -> dict[str, str]:
+#: Headers of the countries' columns, and titles of the tables.
+_HEADERS = {"all": "All Chargeability Areas Except Those Listed", "china": "CHINA-mainland born", "el_salvador_guatemala_honduras": "EL SALVADOR GUATEMALA HONDURAS", "india": "INDIA", "mexico": "MEXICO", "philippines": "PHILIPPINES"}
+_TITLES = {("family_sponsored", "final_action"): "FINAL ACTION DATES FOR FAMILY-SPONSORED PREFERENCE CASES", ("family_sponsored", "filing"): "DATES FOR FILING FAMILY-SPONSORED VISA APPLICATIONS", ("employment_based", "final_action"): "FINAL ACTION DATES FOR EMPLOYMENT-BASED PREFERENCE CASES", ("employment_based", "filing"): "DATES FOR FILING OF EMPLOYMENT-BASED VISA APPLICATIONS"}
+_FILE = "'visa-bulletin-for-' || lower(monthname(publication_date)) || '-' || year(publication_date) || '.html'"
+
+
+def dealt(column: str, texts: list[tuple], results: str) -> str:
+    """`results` (by `column`) for the texts that the orders have."""
+    quoted = ", ".join("'" + t.replace("'", "''") + "'" for (t,) in texts)
+    return f"WITH r AS ({results}), o AS (SELECT o_orderkey, [{quoted}][o_orderkey % {len(texts)} + 1] AS text FROM orders) SELECT o_orderkey, r.* FROM o JOIN r ON r.{column} = o.text"
+
+
+def _pages(base: str) -> dict[str, str]:
+    """What is found in the months' pages."""
+    cell = "CASE WHEN length(cutoff_value) = 10 THEN upper(strftime(cutoff_date, '%d%b%y')) ELSE cutoff_value END"
+    title = "CASE " + " ".join(f"WHEN visa_category = '{c}' AND action_type = '{a}' THEN '{t}'" for (c, a), t in _TITLES.items()) + " END"
+    cells = " || ".join(f"'|' || coalesce(max({cell}) FILTER (WHERE country = '{c}'), '')" for c in _HEADERS)
+    table = "publication_date, visa_category, action_type"
+    bodies = f"""{base},
+        b AS (SELECT {table}, visa_class, visa_class || {cells} AS cells FROM facts GROUP BY {table}, visa_class),
+        n AS (SELECT *, row_number() OVER (PARTITION BY {table} ORDER BY visa_class) AS row_ix, dense_rank() OVER (PARTITION BY publication_date ORDER BY visa_category, action_type) - 1 AS table_ix FROM b),
+        a AS (SELECT * FROM n UNION ALL SELECT DISTINCT {table}, NULL, 'Class|{"|".join(_HEADERS.values())}', 0, table_ix FROM n)"""
+    outcomes = f"{base}, c AS (SELECT publication_date, count(DISTINCT (visa_category, action_type)) AS tables, count(DISTINCT (visa_category, action_type, visa_class)) AS rows FROM facts GROUP BY 1), p AS (SELECT {_FILE} AS url, publication_date, coalesce(tables, 0) AS tables, coalesce(rows, 0) AS rows, NULL::VARCHAR AS error FROM months LEFT JOIN c USING (publication_date))"
+    file = "'visa-bulletin-for-' || monthname(publication_date) || '-' || year(publication_date) || '.html'"
+    return {
+        "table_extract": f"{bodies} SELECT {_FILE} AS url, publication_date, CAST(table_ix AS INT) AS table_ix, {title} AS title, CAST(row_ix AS INT) AS row_ix, cells FROM a",
+        "unpivot_cells": f"{base}, k AS (SELECT DISTINCT {table}, visa_class FROM facts) SELECT publication_date, visa_category, visa_class, action_type, country, coalesce(cutoff_value, '') AS cutoff_value, cutoff_date, coalesce(is_current, false) AS is_current, coalesce(is_unavailable, false) AS is_unavailable FROM (SELECT * FROM k, unnest({list(_HEADERS)}) t(country)) LEFT JOIN facts USING ({table}, visa_class, country)",
+        "page_outcomes": f"{outcomes} SELECT * FROM p",
+        "page_counters": f"{outcomes} SELECT count(*) AS pages, count(*) AS succeeded, 0::BIGINT AS failed, CAST(sum(rows) AS BIGINT) AS rows, 0 AS exit_status FROM p",
+        "index_links": f"{base} SELECT 'https://example.org/' || CASE month(publication_date) % 3 WHEN 1 THEN 'b/' ELSE 'a/' END || {file} AS url, publication_date FROM months UNION ALL SELECT 'https://example.org/a/' || {file}, publication_date FROM months WHERE month(publication_date) % 3 = 0 UNION ALL SELECT DISTINCT 'https://example.org/a/visa-bulletin-for-' || year(publication_date) || '.html', NULL::DATE FROM months",
+    }
+
+
+def queries(sub: str, one: str, texts: dict[str, tuple[str, list[tuple]]]) -> dict[str, str]:
     """By query name; the constants are those that the queries use."""
     base = f"WITH {BINDING}"
     every, chart = f"{base}, {points()}", f"{base}, {points(one)}, {projection(sub)}, {traces(sub)}"
@@ -210,6 +233,10 @@ def queries(sub: str, one: str) -> dict[str, str]:
     keys = "visa_category, country, action_type"
     given = lambda c, rest, values, default: f"CASE WHEN c_custkey % {rest} < 2 THEN '{default}' ELSE {values}[c_custkey % {len(values)} + 1] END AS {c}"
     asked = ", ".join([given("visa_category", 5, ["family_sponsored", "employment_based"], "family_sponsored"), given("country", 7, ["all", "china", "india", "nowhere"], "all"), given("action_type", 4, ["final_action", "filing", "dates_for_filing"], "final_action")])
+    results = _TEXT | {
+        "family_class": values("name, display", ["'1st', 'F1'", "'1 st', 'F1'", "'2A', 'F2A'", "'2 A', 'F2A'", "'2B', 'F2B'", "'3rd', 'F3'", "'4th', 'F4'", "'F4', 'F4'", "'X', 'X'"]),
+        "submission_dates": values("given, submission", [f"'{g}', DATE '{d}'" for g, d in (("01/15/2024", "2024-01-15"), ("1/5/2024", "2024-01-05"), ("2024-01-01", "2024-01-01"), ("2024-1-1", "2024-01-01"), ("invalid-date", "2025-12-01"), ("", "2025-12-01"), ("13/01/2024", "2025-12-01"), ("2024-02-30", "2025-12-01"))]),
+    }
     return {
         "projection": f"{every}, {projection(sub)} SELECT * FROM projected",
         "class_points": f"{every} SELECT {SERIES}, publication_date, cutoff_date, raw_class FROM points",
@@ -237,13 +264,15 @@ def queries(sub: str, one: str) -> dict[str, str]:
         "status_lines": f"{base}, c AS (SELECT count(*) AS total, count_if(is_current) AS a, count_if(is_unavailable) AS b, count_if(NOT is_current AND NOT is_unavailable) AS d FROM facts) SELECT CAST(place AS INT) AS place, rpad(name, 19, ' ') || lpad(format('{{:,}}', CAST(n AS BIGINT)), 6, ' ') || ' records (' || format('{{:.1f}}', CAST(100 AS DOUBLE) * n / total) || '%)' AS line FROM (SELECT 0 AS place, 'Current (C):' AS name, a AS n, total FROM c UNION ALL SELECT 1, 'Unavailable (U):', b, total FROM c UNION ALL SELECT 2, 'With dates:', d, total FROM c)",
         "category_lines": f"{base} SELECT rpad(visa_category, 20, ' ') || ': ' || lpad(format('{{:,}}', count(*)), 6, ' ') || ' records' AS line FROM facts GROUP BY visa_category",
         "bulletin_lines": f"{base} SELECT strftime(months.publication_date, '%Y-%m-%d') || '      ' || rpad(format('{{:,}}', count(facts.country)), 10, ' ') AS line FROM months LEFT JOIN facts USING (publication_date) GROUP BY months.publication_date",
-        "point_heading": "SELECT 'F1 - El Salvador (Last 20 bulletins)' AS heading",
-        **_TEXT,
+        "point_heading": f"""{base}, c AS (SELECT lower(visa_class) || ' ' || country AS search, count(*) AS n FROM facts GROUP BY 1),
+            w AS (SELECT *, string_split(regexp_replace(upper(search), '\\s+', ' ', 'g'), ' ') AS w FROM c),
+            t AS (SELECT *, array_to_string(w[2:], ' ') AS country FROM w)
+            SELECT search, w[1] || ' - ' || array_to_string(list_transform(regexp_extract_all(country, '[^A-Z]*[A-Z]+|[^A-Z]+$'), lambda p: regexp_extract(p, '^[^A-Z]*') || regexp_extract(p, '[A-Z]+$')[1] || lower(regexp_extract(p, '[A-Z]+$')[2:])), '') || ' (Last 20 bulletins)' AS heading, n FROM t""",
+        **_pages(base),
+        **{name: dealt(column, given, results[name]) for name, (column, given) in texts.items()},
         "link_discovery": "WITH h AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1)) AS href FROM pages) SELECT CASE WHEN href LIKE '/%' THEN 'https://example.org' || href WHEN href LIKE 'http%' THEN href ELSE 'https://example.org/' || href END AS url, CAST(NULL AS DATE) AS publication_date FROM h WHERE contains(href, 'th') AND href LIKE '%e'",
         "bulletin_urls": f"{base} SELECT publication_date, {url} AS url FROM months",
-        "family_class": values("name, display", ["'1st', 'F1'", "'1 st', 'F1'", "'2A', 'F2A'", "'2 A', 'F2A'", "'2B', 'F2B'", "'3rd', 'F3'", "'4th', 'F4'", "'F4', 'F4'", "'X', 'X'"]),
-        "month_math": "SELECT a, b, CAST((year(b) - year(a)) * 12 + month(b) - month(a) AS INT) AS months, a + 90 AS later FROM (VALUES (DATE '2024-01-01', DATE '2024-01-31'), (DATE '2024-01-01', DATE '2024-02-01'), (DATE '2023-11-01', DATE '2024-02-01'), (DATE '2024-03-15', DATE '2023-12-31')) AS t(a, b)",
-        "submission_dates": values("given, submission", [f"'{g}', DATE '{d}'" for g, d in (("01/15/2024", "2024-01-15"), ("1/5/2024", "2024-01-05"), ("2024-01-01", "2024-01-01"), ("2024-1-1", "2024-01-01"), ("invalid-date", "2025-12-01"), ("", "2025-12-01"), ("13/01/2024", "2025-12-01"), ("2024-02-30", "2025-12-01"))]),
+        "month_math": "SELECT o_orderkey, a, b, CAST((year(b) - year(a)) * 12 + month(b) - month(a) AS INT) AS months, a + 90 AS later FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_custkey * 37 % 900 - 300 AS INT) AS b FROM orders)",
         "summary_bulletins": f"{base} SELECT count(*) AS n, min(publication_date) AS first, max(publication_date) AS last FROM months",
         "summary_total": f"{base} SELECT count(*) AS n FROM facts",
         "summary_by_category": f"{base} SELECT visa_category, count(*) AS n FROM facts GROUP BY visa_category",
@@ -255,7 +284,7 @@ def queries(sub: str, one: str) -> dict[str, str]:
         "dedup_employment_classes": f"{base}, n AS (SELECT {EMPLOYMENT} AS display, visa_class, publication_date FROM facts WHERE visa_category = 'employment_based') SELECT display, visa_class FROM (SELECT *, row_number() OVER (PARTITION BY display ORDER BY publication_date DESC, visa_class) AS r FROM n) WHERE r = 1",
         "column_widths": f"{base} SELECT {', '.join(f'CAST(max(length(CAST({c} AS VARCHAR))) AS INT) AS {c}' for c in ('publication_date', 'visa_category', 'visa_class', 'action_type', 'country', 'cutoff_value'))} FROM facts",
         "refresh_summary": f"{base}, p AS (SELECT months.publication_date, count(facts.country) AS n FROM months LEFT JOIN facts USING (publication_date) GROUP BY months.publication_date) SELECT CAST(count_if(n > 0) AS BIGINT) AS succeeded, CAST(count_if(n = 0) AS BIGINT) AS failed, CAST(sum(n) AS BIGINT) AS rows FROM p",
-        "sitemap_urls": "SELECT 'https://example.org/' || p AS url FROM (VALUES (''), ('faq/'), ('about/'), ('contact/')) AS t(p) UNION ALL SELECT 'https://example.org/' || c || '/' || k FROM (VALUES ('employment-based'), ('family-sponsored')) AS a(c), (VALUES (''), ('china/'), ('india/'), ('mexico/'), ('philippines/'), ('el_salvador_guatemala_honduras/')) AS b(k)",
+        "sitemap_urls": f"{base}, c AS (SELECT replace(visa_category, '_', '-') AS c, country, publication_date FROM facts) SELECT 'https://example.org/' || p AS url, NULL::DATE AS last_month, NULL::BIGINT AS n FROM (VALUES (''), ('faq/'), ('about/'), ('contact/')) AS t(p) UNION ALL SELECT 'https://example.org/' || c || '/', max(publication_date), count(*) FROM c GROUP BY c UNION ALL SELECT 'https://example.org/' || c || '/' || country || '/', max(publication_date), count(*) FROM c WHERE country <> 'all' GROUP BY c, country",
         "seo_metadata": f"""{base}, p AS (SELECT DISTINCT visa_category, country, CASE visa_category WHEN 'family_sponsored' THEN 'Family-Sponsored' ELSE 'Employment-Based' END AS c, CASE country {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in COUNTRIES.items())} END AS k FROM facts),
           t AS (SELECT *, CASE WHEN visa_category = 'family_sponsored' AND country = 'all' THEN 'Visa Bulletin Predictions 2025 - Priority Date Tracker' ELSE k || ' ' || c || ' Visa Bulletin Predictions & Tracker - December 2025' END AS page_title,
             'Track current priority dates and projections for ' || k || ' ' || c || ' visas. View historical trends, see when dates will move, and estimate your green card wait time.' AS page_description FROM p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.functions.vocabulary import cutoff_columns
+from cutline.functions.vocabulary import TITLES, cutoff_columns
 
 KEY = ["publication_date", "visa_category", "visa_class", "action_type", "country"]
 _FAMILY = ["1st,2A,2B,3rd,4th", "1 st,2 A,2 B,3 rd,4 th", "F1,F2A,F2B,F3,X"]
@@ -51,3 +51,35 @@ def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = months.agg(F.max("publication_date").alias("m")).where("m is not null").select(F.explode(F.array(F.add_months("m", 1), F.add_months("m", 2))).alias("publication_date"))
     url = F.when(F.month("publication_date") % 3 != 0, F.concat(F.lit("https://example.org/"), F.date_format("publication_date", "yyyy-MM")))
     return months.union(later).select("publication_date", url.alias("url"))
+
+
+#: The countries' headers in the order of their columns.
+HEADERS = {"all": "All Chargeability Areas Except Those Listed", "china": "CHINA-mainland born", "el_salvador_guatemala_honduras": "EL SALVADOR GUATEMALA HONDURAS", "india": "INDIA", "mexico": "MEXICO", "philippines": "PHILIPPINES"}
+
+
+def bulletin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, content, publication_date): the months as pages of HTML with a table for each category and action that has cutoffs."""
+    facts = cutoffs(spark, sf_dir)
+    shown = F.when(F.length("cutoff_value") == 10, F.upper(F.date_format("cutoff_date", "ddMMMyy"))).otherwise(F.col("cutoff_value"))
+    table = ["publication_date", "visa_category", "action_type"]
+    by_class = facts.groupBy(*table, "visa_class").agg(F.map_from_entries(F.collect_list(F.struct("country", shown))).alias("cells"))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.col("visa_class")), *(cell(F.coalesce(F.try_element_at("cells", F.lit(c)), F.lit(""))) for c in HEADERS), F.lit("</tr>"))
+    head = "".join(f"<td>{h}</td>" for h in ("Class", *HEADERS.values()))
+    title = F.create_map(*(F.lit(x) for t, (category, action) in TITLES.items() for x in (f"{category} {action}", t)))[F.concat_ws(" ", "visa_category", "action_type")]
+    rows = by_class.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("visa_class", row.alias("html")))).alias("rows"))
+    joined = lambda c: F.array_join(F.transform(c, lambda r: r["html"]), "")
+    html = F.concat(F.lit("<p><u>"), title, F.lit(f"</u></p><table><tr>{head}</tr>"), joined("rows"), F.lit("</table>"))
+    content = rows.groupBy("publication_date").agg(joined(F.array_sort(F.collect_list(F.struct("visa_category", "action_type", html.alias("html"))))).alias("content"))
+    url = F.concat(F.lit("visa-bulletin-for-"), F.lower(F.date_format("publication_date", "MMMM-yyyy")), F.lit(".html"))
+    return bulletins(spark, sf_dir).join(content, "publication_date", "left").select(url.alias("url"), F.coalesce("content", F.lit("<p>No tables yet.</p>")).alias("content"), "publication_date")
+
+
+def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(html): for each year a page of links to its months, some of them twice, some absolute, some without a month."""
+    month = F.col("publication_date")
+    file = F.concat(F.lit("visa-bulletin-for-"), F.date_format(month, "MMMM-yyyy"), F.lit(".html"))
+    at = lambda start: F.concat(F.lit(f'<a class="x" href="{start}'), file, F.lit('">x</a>'))
+    link = F.when(F.month(month) % 3 == 0, F.concat(at("/a/"), at("https://example.org/a/"))).when(F.month(month) % 3 == 1, at("b/")).otherwise(F.concat(at("/a/"), F.lit('<a href="/about.html">x</a>')))
+    lost = F.concat(F.lit("<a href='/a/visa-bulletin-for-"), F.year(month), F.lit(".html'>x</a>"))
+    return bulletins(spark, sf_dir).groupBy(F.year(month).alias("year")).agg(F.concat(F.array_join(F.array_sort(F.collect_list(link)), ""), F.first(lost)).alias("html")).select("html")

@@ -66,3 +66,11 @@ def test_scan(spark, tmp_path):
     rows = pages.scan(spark, str(tmp_path))
     assert [(r["url"], r["publication_date"]) for r in rows.collect()] == [("visa-bulletin-for-march-2023.html", DAY)]
     assert pages.unpivot(pages.tables(rows)).where(F.col("visa_class") == "F1").count() == 2
+
+
+def test_cells_of_both_layouts(spark):
+    rows = _tables(spark, [("m", MODERN, DAY), ("l", LEGACY, datetime.date(2003, 3, 1))])
+    cells = {(r["visa_class"], r["country"], r["cutoff_value"], str(r["cutoff_date"]), r["is_current"], r["is_unavailable"]) for r in pages.unpivot(rows).collect()}
+    assert cells == {("F1", "all", "2014-12-01", "2014-12-01", False, False), ("F1", "china", "C", "2023-03-01", True, False), ("F2A", "all", "U", "None", False, True), ("F1", "all", "2001-04-01", "2001-04-01", False, False), ("F1", "india", "NA", "None", False, False)}
+    heads = {(r["url"], r["title"], tuple(r["cells"])) for r in rows.where("row_ix = 0").collect()}
+    assert heads == {("m", TITLE, ("Family- Sponsored", "All Chargeability Areas Except Those Listed", "CHINA-mainland born", "DOMINICAN REPUBLIC")), ("l", TITLE, ("Family", "All Chargeability Areas Except Those Listed", "INDIA"))}

@@ -12,7 +12,11 @@ def test_no_facts(spark):
     assert lines == ["Current (C):            0 records (0.0%)", "Unavailable (U):        0 records (0.0%)", "With dates:             0 records (0.0%)"]
     for search in ("", "f1"):
         with pytest.raises(ValueError):
-            reports.point_heading(facts, facts, search)
+            reports.point_query(facts, facts, search)
+    assert reports.point_heading(facts, facts).count() == 0
+    given = spark.createDataFrame([("",), ("f1",), (None,), (" f1  el salvador ",), ("eb el_salvador's 2nd",)], "s string")
+    assert [r["heading"] for r in reports.headings(given, "s").collect()] == [None, None, None, "F1 - El Salvador (Last 20 bulletins)", "EB - El_Salvador'S 2Nd (Last 20 bulletins)"]
+    assert {r["n"] for r in reports.sitemap_urls(facts, facts).collect()} == {None, 0}
 
 
 def test_charts_of_nothing(spark):
