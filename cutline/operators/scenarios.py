@@ -39,3 +39,21 @@ def wait_scenarios(points: DataFrame, submission: str | datetime.date, scenarios
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("scenario"), (F.col(base) * F.lit(float(by))).alias("months_per_year")) for name, base, by in scenarios)))
     rows = one.select(*SERIES, "last_cutoff", gap.alias("gap_months"), each.alias("s")).select(*SERIES, "s.scenario", "last_cutoff", "gap_months", "s.months_per_year")
     return rows.withColumn("wait_years", F.when(F.col("gap_months") == 0, F.lit(0.0)).when(F.col("months_per_year") > 0, F.col("gap_months") / F.col("months_per_year")))
+
+
+def reform_impact(points: DataFrame, submission: str | datetime.date, years: int = YEARS, model: str = "all") -> DataFrame:
+    """(series, wait_before, wait_after, change_years, outcome): each series' wait at its own latest rate, and at the latest rate that `model`'s series of the same category, action and class has, as if limits by country were gone.
+
+    outcome: winner or loser by whether the wait becomes shorter or longer (one that never ends is longer than any), same, or null where the model has no such series.
+    """
+    waits = wait_scenarios(points, submission, [("now", "latest", 1.0)], years)
+    keys = [c for c in SERIES if c != "country"]
+    models = waits.where(F.col("country") == model).select(*(F.col(c).alias(f"of_{c}") for c in keys), F.col("months_per_year").alias("rate"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys]
+    rows = waits.join(models, same, "left")
+    after = F.when(F.col("gap_months") == 0, F.lit(0.0)).when(F.col("rate") > 0, F.col("gap_months") / F.col("rate"))
+    rows = rows.select(*SERIES, F.col("wait_years").alias("wait_before"), F.when(F.col("of_visa_class_label").isNotNull(), after).alias("wait_after"), F.col("of_visa_class_label").isNotNull().alias("known"))
+    never = F.lit(float("inf"))
+    b, a = F.coalesce("wait_before", never), F.coalesce("wait_after", never)
+    outcome = F.when(F.col("known"), F.when(a < b, "winner").when(a > b, "loser").otherwise("same"))
+    return rows.select(*SERIES, "wait_before", "wait_after", (F.col("wait_after") - F.col("wait_before")).alias("change_years"), outcome.alias("outcome"))

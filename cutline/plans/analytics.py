@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.operators import history, matching, names, ranks, rollups, scenarios, series, stored_stats, text_index
+from cutline.operators import history, matching, names, ranks, report_card, rollups, scenarios, series, stored_stats, text_index
 from cutline.plans import sql
 from cutline.shared import new_path, stored
 from cutline.sources import delimited
@@ -149,7 +149,53 @@ def csv_orders(spark, sf_dir):
     return rows.select(key.alias("orderkey"), fits("custkey"), fits("status"), fits("cents"), "year", "reason")
 
 
-QUERIES = {f.__name__: f for f in (band_matches, percent_ranks, percent_ranks_by_priority, histogram_equal_width, histogram_equal_depth, yearly_trends, stored_percentiles, contained_text, monthly_movement, monthly_movement_stream, canonical_names, changelog, changelog_as_of, balance_rollup, top_segments, period_rates, wait_scenarios, csv_orders)}
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as records of employers: a PERM filing if still open by its line status, else an H-1B; the kind of part as the role, the customer's nation as the place of work."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    lines = _table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(_table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.join(_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    unit = F.element_at(F.array(*map(F.lit, ["Hour", "week", " Month", "Year", "Day"])), (F.col("l_orderkey") % 5 + 1).cast("int"))
+    return lines.select(
+        F.col("l_suppkey").alias("employer"), F.when(F.col("l_linestatus") == "O", "PERM").otherwise("H-1B").alias("source"), F.col("p_type").alias("role"), F.col("c_nationkey").alias("location"),
+        F.year("l_shipdate").alias("year"), (F.col("l_returnflag") != "R").alias("certified"), report_card.annual(F.col("l_extendedprice"), unit).alias("wage"), F.abs(F.datediff("l_shipdate", "o_orderdate")).alias("days"),
+    )
+
+
+def report_cards(spark, sf_dir):
+    return report_card.cards(_records(spark, sf_dir), last_year=2000)
+
+
+def employer_ranking(spark, sf_dir):
+    """The first hundred by score with the other weights; a top-k report."""
+    return report_card.ranking(report_card.cards(_records(spark, sf_dir), 2000, report_card.OTHER_WEIGHTS)).select("place", "employer", "n", "score", "overall")
+
+
+def compared_employers(spark, sf_dir):
+    return report_card.compare(report_card.cards(_records(spark, sf_dir), 2000), [1, 3, 5, 8, 13])
+
+
+def wage_stats(spark, sf_dir):
+    """Of all wages by the year, and of each role's."""
+    records = _records(spark, sf_dir)
+    return report_card.stats(records, "wage", ["role"]).unionByName(report_card.stats(records, "wage").withColumn("role", F.lit("all roles")))
+
+
+def employer_profiles(spark, sf_dir):
+    return report_card.profile(_records(spark, sf_dir), top=3)
+
+
+def receipt_ranges(spark, sf_dir):
+    done = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("done"))
+    cases = _table(spark, sf_dir, "orders").join(done, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return report_card.receipt_ranges(cases.select(F.col("o_orderkey").alias("receipt"), F.col("o_orderstatus").alias("status"), F.datediff("done", "o_orderdate").alias("days")), 500, ["F", "O"])
+
+
+def reform_impact(spark, sf_dir):
+    return scenarios.reform_impact(series.points(cutoffs(spark, sf_dir)), SUBMISSION)
+
+
+QUERIES = {f.__name__: f for f in (band_matches, percent_ranks, percent_ranks_by_priority, histogram_equal_width, histogram_equal_depth, yearly_trends, stored_percentiles, contained_text, monthly_movement, monthly_movement_stream, canonical_names, changelog, changelog_as_of, balance_rollup, top_segments, period_rates, wait_scenarios, csv_orders, report_cards, employer_ranking, compared_employers, wage_stats, employer_profiles, receipt_ranges, reform_impact)}
 
 def _like(kind: str, table: str, id: str, name: str, sort: str) -> str:
     return f"SELECT '{kind}' AS kind, t AS looked_for, {id} AS id, {name} AS name, {sort} AS sort FROM {table}, unnest({TEXTS}) u(t) WHERE lower({name}) LIKE '%' || lower(t) || '%' OR lower({sort}) LIKE '%' || lower(t) || '%'"
@@ -198,7 +244,63 @@ _RATES = f"""
     r AS (SELECT * EXCLUDE (first_cutoff), CASE WHEN last_date > first_date THEN date_diff('day', first_cutoff, last_cutoff) * CAST(12 AS DOUBLE) / date_diff('day', first_date, last_date) END AS months_per_year FROM e)
 """
 
+_RECORDS = """
+    WITH r AS (
+      SELECT l_suppkey AS employer, CASE WHEN l_linestatus = 'O' THEN 'PERM' ELSE 'H-1B' END AS source, p_type AS role, c_nationkey AS location, CAST(year(l_shipdate) AS INT) AS year, l_returnflag <> 'R' AS certified,
+        l_extendedprice * CASE l_orderkey % 5 WHEN 0 THEN 2080 WHEN 1 THEN 52 WHEN 2 THEN 12 WHEN 3 THEN 1 END AS wage, abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS days
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey
+    )"""
+_POINTS = "CASE %s_grade WHEN 'A' THEN 4 WHEN 'B' THEN 3 WHEN 'C' THEN 2 WHEN 'D' THEN 1 WHEN 'F' THEN 0 END"
+
+
+def _cards(weights: dict[str, int]) -> str:
+    def graded(figure: str, steps: list, sign: str = ">=") -> str:
+        return f"CASE WHEN {figure} IS NULL THEN NULL " + " ".join(f"WHEN {figure} {sign} {at} THEN '{letter}'" for at, letter in steps) + " ELSE 'F' END"
+
+    years = [f"CAST(count(*) FILTER (WHERE year = {y}) > 0 AS INT)" for y in range(1996, 2001)]
+    top = " + ".join(f"coalesce({_POINTS % name} * {w}, 0)" for name, w in weights.items())
+    under = " + ".join(f"CASE WHEN {name}_grade IS NULL THEN 0 ELSE {w} END" for name, w in weights.items())
+    return f"""{_RECORDS},
+    u AS (SELECT role, CAST(sum(CAST(wage AS DECIMAL(20,4))) AS DOUBLE) / count(wage) AS usual FROM r WHERE wage IS NOT NULL GROUP BY role),
+    o AS (SELECT employer, count(*) AS n, count(*) FILTER (WHERE source = 'PERM') AS perms, count(*) FILTER (WHERE source = 'H-1B') AS h1bs, count(*) FILTER (WHERE source = 'PERM' AND year = 2000) AS volume,
+      count(*) FILTER (WHERE certified) * CAST(100 AS DOUBLE) / count(*) AS approval, {" + ".join(years)} AS years, count(*) FILTER (WHERE year = 2000) > count(*) FILTER (WHERE year = 1996) AS growing,
+      CAST(sum(CAST(round_even(wage / usual, 6) AS DECIMAL(20,6))) AS DOUBLE) / count(wage / usual) AS against, quantile_cont(days, 0.5) FILTER (WHERE source = 'PERM') AS processing FROM r LEFT JOIN u USING (role) GROUP BY employer),
+    p AS (SELECT *, CASE WHEN h1bs > 0 THEN perms * CAST(100 AS DOUBLE) / h1bs END AS conversion, CASE WHEN against IS NOT NULL THEN percent_rank() OVER (PARTITION BY against IS NULL ORDER BY against) END AS salary FROM o),
+    g AS (SELECT *, {graded("volume", report_card.VOLUME)} AS volume_grade, {graded("approval", report_card.APPROVAL)} AS approval_grade, {graded("salary", report_card.SALARY)} AS salary_grade,
+      CASE WHEN years = 5 THEN CASE WHEN growing THEN 'A' ELSE 'B' END WHEN years = 4 THEN 'C' WHEN years = 3 THEN 'D' ELSE 'F' END AS consistency_grade,
+      {graded("conversion", report_card.CONVERSION)} AS conversion_grade, {graded("processing", report_card.PROCESSING, "<")} AS processing_grade FROM p),
+    s AS (SELECT *, CAST({top} AS DOUBLE) / ({under}) AS score FROM g),
+    cards AS (SELECT employer, n, volume, approval, salary, years, conversion, processing, volume_grade, approval_grade, salary_grade, consistency_grade, conversion_grade, processing_grade, score, {graded("score", report_card.OVERALL)} AS overall FROM s)"""
+
+
+def _wages(role: str) -> str:
+    s = "list_sort(list(wage))"
+    return f"SELECT {role}, count(wage) AS n, CAST(sum(CAST(wage AS DECIMAL(20,4))) AS DOUBLE) / count(wage) AS mean, min(wage) AS low, max(wage) AS high, {s}[(count(wage) - 1) // 2 + 1] + ({s}[count(wage) // 2 + 1] - {s}[(count(wage) - 1) // 2 + 1]) * CAST(0.5 AS DOUBLE) AS median FROM r WHERE wage IS NOT NULL"
+
+
+def _profile(kind: str) -> str:
+    return f"SELECT employer, '{kind}' AS kind, CAST({kind} AS VARCHAR) AS value, count(*) AS n, CAST(sum(CAST(wage AS DECIMAL(20,4))) AS DOUBLE) / nullif(count(wage), 0) AS mean, count(*) * CAST(100 AS DOUBLE) / any_value(whole) AS share, CAST(row_number() OVER (PARTITION BY employer ORDER BY count(*) DESC, CAST({kind} AS VARCHAR) NULLS FIRST) AS INT) AS place FROM w GROUP BY employer, {kind}"
+
+
 ORACLE_SQL = {
+    "report_cards": _cards(report_card.WEIGHTS) + " SELECT * FROM cards",
+    "employer_ranking": _cards(report_card.OTHER_WEIGHTS) + " SELECT CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, employer) AS INT) AS place, employer, n, score, overall FROM cards WHERE n >= 20 ORDER BY place LIMIT 100",
+    "compared_employers": _cards(report_card.WEIGHTS) + " SELECT * FROM cards WHERE employer IN (1, 3, 5, 8, 13)",
+    "wage_stats": f"{_RECORDS} {_wages('role')} GROUP BY role UNION ALL {_wages(chr(39) + 'all roles' + chr(39) + ' AS role')}",
+    "employer_profiles": f"{_RECORDS}, w AS (SELECT *, count(*) OVER (PARTITION BY employer) AS whole FROM r), p AS ({' UNION ALL '.join(map(_profile, ('role', 'year', 'location')))}) SELECT * FROM p WHERE kind <> 'role' OR place <= 3",
+    "receipt_ranges": """
+        WITH d AS (SELECT l_orderkey, max(l_shipdate) AS done FROM lineitem GROUP BY 1),
+        c AS (SELECT o_orderkey AS receipt, o_orderstatus AS status, date_diff('day', CAST(o_orderdate AS DATE), CAST(done AS DATE)) AS days FROM orders LEFT JOIN d ON o_orderkey = l_orderkey)
+        SELECT receipt // 500 AS bucket, min(receipt) AS first, max(receipt) AS last, count(*) AS n, CAST(count(*) FILTER (WHERE status = 'F') AS DOUBLE) / count(*) AS share_f,
+          CAST(count(*) FILTER (WHERE status = 'O') AS DOUBLE) / count(*) AS share_o, CAST(sum(days) AS DOUBLE) / nullif(count(days), 0) AS mean_days FROM c GROUP BY 1
+    """,
+    "reform_impact": _RATES + f""",
+        b AS (SELECT {sql.SERIES}, arg_max(months_per_year, period) AS rate, greatest(date_diff('day', arg_max(last_cutoff, period), DATE '{SUBMISSION}'), 0) / CAST(30.4375 AS DOUBLE) AS gap FROM r GROUP BY ALL),
+        w AS (SELECT b.*, m.rate AS other, m.visa_class_label IS NOT NULL AS known FROM b LEFT JOIN b m ON m.country = 'all' AND m.visa_category = b.visa_category AND m.action_type = b.action_type AND m.visa_class_label = b.visa_class_label),
+        x AS (SELECT {sql.SERIES}, known, CASE WHEN gap = 0 THEN 0 WHEN rate > 0 THEN gap / rate END AS wait_before, CASE WHEN known THEN CASE WHEN gap = 0 THEN 0 WHEN other > 0 THEN gap / other END END AS wait_after FROM w)
+        SELECT {sql.SERIES}, wait_before, wait_after, wait_after - wait_before AS change_years,
+          CASE WHEN known THEN CASE WHEN coalesce(wait_after, 'inf'::DOUBLE) < coalesce(wait_before, 'inf'::DOUBLE) THEN 'winner' WHEN coalesce(wait_after, 'inf'::DOUBLE) > coalesce(wait_before, 'inf'::DOUBLE) THEN 'loser' ELSE 'same' END END AS outcome FROM x
+    """,
     "canonical_names": _NAMES,
     "changelog": _CHANGES + " SELECT * FROM c",
     "changelog_as_of": _CHANGES + " SELECT o_custkey, o_orderpriority, valid_from FROM c WHERE valid_from <= DATE '1997-06-15' AND (valid_to IS NULL OR valid_to > DATE '1997-06-15')",
