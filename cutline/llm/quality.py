@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutline.operators.positions import positions
+
 from .common import blocks, cut, mixed, runs_hashed, text_hashes
 
 BUCKETS = 1 << 14
@@ -107,52 +109,28 @@ def best_cut(mean: np.ndarray, good: np.ndarray, good_weight: float = GOOD_WEIGH
     return float("inf") if at == len(mean) else float((mean[at - 1] + mean[at]) / 2)
 
 
-def importance(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int = 42, max_labels: int = LABELS, doc_id: str = "doc_id", text: str = "text", text_hash: bool = False) -> DataFrame:
+def importance(docs: DataFrame, labels: DataFrame, share: float | None = 0.5, seed: int = 42, max_labels: int = LABELS, doc_id: str = "doc_id", text: str = "text", text_hash: bool = False) -> DataFrame:
     """(doc_id, log_weight, n_features, accepted, gumbel_key, sampled, and text_hash if wanted): one row per row of docs.
 
     log_weight is the log of the importance weight; accepted: its mean per n-gram is at least the cut
     learnt from at most `max_labels` labelled rows; gumbel_key is the weight with Gumbel noise drawn
-    from a hash of doc_id; sampled marks the given share of the accepted rows with the largest keys
-    (ties to the smaller doc_id). Texts without tokens (null or empty too) have weight 0. Labels with
+    from a hash of doc_id and text; sampled marks the given share (rounded to whole rows) of the accepted rows: those with
+    the largest keys, ties to the smaller doc_id, then the smaller text_hash; of equal rows as many as are needed, whichever they are.
+    With share None nothing is drawn and sampled is null. Texts without tokens (null or empty too) have weight 0. Labels with
     null doc_id or quality are passed over, of several for one doc_id the lowest counts; without
     labels of both kinds every row is accepted. text_hash (XXH64 of the text, seed 42) tells rows of one doc_id apart. Rows with null doc_id are scored like others. An empty
     table gives no rows; other columns are not read.
     """
     rows = _labelled(docs, labels, doc_id, text, max_labels)
     scored = cut(weights(rows, models(rows)))
-    known = scored.where("good is not null").select("log_weight", "n_features", "good").limit(2 * max_labels).toPandas()
+    known = scored.where("good is not null").orderBy("doc_id", "text_hash").select("log_weight", "n_features", "good").limit(2 * max_labels).toPandas()
     at = best_cut((known["log_weight"] / known["n_features"].clip(lower=1)).to_numpy(float), (known["good"] == 1).to_numpy(bool))
-    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     scored = scored.withColumn("accepted", F.col("log_weight") / F.greatest("n_features", F.lit(1)) >= F.lit(at))
     scored = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
-    least = kth_largest(scored.where("accepted").select("gumbel_key", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id")), share)
-    inside = F.lit(False) if least is None else (F.col("gumbel_key") > least[0]) | ((F.col("gumbel_key") == least[0]) & (F.coalesce("doc_id", F.lit(0)) <= least[1]))
-    return scored.select("doc_id", "log_weight", "n_features", "accepted", "gumbel_key", (F.col("accepted") & inside).alias("sampled"), *["text_hash"] * text_hash)
-
-
-def kth_largest(keys: DataFrame, share: float, bins: int = 4096) -> tuple[float, int] | None:
-    """The (gumbel_key, doc_id) of rank round(share * rows), keys falling and ids rising; None if that rank is 0.
-
-    Found by counting: each round counts the keys in equal bins of the interval that holds the rank
-    and keeps one bin, until at most `bins` keys are left to look at.
-    """
-    n, low, high = keys.agg(F.count("*"), F.min("gumbel_key"), F.max("gumbel_key")).first()
-    rank = round(share * n)
-    if not rank:
-        return None
-    while True:
-        inside = keys.where((F.col("gumbel_key") >= low) & (F.col("gumbel_key") <= high))
-        width = (high - low) / bins
-        if inside.limit(bins + 1).count() <= bins:
-            left = inside.orderBy(F.desc("gumbel_key"), "doc_id").limit(rank).collect()
-            return left[rank - 1]["gumbel_key"], left[rank - 1]["doc_id"]
-        if not width or low + width == low:  # so many equal keys: the rank is among their ids
-            ids = inside.select("doc_id")
-            at = ids.stat.approxQuantile("doc_id", [rank / ids.count()], 0.0)[0]
-            return high, int(at)
-        found = inside.groupBy(F.least(F.floor((F.col("gumbel_key") - low) / width), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min("gumbel_key").alias("low"), F.max("gumbel_key").alias("high")).orderBy(F.desc("bin")).collect()
-        for x in found:
-            if x["n"] >= rank:
-                low, high = x["low"], x["high"]
-                break
-            rank -= x["n"]
+    sampled = F.lit(None).cast("boolean")
+    if share is not None:
+        k = round(share * scored.where("accepted").count())
+        scored = positions(scored, [~F.col("accepted"), F.desc("gumbel_key"), "doc_id", "text_hash"], "place")
+        sampled = F.col("accepted") & (F.col("place") < k)
+    return scored.select("doc_id", "log_weight", "n_features", "accepted", "gumbel_key", sampled.alias("sampled"), *["text_hash"] * text_hash)

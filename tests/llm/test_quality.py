@@ -54,13 +54,17 @@ def test_cut():
     assert quality.best_cut(np.zeros(0), np.zeros(0, bool)) == -math.inf
 
 
-def test_rank_by_counting(spark):
-    keys = [(float(i % 50), i) for i in range(300)] + [(7.0, 1000 + i) for i in range(200)]
-    order = sorted(keys, key=lambda x: (-x[0], x[1]))
-    table = spark.createDataFrame(keys, "gumbel_key double, doc_id long")
-    for share in (0.002, 0.5, 0.9, 1.0):
-        assert quality.kth_largest(table, share, bins=8) == order[round(share * 500) - 1]
-    assert quality.kth_largest(table.limit(0), 0.5) is None
+def test_repeated_ids_and_equal_rows_are_drawn_one_by_one(spark):
+    """14 rows of a few ids, null too, and 600 equal rows: the sample has its exact size, and the largest keys."""
+    given = [(i, f"text {k}") for k, i in enumerate([1, 1, 1, 2, 2, 2, 2, None, None, None, None, 3, 3, 3])] + [(9, "the same")] * 600
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    for share, want in ((0.0, 0), (0.005, 3), (0.2, 123), (0.9, 553), (1.0, 614)):
+        rows = quality.importance(docs(spark, given), none, share=share, text_hash=True).collect()
+        assert sum(r["sampled"] for r in rows) == want and len(rows) == 614
+        inside, outside = ([r["gumbel_key"] for r in rows if r["sampled"] == x] for x in (True, False))
+        assert not inside or not outside or min(inside) >= max(outside)
+    assert len({r["gumbel_key"] for r in rows}) == 15  # rows of one id have noise of their own
+    assert {r["sampled"] for r in quality.importance(docs(spark, given), none, share=None).collect()} == {None}
 
 
 def test_odd_rows_and_no_labels(spark):
