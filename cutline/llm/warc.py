@@ -180,7 +180,7 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes | None, int
 def write_warc(pages: DataFrame, path: str | None = None, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write one record per row; return the manifest (path, records), one row per archive.
 
-    Of rows whose payloads (html in UTF-8; null: empty) are equal and have at least min_bytes, those
+    Of rows whose payloads (html in UTF-8; null: empty) are equal (by SHA-256 and length; SHA-1, which the archives state, has known collisions) and have at least min_bytes, those
     with the largest page_id become response records and the others revisits of it (null ids too; if
     all are null, responses); smaller payloads are all responses. path: a folder that driver and
     executors share (by default a new one in the shared folder). A null url is left out. Each task
@@ -189,7 +189,7 @@ def write_warc(pages: DataFrame, path: str | None = None, min_bytes: int = 0, da
     """
     path = path or new_dir(pages.sparkSession, "warc")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
-    keyed = rows.withColumns({"sha": F.sha1("payload"), "n": F.octet_length("payload")})
+    keyed = rows.withColumns({"sha": F.sha2("payload", 256), "n": F.octet_length("payload")})
     groups = cut(keyed.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.count("*").alias("copies"), F.max("page_id").alias("kept")).where("copies > 1").drop("copies"))
     rows = keyed.join(small(groups, groups.count()), ["sha", "n"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
 
