@@ -1,15 +1,20 @@
-"""Language-model scores of whole texts by a weighted backoff model of all n-grams that occur twice.
-
-Counts cover all training documents. Over their words stand the n-grams (of two and three) that occur
-at least LEAST times, a number that is the same at every size, with discounted counts. They make a
-weighted backoff automaton: a state is a context that has n-grams, an arc reads a word, adds its
-log-probability and leads to the longest context that the words read so far end with; where a state
-has no arc for a word, its failure arc adds the backoff weight and leads to the next shorter context.
-
-The automaton of a corpus grows with it, so it is never gathered: words, arcs and failure arcs are
-tables in the shared folder, keyed by context and word, and every place of a text meets those that a
-walk would take there (the arc of its two words before, or the weight of its failure arc and the arc
-of its one word before, and so on) by joins. Automaton is the same for a model that fits in memory.
+"""Language-model scores of whole texts by a weighted backoff automaton of all n-grams of the training texts.
+
+The model: n-grams of one, two and three tokens with hierarchical Dirichlet smoothing,
+p(w | a b) = (c(a b w) + PRIOR * p(w | b)) / (c(a b) + PRIOR), and so on down to
+p(w) = (c(w) - DISCOUNT) / (N + DISCOUNT), of which all unknown words, as one, get what is left. As an
+automaton: a state is a context (two words, one, none), an arc reads a word, adds its log-probability
+and leads to the longest context that the words read so far end with; where a state has no arc for a
+word, its failure arc adds log(PRIOR / (c + PRIOR)) and leads to the next shorter context. A text's
+score is one walk from left to right.
+
+All n-grams are counted, so the automaton of a corpus grows with it and is never gathered. Texts are
+cut into blocks of tokens; each block counts its own n-grams once, sends them (sorted, as differences
+of 64-bit hashes) to the tasks of their ranges, and gets back how often each occurs in all training
+texts. That is the part of the automaton that a walk over the block can enter: a context's weight
+needs only its own count. The block builds that part and walks it. What is held at once is bounded by
+the sizes of a block and a range, not by the corpus or a text: a text may span blocks, and the walk
+goes on in the state that the two words before stand for.
 """
 
 from __future__ import annotations
@@ -23,319 +28,273 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, cut
+from .common import Words, blocks, mixed, new_dir
 
-#: The fewest occurrences of an n-gram that is kept.
-LEAST = 2
-#: Taken from every n-gram's count and given to words that were not seen after its context.
+#: What the shorter context's distribution weighs, in occurrences of a context.
+PRIOR = 20.0
+#: Taken from every word's count and given to words that were not seen.
 DISCOUNT = 0.5
-#: Tokens of a slice, whose n-grams are counted at once.
-SLICE = 4_000_000
-#: Numbers of special words; frequent words follow.
-RARE, END, START, FIRST = 0, 1, 2, 3
-_BITS = 21
-#: What stands for special words among the hashes of words.
-_END_HASH, _START_HASH, _RARE_HASH = 0x454E44, 0x5354415254, 0x52415245
+#: Tokens of a block (less than twice as many), and n-grams of a range.
+BLOCK, RANGE = 1 << 19, 1 << 22
+#: What stands for the end and the start of a text among the hashes of words.
+_END, _START = np.uint64(0x454E44), np.uint64(0x5354415254)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, number of words by text)."""
-    words = Words(texts)
-    return words.hashes().view(np.int64), np.diff(words.first)
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit numbers, all first bytes, then all second ones, and so on: small numbers compress well so."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _counted(values: list[np.ndarray], weights: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-    if weights is None:
-        return np.unique(flat, return_counts=True)
-    found, inverse = np.unique(flat, return_inverse=True)
-    return found, np.bincount(inverse, np.concatenate(weights), minlength=len(found)).astype(np.int64)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(h, c): how often each word (by its hash) and the end of a text occur, from column text."""
+def _sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the hashes of all texts' words, with the start before and the end after each text, tokens by text without the start)."""
+    words = Words(texts)
+    sizes = np.diff(words.first)
+    starts = words.first[:-1] + 2 * np.arange(len(sizes))
+    out = np.empty(int(words.first[-1]) + 2 * len(sizes), np.uint64)
+    inside = np.ones(len(out), bool)
+    inside[starts] = inside[starts + sizes + 1] = False
+    out[inside], out[starts], out[starts + sizes + 1] = words.hashes(), _START, _END
+    return out, sizes + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, texts_seen = [], 0, 0
-
-        def rows() -> pa.RecordBatch:
-            h, c = _counted(held)
-            return pa.RecordBatch.from_arrays([pa.array(np.append(h, _END_HASH)), pa.array(np.append(c, texts_seen))], ["h", "c"])
-
-        for _, texts in blocks(batches, "text"):
-            h, _ = _word_hashes(texts)
-            held.append(h)
-            size += len(h)
-            texts_seen += len(texts)
-            if size >= SLICE:
-                yield rows()
-                held, size, texts_seen = [], 0, 0
-        yield rows()
-
-    return train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 0")
-
-
-def _sequence(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with START before and END after each, and for each token its place in its text."""
-    ends = np.cumsum(sizes)
-    out = np.empty(len(ids) + 2 * len(sizes), np.int64)
-    starts = ends - sizes + 2 * np.arange(len(sizes))
-    out[starts] = START
-    out[starts + sizes + 1] = END
-    mask = np.ones(len(out), bool)
-    mask[starts] = mask[starts + sizes + 1] = False
-    out[mask] = ids
-    place = np.arange(len(out)) - np.repeat(starts, sizes + 2)
-    return out, place
-
-
-def _ngrams(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """All pairs and triples of a text's tokens as numbers (a pair's first of three tokens is the highest number there is)."""
-    none = np.int64((1 << _BITS) - 1)
-    two = np.flatnonzero(place >= 1)
-    three = np.flatnonzero(place >= 2)
-    pairs = (none << (2 * _BITS)) | (tokens[two - 1] << _BITS) | tokens[two]
-    triples = (tokens[three - 2] << (2 * _BITS)) | (tokens[three - 1] << _BITS) | tokens[three]
-    return np.concatenate([pairs, triples])
-
-
-def _places(texts: list[bytes], frequent: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """(row of the text, two words before, whether there are two, word before, word, its own hash) of each place, the end of the text being the last.
-
-    frequent: sorted hashes of the words that stand for themselves; None: all.
-    """
-    h, sizes = _word_hashes(texts)
-    own, place = _sequence(h, sizes)
-    special = (place == 0) | np.append(place[1:] == 0, True)
-    own[place == 0] = _START_HASH
-    own[special & (place > 0)] = _END_HASH
-    tokens = own if frequent is None else np.where(special | np.isin(own, frequent), own, _RARE_HASH)
-    at = np.flatnonzero(place >= 1)
-    return np.repeat(np.arange(len(texts)), sizes + 1), tokens[np.maximum(at - 2, 0)], place[at] >= 2, tokens[at - 1], tokens[at], own[at]
+
+def _pieces(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, lead, tokens after the lead) of pieces of at most `most` tokens; the lead is the text's start, or the two tokens before."""
+    count = -(-tokens // most)
+    text = np.repeat(np.arange(len(tokens)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    return text, np.where(number, 2, 1), np.minimum(most, tokens[text] - number * most)
 
 
-def ngram_counts(train: DataFrame, frequent, least: float) -> DataFrame:
-    """(a, b, w, c): the pairs (a is null) and triples of words (by their hashes) that occur at least `least` times."""
+def _in_blocks(rows: DataFrame, facts: str, most: int) -> DataFrame:
+    """The rows as blocks, stored: (block, words: sorted hashes, ids: each token's place among them, pieces)."""
+    path = new_dir(rows.sparkSession, "lm-blocks")
+    names = [c for c in rows.columns if c not in ("text", "learn")]
+    schema = f"block long, words binary, ids binary, pieces array<struct<uid: long, lead: int, size: int, learn: boolean, facts: {facts}>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            a, two, b, w = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((w, a, b))
-            a, two, b, w = a[order], two[order], b[order], w[order]
-            for of, keys in ((two, (a, b, w)), (np.ones(len(w), bool), (b, w))):
-                keys = [x[of] for x in keys]
-                if len(keys) == 2:
-                    order = np.lexsort(keys[::-1])
-                    keys = [x[order] for x in keys]
-                if not len(keys[0]):
-                    continue
-                new = np.ones(len(keys[0]), bool)
-                new[1:] = np.any([np.diff(x) != 0 for x in keys], axis=0)
-                first = np.flatnonzero(new)
-                columns = [*(pa.array(x[first]) for x in keys), pa.array(np.diff(np.append(first, len(new))))]
-                if len(keys) == 2:
-                    columns = [pa.nulls(len(first), pa.int64()), *columns]
-                table = pa.RecordBatch.from_arrays(columns, ["a", "b", "w", "c"])
-                yield from (table.slice(i, 100_000) for i in range(0, len(first), 100_000))
-
-        for _, texts in blocks(batches, "text"):
-            held.append(_places(texts, frequent.value)[1:5])
-            size += len(held[-1][0])
-            if size >= SLICE:
-                yield from rows()
-                held, size = [], 0
+        uid = block = TaskContext.get().partitionId() << 40
+        held: list[tuple[np.ndarray, pa.StructArray]] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            words, ids = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            found = pa.concat_arrays([x for _, x in held])
+            columns = [pa.array([block]), pa.array([words.astype("<u8").tobytes()]), pa.array([ids.astype("<u4").tobytes()]), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)]
+            return pa.RecordBatch.from_arrays(columns, ["block", "words", "ids", "pieces"])
+
+        for batch, texts in blocks(batches, "text"):
+            tokens, sizes = _sequences(texts)
+            text, lead, own = _pieces(sizes, most)
+            ends = np.cumsum(own) + text + 1  # in tokens, where each text has its start too
+            first = lead == 1
+            about = pa.StructArray.from_arrays([batch.column(c) for c in names], names).take(pa.array(text, mask=~first))
+            learn = batch.column("learn").take(pa.array(text))
+            found = pa.StructArray.from_arrays([pa.array(uid + text), pa.array(lead, pa.int32()), pa.array(own, pa.int32()), learn, about], ["uid", "lead", "size", "learn", "facts"])
+            uid += len(texts)
+            group = (size + np.cumsum(own) - own) // most
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(own)]
+            for i, (a, b) in enumerate(zip(edges, edges[1:])):  # noqa: B905, RUF007
+                if held and (i or group[0]):
+                    yield row()
+                    held, size, block = [], 0, block + 1
+                held.append((np.concatenate([tokens[e - n - m : e] for e, n, m in zip(ends[a:b].tolist(), own[a:b].tolist(), lead[a:b].tolist(), strict=True)]), found.slice(a, b - a)))
+                size += int(own[a:b].sum())
         if held:
-            yield from rows()
-
-    found = train.select("text").mapInArrow(run, "a long, b long, w long, c long")
-    return found.groupBy("a", "b", "w").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-
-
-def _weighted(found: DataFrame, context: Sequence[str]) -> DataFrame:
-    """(*context, total, log_back): of contexts, from rows (*context, c, total, lower) for each word seen after them; as _spread does.
-
-    A word's probability is (c - DISCOUNT) / total; lower is the one under the shorter context.
-    """
-    sums = found.groupBy(*context).agg(F.first("total").cast("double").alias("total"), F.sum(F.col("c") - DISCOUNT).alias("kept"), F.sum("lower").alias("lower"))
-    full = F.col("lower") > 1 - 1e-9
-    back = F.when(full, 1e-12).otherwise(F.greatest(1 - F.col("kept") / F.col("total"), F.lit(1e-12)) / (1 - F.col("lower")))
-    return sums.select(*context, F.when(full, F.col("kept")).otherwise(F.col("total")).alias("total"), F.log10(back).alias("log_back"))
-
-
-def _spread(kept: dict[int, float], lower: float) -> tuple[dict[int, float], float]:
-    """The probabilities of the words seen after a context, and what the shorter context's are multiplied by for others.
-
-    lower: the sum, under the shorter context, over the words seen; where that is all there are, nothing is left for others.
-    """
-    seen = sum(kept.values())
-    if lower > 1 - 1e-9:
-        return {w: p / seen for w, p in kept.items()}, 1e-12
-    return kept, max(1 - seen, 1e-12) / (1 - lower)
+            yield row()
+
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+class Block:
+    """The tokens of some pieces, and their different words, pairs and triples in the order of their hashes."""
+
+    def __init__(self, words: bytes, ids: bytes, lead: np.ndarray, size: np.ndarray):
+        self.words, self.ids = np.frombuffer(words, "<u8"), np.frombuffer(ids, "<u4").astype(np.int64)
+        self.ends = np.cumsum(lead + size)
+        self.starts = self.ends - size  # after the lead
+        place = np.arange(len(self.ids)) - np.repeat(self.ends - size - lead, lead + size)
+        #: Whether a token is its piece's own.
+        self.own = place >= np.repeat(lead, lead + size)
+        hashes = self.words[self.ids]
+        self.two, self.three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        two = mixed(hashes[self.two - 1] * _STEP + hashes[self.two])
+        three = mixed(mixed(hashes[self.three - 2] * _STEP + hashes[self.three - 1]) * _STEP + hashes[self.three] + np.uint64(1))
+        self.pairs, at, of = np.unique(two, return_index=True, return_inverse=True)
+        self.pair_at = np.zeros(len(self.ids), np.int64)
+        self.pair_at[self.two] = of
+        self.first_pair = self.two[at]
+        self.triples, at, self.triple_of = np.unique(three, return_index=True, return_inverse=True)
+        self.first_triple = self.three[at]
+
+    def counts(self, learn: np.ndarray) -> list[np.ndarray]:
+        """How often each word, pair and triple ends in one of the tokens that are learnt from."""
+        of = ((self.ids, learn, self.words), (self.pair_at[self.two], learn[self.two], self.pairs), (self.triple_of, learn[self.three], self.triples))
+        return [np.bincount(i[yes], minlength=len(keys)) for i, yes, keys in of]
 
 
 class Automaton:
-    """States, arcs and failure arcs of the smoothed n-grams."""
-
-    def __init__(self, unigrams: np.ndarray, starts: int, grams: np.ndarray, counts: np.ndarray):
-        """unigrams: counts by word number (RARE: all words that are not frequent; START: 0); starts: texts."""
-        mask, none = (1 << _BITS) - 1, (1 << _BITS) - 1
-        size = len(unigrams)
-        weight = np.maximum(unigrams - DISCOUNT, 0)
-        weight[RARE] = unigrams[RARE] + DISCOUNT * (unigrams[END:] > 0).sum() + DISCOUNT  # what is taken from words goes to the class of those not seen
-        self.log_one = np.full(size, -np.inf)
-        has = weight > 0
-        self.log_one[has] = np.log10(weight[has] / weight.sum())
-        one = weight / weight.sum()
-        context_one = unigrams.astype(float)
-        context_one[START] = starts
-        pairs: dict[int, dict[int, int]] = {}
-        triples: dict[tuple[int, int], dict[int, int]] = {}
-        for g, c in zip(grams.tolist(), counts.tolist(), strict=True):
-            a, b, w = g >> (2 * _BITS), g >> _BITS & mask, g & mask
-            if a == none:
-                pairs.setdefault(b, {})[w] = c
-            else:
-                triples.setdefault((a, b), {})[w] = c
-        triples = {k: v for k, v in triples.items() if k[1] in pairs and k[0] in pairs and k[1] in pairs[k[0]]}
-        contexts: list[tuple[int, ...]] = [(), *((b,) for b in pairs), *triples]
-        state = {c: i for i, c in enumerate(contexts)}
-        self.width = size
-        self.fail = np.zeros(len(contexts), np.int64)
-        self.back = np.zeros(len(contexts))
-        self.start = state.get((START,), 0)
-        #: After reading w in the empty state.
-        self.dest_one = np.array([state.get((w,), 0) for w in range(size)])
-        self.arcs: dict[int, tuple[float, int]] = {}
-        prob: dict[tuple[int, int], float] = {}
-        back_two: dict[int, float] = {}
-        for b, after in pairs.items():
-            s, total = state[(b,)], context_one[b]
-            kept, back_two[b] = _spread({w: (c - DISCOUNT) / total for w, c in after.items()}, sum(one[w] for w in after))
-            self.back[s] = math.log10(back_two[b])
-            for w, p in kept.items():
-                prob[b, w] = p
-                self.arcs[s * size + w] = (math.log10(p), state.get((b, w), state.get((w,), 0)))
-        for (a, b), after in triples.items():
-            s, total = state[(a, b)], pairs[a][b]
-            kept, back = _spread({w: (c - DISCOUNT) / total for w, c in after.items()}, sum(prob.get((b, w), back_two[b] * one[w]) for w in after))
-            self.fail[s] = state[(b,)]
-            self.back[s] = math.log10(back)
-            for w, p in kept.items():
-                self.arcs[s * size + w] = (math.log10(p), state.get((b, w), state.get((w,), 0)))
-
-    def read(self, words: Sequence[int]) -> float:
-        """The log10 probability of the words (numbers), from the state of a text's start."""
-        arcs, width, one, dest, fail, back = self.arcs.get, self.width, self._one, self._dest, self._fail, self._back
-        total, s = 0.0, self.start
+    """The states, arcs and failure arcs that a walk over a block can enter; c1, c2, c3: counts of its words, pairs and triples in all training texts; texts: how many those are."""
+
+    def __init__(self, block: Block, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int, distinct: int, texts: int, prior: float = PRIOR):
+        b, n = block, len(block.words)
+        self.width = n
+        p1 = np.where(c1 > 0, c1 - DISCOUNT, DISCOUNT * (distinct + 1)) / (total + DISCOUNT)
+        context = np.where(b.words == _START, texts, c1)  # how often a word is followed by another, or the end
+        before, word = b.ids[b.first_pair - 1], b.ids[b.first_pair]
+        p2 = (c2 + prior * p1[word]) / (context[before] + prior)
+        longer, last = b.pair_at[b.first_triple - 1], b.pair_at[b.first_triple]
+        p3 = (c3 + prior * p2[last]) / (c2[longer] + prior)
+        # states: 0 no context, then those of words, then those of pairs
+        self.back = np.log10(prior / (np.concatenate([[0], context, c2]) + prior)).tolist()
+        self.fail = np.concatenate([[0], np.zeros(n, np.int64), 1 + word]).tolist()
+        self.one, self.after_one = np.log10(p1).tolist(), np.where(context > 0, 1 + np.arange(n), 0).tolist()
+        seen2, seen3 = np.flatnonzero(c2), np.flatnonzero(c3)
+        keys = np.concatenate([(1 + before[seen2]) * n + word[seen2], (1 + n + longer[seen3]) * n + word[last[seen3]]])
+        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.log = np.log10(np.concatenate([p2[seen2], p3[seen3]])).tolist()
+        self.to = (1 + n + np.concatenate([seen2, last[seen3]])).tolist()
+
+    def walk(self, s: int, words: Sequence[int]) -> tuple[float, int]:
+        """(log10 probability of the words from state s, the state after them)."""
+        arcs, n, log, to, back, fail, one, after_one = self.arcs.get, self.width, self.log, self.to, self.back, self.fail, self.one, self.after_one
+        total = 0.0
         for w in words:
             while s:
-                arc = arcs(s * width + w)
-                if arc:
-                    total += arc[0]
-                    s = arc[1]
+                arc = arcs(s * n + w)
+                if arc is not None:
+                    total += log[arc]
+                    s = to[arc]
                     break
                 total += back[s]
                 s = fail[s]
             else:
                 total += one[w]
-                s = dest[w]
-        return total
+                s = after_one[w]
+        return total, s
 
-    def ready(self) -> Automaton:
-        """With plain lists, which a loop reads faster."""
-        self._one, self._dest, self._fail, self._back = self.log_one.tolist(), self.dest_one.tolist(), self.fail.tolist(), self.back.tolist()
-        return self
 
+def _ranges(keys: np.ndarray, of: int) -> np.ndarray:
+    """The range of each hash, of so many of equal width."""
+    return ((keys >> np.uint64(32)) * np.uint64(of) >> np.uint64(32)).astype(np.int64)
 
-def score(docs: DataFrame, train: Column, keep: Sequence[str] = (), doc_id: str = "doc_id", text: str = "text", frequent: float = 0.0, ngram: float = 0.0) -> DataFrame:
-    """(doc_id, *keep, n_tokens, n_known, train_tokens, base_score, score): one row per row of docs.
 
-    The model learns from the rows for which `train` holds. Tokens are the lower-cased (A-Z) words and
-    the end of the text. base_score: sum of log10((c + 1) / (N + V + 1)) with c the token's count, N of
-    all and V of distinct training tokens. score: the model's log10 probability of the text. n_known:
-    tokens with c > 0. Null and empty texts are one token (the end). Null and repeated doc_ids keep
-    their rows. Without training rows every token is unknown: N and V are 0. An empty table gives no
-    rows; columns other than those named are not read.
+def _block_counts(stored: DataFrame, word_ranges: int, ranges: int) -> DataFrame:
+    """(range, block, keys, counts): of each block, its n-grams of each range. Ranges of words come first."""
 
-    frequent, ngram: shares of the training tokens; for a smaller model, words below the first are
-    members of one class and n-grams below the second are left out. At 0 all words, and all n-grams
-    that occur LEAST times, are counted singly.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                of = lambda c: batch.column(c)[i]  # noqa: B023, E731
+                lead, size, learn = (of(c).values.to_numpy(zero_copy_only=False) for c in ("lead", "size", "learn"))
+                block = Block(of("words").as_py(), of("ids").as_py(), lead, size)
+                one, two, three = block.counts(block.own & np.repeat(learn, lead + size))
+                keys, counts = np.concatenate([block.pairs, block.triples]), np.concatenate([two, three])
+                order = np.argsort(keys, kind="stable")
+                out: list[tuple[int, int, bytes, bytes]] = []
+                for first, n, k, c in ((0, word_ranges, block.words, one), (word_ranges, ranges, keys[order], counts[order])):
+                    at = _ranges(k, n)
+                    edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(k)]]).tolist()
+                    out.extend((first + int(at[a]), of("block").as_py(), _packed(np.diff(k[a:b], prepend=np.uint64(0))), _packed(c[a:b])) for a, b in zip(edges, edges[1:]))  # noqa: B905, RUF007
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "block", "keys", "counts"])
+
+    return stored.select("block", "words", "ids", "pieces.lead", "pieces.size", "pieces.learn").mapInArrow(run, "range int, block long, keys binary, counts binary")
+
+
+def _totals(counted: DataFrame, word_ranges: int) -> DataFrame:
+    """(block, range, totals, tokens, words), stored: for the n-grams of a block and range, in their order, the counts of all blocks.
+
+    A row without a block carries a range's training tokens and how many different words they are.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep, train.alias("train"))
-    training = rows.where("train")
-    counts = cut(word_counts(training))
-    end, c = F.col("h") == _END_HASH, F.col("c")
-    n, v, texts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(end, c)), F.lit(0))).first()
-    single = counts.where(end | (c >= frequent * n))
-    single_tokens, single_words = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    rare_tokens, rare_words = n - single_tokens, v - single_words
-    of_rare = rare_tokens + DISCOUNT * single_words + DISCOUNT  # what is taken from words goes to the class of those not seen
-    mass = single_tokens - DISCOUNT * single_words + of_rare
-    listed = np.sort(single.select("h").toArrow().column("h").to_numpy()) if frequent else None
-    known = spark.sparkContext.broadcast(listed)
-
-    one = single.select("h", "c", ((c - DISCOUNT) / mass).alias("p"))
-    special = spark.createDataFrame([(_START_HASH, texts, 0.0), (_RARE_HASH, rare_tokens, of_rare / mass)], "h long, c long, p double")
-    one = one.unionByName(special)
-    grams = cut(ngram_counts(training, known, max(float(LEAST), ngram * n)))
-    pairs = grams.where("a IS NULL").select("b", "w", "c")
-    pairs = pairs.join(one.select(F.col("h").alias("w"), F.col("p").alias("lower")), "w").join(one.select(F.col("h").alias("b"), F.col("c").alias("total")), "b")
-    after_one = cut(_weighted(pairs, ["b"]))
-    pairs = cut(pairs.select("b", "w", "c").join(after_one, "b").select("b", "w", "c", ((F.col("c") - DISCOUNT) / F.col("total")).alias("p")))
-    # a triple that is kept has both of its pairs kept
-    triples = grams.where("a IS NOT NULL").join(pairs.select("b", "w", F.col("p").alias("lower")), ["b", "w"])
-    triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("w").alias("b"), F.col("c").alias("total")), ["a", "b"])
-    after_two = cut(_weighted(triples, ["a", "b"]))
-    triples = grams.where("a IS NOT NULL").join(after_two, ["a", "b"]).select("a", "b", "w", F.log10((F.col("c") - DISCOUNT) / F.col("total")).alias("log_three"))
+    path = new_dir(counted.sparkSession, "lm-totals")
+    schema = "block long, range int, totals binary, tokens long, words long"
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [np.cumsum(_unpacked(x.as_py())) for x in table.column("keys")]
+        keys = np.concatenate(found)
+        counts = np.concatenate([_unpacked(x.as_py()) for x in table.column("counts")]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+        sums = np.add.reduceat(counts[order], new)
+        totals = np.empty(len(keys), np.int64)
+        totals[order] = np.repeat(sums, np.diff(np.append(new, len(keys))))
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in found])]).tolist()
+        part = table.column("range")[0].as_py()
+        rows = [(x, part, _packed(totals[a:b]), None, None) for x, a, b in zip(table.column("block").to_pylist(), edges, edges[1:], strict=False)]
+        if part < word_ranges:
+            rows.append((None, part, None, int(sums.sum()), int((sums > 0).sum())))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["block", "range", "totals", "tokens", "words"])
+
+    counted.groupBy("range").applyInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return counted.sparkSession.read.schema(schema).parquet(path)
+
+
+def _walked(stored: DataFrame, totals: DataFrame, facts: str, word_ranges: int, n: int, v: int, texts: int, prior: float) -> DataFrame:
+    """(uid, facts, n_tokens, known, base, score) of each piece."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pieces = left.column("pieces").combine_chunks().values
+        lead, size = pieces.field("lead").to_numpy(), pieces.field("size").to_numpy()
+        block = Block(left.column("words")[0].as_py(), left.column("ids")[0].as_py(), lead, size)
+        parts = sorted(zip(right.column("range").to_pylist(), right.column("totals").to_pylist(), strict=True))
+        c1 = np.concatenate([_unpacked(x) for r, x in parts if r < word_ranges]).astype(np.int64)
+        longer = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x) for r, x in parts if r >= word_ranges)]).astype(np.int64)
+        keys = np.concatenate([block.pairs, block.triples])
+        counts = np.empty(len(keys), np.int64)
+        counts[np.argsort(keys, kind="stable")] = longer
+        machine = Automaton(block, c1, counts[: len(block.pairs)], counts[len(block.pairs) :], n, v, texts, prior)
+        ids, scores = block.ids.tolist(), []
+        for start, end, before in zip(block.starts.tolist(), block.ends.tolist(), lead.tolist(), strict=True):
+            s = machine.after_one[ids[start - 1]]
+            if before == 2 and counts[block.pair_at[start - 1]]:
+                s = 1 + machine.width + int(block.pair_at[start - 1])
+            scores.append(machine.walk(s, ids[start:end])[0])
+        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.stack([block.starts, block.ends])], axis=0)[0]
+        base = np.log10(c1 + 1.0)[block.ids]
+        exact = [math.fsum(base[a:b].tolist()) for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
+        columns = [pieces.field("uid"), pieces.field("facts"), pa.array(size.astype(np.int64)), pa.array(sums((c1 > 0)[block.ids])), pa.array(exact, pa.float64()), pa.array(scores, pa.float64())]
+        return pa.Table.from_arrays(columns, ["uid", "facts", "n_tokens", "known", "base", "score"])
+
+    blocks_, found = stored.groupBy("block"), totals.where("block IS NOT NULL").select("block", "range", "totals").groupBy("block")
+    return blocks_.cogroup(found).applyInArrow(run, f"uid long, facts {facts}, n_tokens long, known long, base double, score double")
+
+
+def score(docs: DataFrame, train: Column, keep: Sequence[str] = (), doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, prior: float = PRIOR) -> DataFrame:
+    """(doc_id, *keep, n_tokens, n_known, train_tokens, base_score, score): one row per row of docs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
-        for part, texts_ in blocks(batches, "text"):
-            of, a, two, b, _, own = _places(texts_, known.value)
-            spans = np.searchsorted(of, np.arange(len(texts_) + 1))
-            places = pa.StructArray.from_arrays([pa.array(a, mask=~two), pa.array(b), pa.array(own)], ["a", "b", "h"])
-            columns = [pa.array(uid + np.arange(len(texts_))), part.column("doc_id"), *(part.column(x) for x in keep), pa.array(np.diff(spans).astype(np.int64)), pa.ListArray.from_arrays(pa.array(spans, pa.int32()), places)]
-            uid += len(texts_)
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", *keep, "n_tokens", "places"])
-
-    kept = "".join(f"{x} {rows.schema[x].dataType.simpleString()}, " for x in keep)
-    each = rows.drop("train").mapInArrow(run, f"uid long, doc_id long, {kept}n_tokens long, places array<struct<a: long, b: long, h: long>>")
-    # the first place of a text, its only one without two words before, carries the text's columns
-    places = each.select("uid", F.struct("doc_id", *keep, "n_tokens").alias("facts"), F.posexplode("places").alias("at", "place"))
-    places = places.select("uid", F.when(F.col("at") == 0, F.col("facts")).alias("facts"), "place.a", "place.b", "place.h")
-    count = F.coalesce("count", F.lit(0))
-    alone = F.coalesce((F.col("count") >= frequent * n) | (F.col("h") == _END_HASH), F.lit(not frequent))
-    places = places.join(counts.withColumnRenamed("c", "count"), "h", "left")
-    of_class = F.when(count > 0, (count - DISCOUNT) / (rare_tokens + DISCOUNT)).otherwise((DISCOUNT * rare_words + DISCOUNT) / (rare_tokens + DISCOUNT))
-    seen = alone & (count > 0)
-    places = places.select(
-        "uid", "facts", "a", "b",
-        F.when(alone, F.col("h")).otherwise(F.lit(_RARE_HASH)).alias("w"),
-        count.alias("count"),
-        F.log10(F.when(seen, (count - DISCOUNT) / mass).otherwise(of_rare / mass)).alias("log_one"),
-        F.when(seen, 0.0).otherwise(F.log10(of_class)).alias("log_in_class"),
-    )
-    places = places.join(after_one.select("b", F.col("log_back").alias("back_one")), "b", "left")
-    places = places.join(pairs.select("b", "w", F.log10("p").alias("log_two")), ["b", "w"], "left")
-    places = places.join(after_two.select("a", "b", F.col("log_back").alias("back_two")), ["a", "b"], "left")
-    places = places.join(triples, ["a", "b", "w"], "left")
-    shorter = F.coalesce("log_two", F.coalesce("back_one", F.lit(0.0)) + F.col("log_one"))
-    walk = F.coalesce("log_three", F.coalesce("back_two", F.lit(0.0)) + shorter) + F.col("log_in_class")
-    sums = places.groupBy("uid").agg(
-        F.max("facts").alias("facts"),
-        F.sum(F.log10(F.col("count") + 1)).alias("base"),
-        F.sum(walk).alias("walk"),
-        F.sum(F.when(F.col("count") > 0, 1).otherwise(0)).alias("known"),
-    )
+    The model learns from the rows for which `train` holds (null: not). Tokens are the lower-cased (A-Z)
+    words and the end of the text. base_score: sum of log10((c + 1) / (N + V + 1)) with c the token's
+    count, N of all and V of distinct training tokens. score: the model's log10 probability of the text,
+    in which all words that are not known are one. n_known: tokens with c > 0. Null and empty texts are
+    one token (the end). Null and repeated doc_ids keep their rows. Texts longer than a block (in tokens)
+    are walked in pieces. Without training rows every token is unknown: N and V are 0. An empty table
+    gives no rows; columns other than those named are not read, and those of `keep` may have any name.
+    Words and n-grams are told apart by 64-bit hashes. block: tokens; prior: see PRIOR.
+    """
+    spark = docs.sparkSession
+    kept = [F.col(x).alias(f"kept{i}") for i, x in enumerate(keep)]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("learn"), *kept)
+    facts = f"struct<{', '.join(f'{c}: {rows.schema[c].dataType.simpleString()}' for c in rows.columns if c not in ('text', 'learn'))}>"
+    stored = _in_blocks(rows, facts, block)
+    pieces = stored.select(F.explode(F.arrays_zip("pieces.lead", "pieces.size", "pieces.learn")).alias("p")).select("p.*")
+    tokens, texts = pieces.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.when((F.col("lead") == 1) & F.col("learn"), 1))).first()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // RANGE))
+    word_ranges = -(-ranges // 8)
+    totals = _totals(_block_counts(stored, word_ranges, ranges), word_ranges)
+    n, v = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    walked = _walked(stored, totals, facts, word_ranges, n, v, texts, prior)
+    sums = walked.groupBy("uid").agg(F.first("facts", ignorenulls=True).alias("facts"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "score")))
     return sums.select(
         "facts.doc_id",
-        *(F.col(f"facts.{x}").alias(x) for x in keep),
-        "facts.n_tokens",
+        *(F.col(f"facts.kept{i}").alias(x) for i, x in enumerate(keep)),
+        "n_tokens",
         F.col("known").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("facts.n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        F.col("walk").alias("score"),
+        (F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
+        "score",
     )
