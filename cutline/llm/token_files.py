@@ -1,12 +1,11 @@
 """Token files: Arrow IPC files whose batches hold equal-length sequences.
 
 A file holds the token stream of a range of doc_ids, cut into sequences of one length: a fixed-size
-list of ids, and a view of as many mask bytes (0: padding, at the end of a file only). A batch stores
-the mask bytes once, as ones followed by zeros; the mask of a sequence with n ids is the window of
-them that begins with n ones. Such columns are plain buffers, so ids and mask of sequence i of a
-memory-mapped file are slices of the mapping: nothing is decoded or copied. Beside it lies a small Arrow file with each document's place. Files are written by the tasks
-of a range-partitioned sort, under names of their own; what is listed in the manifest is what
-finished tasks wrote.
+list of ids, and a fixed-size list of as many mask values, Arrow booleans of a bit each (false: padding,
+at the end of a file only). Such columns are plain buffers, so ids and mask of sequence i of a
+memory-mapped file are slices of the mapping: nothing is decoded or copied. Beside it lies a small
+Arrow file with each document's place. Files are written by the tasks of a range-partitioned sort,
+under names of their own; what is listed in the manifest is what finished tasks wrote.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens",
 
 
 def file_schema(length: int, small_ids: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16() if small_ids else pa.uint32(), length)), ("mask", pa.list_view(pa.uint8()))])
+    return pa.schema([("ids", pa.list_(pa.uint16() if small_ids else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class _Writer:
@@ -52,10 +51,7 @@ class _Writer:
             self.held, self.size = [flat[whole:]], len(flat) - whole
 
     def _write(self, flat: np.ndarray, valid: int) -> None:
-        n = len(flat) // self.length
-        used = np.clip(valid - np.arange(n) * self.length, 0, self.length)
-        bytes_ = np.repeat(np.array([1, 0], np.uint8), self.length)
-        mask = pa.ListViewArray.from_arrays(pa.array(self.length - used, pa.int32()), pa.array(np.full(n, self.length), pa.int32()), pa.array(bytes_))
+        mask = pa.FixedSizeListArray.from_arrays(pa.array(np.arange(len(flat)) < valid), self.length)
         self.out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), mask], schema=self.schema))
 
     def close(self) -> None:
@@ -83,18 +79,15 @@ class TokenFile:
         at = i % ROWS * self.length
         return self.batch(i // ROWS).column("ids").values.to_numpy(zero_copy_only=True)[at : at + self.length]
 
-    def mask(self, i: int) -> np.ndarray:
-        """1 for each id of sequence i, 0 for padding; a view of the file."""
-        column = self.batch(i // ROWS).column("mask")
-        at = column.offsets[i % ROWS].as_py()
-        return column.values.to_numpy(zero_copy_only=True)[at : at + self.length]
+    def mask(self, i: int) -> pa.BooleanArray:
+        """True for each id of sequence i, false for padding; a slice of the file's bits."""
+        return self.batch(i // ROWS).column("mask").values.slice(i % ROWS * self.length, self.length)
 
     def stream(self) -> Iterator[np.ndarray]:
         """All ids in order, without padding, a batch at a time."""
         for i in range(self.reader.num_record_batches):
             batch = self.batch(i)
-            padding = int(batch.column("mask").offsets.to_numpy().sum())
-            yield batch.column("ids").values.to_numpy(zero_copy_only=True)[: batch.num_rows * self.length - padding]
+            yield batch.column("ids").values.to_numpy(zero_copy_only=True)[: batch.column("mask").values.true_count]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
@@ -139,10 +140,13 @@ def test_token_files(spark):
         file = token_files.TokenFile(path)
         n = sum(file.batch(i).num_rows for i in range(file.reader.num_record_batches))
         for i in range(n):
+            before = pa.total_allocated_bytes()
             ids, mask = file.sequence(i), file.mask(i)
-            assert len(ids) == len(mask) == 64 and (i == n - 1 or mask.all())
-            assert not any(x.flags.owndata or x.flags.writeable for x in (ids, mask))
-            stream += ids[mask == 1].tolist()
+            assert pa.total_allocated_bytes() - before < 64  # nothing is copied
+            assert len(ids) == len(mask) == 64 and (i == n - 1 or mask.true_count == 64)
+            assert not (ids.flags.owndata or ids.flags.writeable) and not mask.buffers()[1].is_mutable
+            stream += ids[mask.to_numpy(zero_copy_only=False)].tolist()
+        assert file.reader.schema == token_files.file_schema(64, small_ids=True)
     assert stream == [t for x in order for t in ids_of(BYTE, x[1], 0).tolist()]
 
 
