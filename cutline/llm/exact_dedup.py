@@ -6,6 +6,9 @@ shifting: the hash of A followed by B is hash(A) * base ** len(B) + hash(B). The
 text are rows of their own, which are hashed by different tasks and combined by text; a text of less
 is hashed where it is. Texts that agree in fingerprint and length are then compared piece by piece
 with the first text of their run in a sorted stream, so a collision never merges different texts.
+
+Only texts of repeated fingerprints are shuffled. Where these are too many to be broadcast, a Bloom
+filter of them is (of a bounded size: beyond it more texts pass, and the join drops them).
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, small
+from .common import BROADCAST_ROWS, blocks, cut, mixed
 
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525013)
 #: Symbols (of two bytes) in a piece: 2**15 products of 16 and 31 bits add up to less than 2**63.
@@ -28,6 +32,8 @@ PIECE = 1 << 15
 HUGE = 64 * 2 * PIECE
 #: Rows of one fingerprint beyond which the comparison is spread over several tasks: as many parts as a part then has rows.
 HOT_GROUP = 100
+#: Bits of the Bloom filter by fingerprint, its most bits (128 MB), and those that one task makes.
+BITS, MOST_BITS, CHUNK = 16, 1 << 30, 1 << 16
 _SPACE = frozenset(b" \t\n\x0b\x0c\r")
 
 
@@ -93,10 +99,44 @@ def _hashes(batches: Iterator[pa.RecordBatch], huge: int) -> Iterator[pa.RecordB
         )
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(fp: np.ndarray, size: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each fingerprint and length in a filter of so many bits (a power of two)."""
+    h = mixed(fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.view(np.uint64))
+    return tuple((x & np.uint64(bits - 1)).astype(np.int64) for x in (h, h >> np.uint64(32)))
+
+
+def _marked(marks: np.ndarray, fp: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each may be in the filter; all that were put in are."""
+    return np.logical_and(*(marks[x >> 3] >> (x & 7).astype(np.uint8) & 1 for x in _marks(fp, size, 8 * len(marks))))
+
+
+def bloom_filter(groups: DataFrame, rows: int, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A filter of the (fp, size) of groups as bytes; each chunk of it is made by a task, and the driver puts them together."""
+    bits = max(CHUNK, min(most_bits, 1 << (BITS * rows - 1).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_marks(batch.column("fp").to_numpy(), batch.column("size").to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at // CHUNK), pa.array(at % CHUNK)], ["chunk", "place"])
+
+    def chunk(table: pa.Table) -> pa.Table:
+        set_ = np.zeros(CHUNK, bool)
+        set_[table.column("place").to_numpy()] = True
+        return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([np.packbits(set_, bitorder="little").tobytes()])})
+
+    made = groups.select("fp", "size").mapInArrow(places, "chunk long, place long").groupBy("chunk").applyInArrow(chunk, "chunk long, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for row in made.toLocalIterator():
+        out[row["chunk"] * CHUNK // 8 :][: CHUNK // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch], marks: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
+    """(doc_id, fp, size, data) of the texts, of those only that may be in the filter `marks` if there is one."""
     for rows, texts in blocks(batches, "text"):
         norm = [normalised(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_fp(t) for t in norm], pa.int64()), pa.array([len(t) for t in norm], pa.int64()), pa.array(norm, pa.binary())], ["doc_id", "fp", "size", "data"])
+        found = pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_fp(t) for t in norm], pa.int64()), pa.array([len(t) for t in norm], pa.int64()), pa.array(norm, pa.binary())], ["doc_id", "fp", "size", "data"])
+        yield found.filter(pa.array(_marked(marks.value, found.column("fp").to_numpy(), found.column("size").to_numpy()))) if marks else found
 
 
 def _huge_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,27 +208,34 @@ def _classed(rows: DataFrame) -> DataFrame:
     return rows.repartition("fp", "size", "part").sortWithinPartitions("fp", "size", "part", "doc_id").mapInArrow(_compare, _CLASSED)
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", huge: int = HUGE) -> DataFrame:
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", huge: int = HUGE, direct: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256): one row per row of docs.
 
     Texts are equal when identical after each run of white space becomes one space; null counts as
     empty. Of equal texts the row with the smallest doc_id stays (one of them if that doc_id repeats);
-    a null doc_id stays only where no row of the group has one. Texts that nothing repeats are never
-    shuffled, but for the pieces of texts of more than `huge` bytes. An empty table gives no rows; other
+    a null doc_id stays only where no row of the group has one. Texts that nothing repeats are not
+    shuffled, but for the pieces of texts of more than `huge` bytes and, where more than `direct`
+    fingerprints repeat, the few that pass a Bloom filter by chance. An empty table gives no rows; other
     columns are not read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     each = cut(docs.mapInArrow(partial(_hashes, huge=huge), "doc_id long, fp long, size long, sha string"))
     is_huge = F.coalesce(F.octet_length("text"), F.lit(0)) > huge
-    data = docs.where(~is_huge).mapInArrow(_texts, "doc_id long, fp long, size long, data binary")
+    found = None
     if not each.where("fp IS NULL").isEmpty():
         found = cut(huge_fingerprints(docs.where(is_huge)))
         long = each.where("fp IS NULL").drop("fp").join(found, ["sha", "size"])
         each = cut(each.where("fp IS NOT NULL").unionByName(long))
+    groups = cut(each.groupBy("fp", "size").agg(F.count("*").alias("n")).where("n > 1"))
+    repeated, marks = groups.count(), None
+    if repeated <= direct:
+        groups = F.broadcast(groups)
+    else:
+        marks = docs.sparkSession.sparkContext.broadcast(bloom_filter(groups, repeated))
+    data = docs.where(~is_huge).mapInArrow(partial(_texts, marks=marks), "doc_id long, fp long, size long, data binary")
+    if found is not None:
         long = docs.where(is_huge).mapInArrow(_huge_texts, "doc_id long, sha string, size long, data binary").join(found, ["sha", "size"])
         data = data.unionByName(long.drop("sha"))
-    groups = cut(each.groupBy("fp", "size").agg(F.count("*").alias("n")).where("n > 1"))
-    groups = small(groups, groups.count())
     alone = each.join(groups, ["fp", "size"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
 
     rows = data.join(groups, ["fp", "size"])

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from oracle import compare
 from small import docs, odd_rows
 
@@ -35,6 +37,26 @@ def test_large_groups_are_dealt_out(spark, monkeypatch):
     check(spark, [(i, "same  text") for i in range(40)] + [(i, "other\ttext") for i in range(40, 60)] + odd_rows())
 
 
+def test_too_many_groups_to_broadcast(spark):
+    """Texts of repeated fingerprints are found by a filter and a shuffle."""
+    rows = [(i, f"text {i // 2}") for i in range(0, 400, 3)] + [(i, f"text  {i // 3}") for i in range(500, 600)] + odd_rows()
+    got = exact_dedup.exact_duplicates(docs(spark, rows), direct=0)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows)
+    assert exact_dedup.exact_duplicates(docs(spark, [(1, "a"), (2, "b")]), direct=0).count() == 2
+    assert exact_dedup.exact_duplicates(docs(spark, []), direct=0).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 30, 1 << 16])
+def test_filter_passes_all_that_was_put_in_and_little_else(spark, most):
+    r = np.random.default_rng(1)
+    fp, size = r.integers(0, 1 << 62, 20_000), r.integers(0, 1000, 20_000)
+    groups = spark.createDataFrame(pa.table({"fp": fp[:5000], "size": size[:5000]}))
+    marks = exact_dedup.bloom_filter(groups, 5000, most)
+    passed = exact_dedup._marked(marks, fp, size)
+    assert passed[:5000].all() and passed[5000:].mean() < 0.04
+    assert len(marks) * 8 == min(most, 1 << 17)
+
+
 def test_empty(spark):
     assert exact_dedup.exact_duplicates(docs(spark, [])).count() == 0
 
