@@ -83,3 +83,19 @@ def yearly_trend(rows: DataFrame, value: str, date: str | Column, by: list[str])
     same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by] + [F.col("year") == F.col("of_year")]
     rows = each.join(before, same, "left")
     return rows.select(*by, "year", "n", "mean", (F.col("mean") - F.col("was")).alias("change"), F.try_divide((F.col("mean") - F.col("was")) * 100, F.col("was")).alias("change_percent"))
+
+
+def cost_adjusted(rows: DataFrame, costs: DataFrame, place: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """The rows with `adjusted` (the value at a cost of living of 100, to the cent), and the percent ranks within the group of both: `nominal_rank`, `adjusted_rank`.
+
+    costs: (place, cost); of several costs of a place the highest counts. Where the place is null or has no
+    cost above 0, the adjusted value and its rank are null, and the row does not count among the others'.
+    """
+    if clash := {"adjusted", "rank", "nominal_rank", "adjusted_rank"} & set(rows.columns):
+        raise ValueError(f"columns named like those of the result: {', '.join(sorted(clash))}")
+    of, cost = fresh(rows, "of_place"), fresh(rows, "of_cost")
+    known = stored(costs.where("cost > 0").groupBy(F.col(place).alias(of)).agg(F.max("cost").alias(cost)))
+    found = rows.join(small(known), F.col(place) == F.col(of), "left")
+    found = found.withColumn("adjusted", F.round(F.col(value) * 100 / F.col(cost), 2)).drop(of, cost)
+    found = percent_rank(found, value, by, "nominal_rank").drop("rank")
+    return percent_rank(found, "adjusted", by, "adjusted_rank").drop("rank")

@@ -181,6 +181,16 @@ def wage_stats(spark, sf_dir):
     return report_card.stats(records, "wage", ["role"]).unionByName(report_card.stats(records, "wage").withColumn("role", F.lit("all roles")))
 
 
+def wages_at_cost_of_living(spark, sf_dir):
+    """Wages and their places among those of the role, as they are and at the cost of the place of work: a nation's mean order against that of all."""
+    orders = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    mean = lambda total, n: total.cast("double") / n
+    each = stored(orders.groupBy(F.col("c_nationkey").alias("location")).agg(F.sum(F.col("o_totalprice").cast("decimal(20,4)")).alias("total"), F.count("o_totalprice").alias("n")))
+    usual = each.agg(mean(F.sum("total"), F.sum("n"))).first()[0]
+    costs = each.select("location", F.round(mean(F.col("total"), F.col("n")) * 100 / F.lit(usual), 2).alias("cost"))
+    return ranks.cost_adjusted(_records(spark, sf_dir).select("employer", "role", "location", "year", "wage"), costs, "location", "wage", ["role"])
+
+
 def employer_profiles(spark, sf_dir):
     return report_card.profile(_records(spark, sf_dir), top=3)
 
@@ -195,7 +205,7 @@ def reform_impact(spark, sf_dir):
     return scenarios.reform_impact(series.points(cutoffs(spark, sf_dir)), SUBMISSION)
 
 
-QUERIES = {f.__name__: f for f in (band_matches, percent_ranks, percent_ranks_by_priority, histogram_equal_width, histogram_equal_depth, yearly_trends, stored_percentiles, contained_text, monthly_movement, monthly_movement_stream, canonical_names, changelog, changelog_as_of, balance_rollup, top_segments, period_rates, wait_scenarios, csv_orders, report_cards, employer_ranking, compared_employers, wage_stats, employer_profiles, receipt_ranges, reform_impact)}
+QUERIES = {f.__name__: f for f in (band_matches, percent_ranks, percent_ranks_by_priority, histogram_equal_width, histogram_equal_depth, yearly_trends, stored_percentiles, contained_text, monthly_movement, monthly_movement_stream, canonical_names, changelog, changelog_as_of, balance_rollup, top_segments, period_rates, wait_scenarios, csv_orders, report_cards, employer_ranking, compared_employers, wage_stats, wages_at_cost_of_living, employer_profiles, receipt_ranges, reform_impact)}
 
 def _like(kind: str, table: str, id: str, name: str, sort: str) -> str:
     return f"SELECT '{kind}' AS kind, t AS looked_for, {id} AS id, {name} AS name, {sort} AS sort FROM {table}, unnest({TEXTS}) u(t) WHERE lower({name}) LIKE '%' || lower(t) || '%' OR lower({sort}) LIKE '%' || lower(t) || '%'"
@@ -287,6 +297,13 @@ ORACLE_SQL = {
     "employer_ranking": _cards(report_card.OTHER_WEIGHTS) + " SELECT CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, employer) AS INT) AS place, employer, n, score, overall FROM cards WHERE n >= 20 ORDER BY place LIMIT 100",
     "compared_employers": _cards(report_card.WEIGHTS) + " SELECT * FROM cards WHERE employer IN (1, 3, 5, 8, 13)",
     "wage_stats": f"{_RECORDS} {_wages('role')} GROUP BY role UNION ALL {_wages(chr(39) + 'all roles' + chr(39) + ' AS role')}",
+    "wages_at_cost_of_living": _RECORDS + """,
+        e AS (SELECT c_nationkey AS location, sum(CAST(o_totalprice AS DECIMAL(20,4))) AS total, count(o_totalprice) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+        c AS (SELECT location, round(CAST(total AS DOUBLE) / n * 100 / (SELECT CAST(sum(total) AS DOUBLE) / sum(n) FROM e), 2) AS cost FROM e),
+        a AS (SELECT employer, role, location, year, wage, CASE WHEN cost > 0 THEN round(wage * 100 / cost, 2) END AS adjusted FROM r LEFT JOIN c USING (location))
+        SELECT *, CASE WHEN wage IS NOT NULL THEN percent_rank() OVER (PARTITION BY role, wage IS NULL ORDER BY wage) END AS nominal_rank,
+          CASE WHEN adjusted IS NOT NULL THEN percent_rank() OVER (PARTITION BY role, adjusted IS NULL ORDER BY adjusted) END AS adjusted_rank FROM a
+    """,
     "employer_profiles": f"{_RECORDS}, w AS (SELECT *, count(*) OVER (PARTITION BY employer) AS whole FROM r), p AS ({' UNION ALL '.join(map(_profile, ('role', 'year', 'location')))}) SELECT * FROM p WHERE kind <> 'role' OR place <= 3",
     "receipt_ranges": """
         WITH d AS (SELECT l_orderkey, max(l_shipdate) AS done FROM lineitem GROUP BY 1),

@@ -1,3 +1,4 @@
+import bisect
 import datetime
 import random
 
@@ -66,3 +67,34 @@ def test_yearly_trend_over_a_gap(spark):
     rows = spark.createDataFrame([("a", 10.0, day(2001)), ("a", 30.0, day(2001)), ("a", 25.0, day(2002)), ("a", 1.0, day(2004)), (None, 0.0, day(2001)), (None, 4.0, day(2002)), ("a", None, day(2003))], "g string, v double, d date")
     found = {(r["g"], r["year"]): (r["n"], r["mean"], r["change"], r["change_percent"]) for r in ranks.yearly_trend(rows, "v", "d", ["g"]).collect()}
     assert found == {("a", 2001): (2, 20.0, None, None), ("a", 2002): (1, 25.0, 5.0, 25.0), ("a", 2004): (1, 1.0, None, None), (None, 2001): (1, 0.0, None, None), (None, 2002): (1, 4.0, 4.0, None)}
+
+
+def test_values_at_the_cost_of_living(spark):
+    data = [("a", "x", 100.0), ("a", "y", 90.0), ("a", "z", 80.0), ("a", None, 70.0), ("a", "free", 60.0), ("a", "x", None), ("b", "y", 90.0), (None, "y", 45.0), (None, "x", 90.0)]
+    rows = spark.createDataFrame(data, "g string, place string, v double")
+    costs = spark.createDataFrame([("x", 200.0), ("y", 90.0), ("y", 50.0), ("z", 50.0), ("free", 0.0), (None, 3.0), ("nowhere", 70.0)], "place string, cost double")
+    found = sorted((tuple(r) for r in ranks.cost_adjusted(rows, costs, "place", "v", ["g"]).collect()), key=str)
+    assert found == sorted([
+        ("a", "x", 100.0, 50.0, 1.0, 0.0), ("a", "y", 90.0, 100.0, 0.75, 0.5), ("a", "z", 80.0, 160.0, 0.5, 1.0), ("a", None, 70.0, None, 0.25, None), ("a", "free", 60.0, None, 0.0, None),
+        ("a", "x", None, None, None, None), ("b", "y", 90.0, 100.0, 0.0, 0.0), (None, "y", 45.0, 50.0, 0.0, 1.0), (None, "x", 90.0, 45.0, 1.0, 0.0),
+    ], key=str)
+    assert ranks.cost_adjusted(rows.where("false"), costs, "place", "v").count() == 0
+    with pytest.raises(ValueError, match="adjusted"):
+        ranks.cost_adjusted(rows.withColumn("adjusted", F.lit(1)), costs, "place", "v")
+
+
+def test_hot_place_and_group_at_the_cost_of_living(spark):
+    """A third of the rows have one value, place and group; ranks are those of a sorted list."""
+    r = random.Random(6)
+    data = [(i, "p0", 50.0) if i % 3 == 0 else (i, f"p{r.randrange(9)}", float(r.randrange(1000))) for i in range(3000)]
+    costs = {f"p{i}": 60.0 + 10 * i for i in range(8)}
+    rows = spark.createDataFrame(data, "id long, place string, v double").repartition(4)
+    found = {x["id"]: x for x in ranks.cost_adjusted(rows, spark.createDataFrame(list(costs.items()), "place string, cost double"), "place", "v").collect()}
+    adjusted = sorted(x["adjusted"] for x in found.values() if x["adjusted"] is not None)
+    assert len(found) == 3000 and len(adjusted) == sum(p in costs for _, p, _ in data)
+    for i, p, v in data:
+        if p in costs:
+            assert found[i]["adjusted"] == pytest.approx(v * 100 / costs[p], abs=0.006)
+            assert found[i]["adjusted_rank"] == bisect.bisect_left(adjusted, found[i]["adjusted"]) / (len(adjusted) - 1)
+        else:
+            assert found[i]["adjusted"] is None and found[i]["adjusted_rank"] is None
