@@ -10,7 +10,7 @@ score is one walk from left to right.
 
 All n-grams are counted, so the automaton of a corpus grows with it and is never gathered. Texts are
 cut into blocks of tokens; each block counts its own n-grams once, sends them (sorted, as differences
-of 64-bit hashes) to the tasks of their ranges, and gets back how often each occurs in all training
+of hashes) to the tasks of their ranges, and gets back how often each occurs in all training
 texts. That is the part of the automaton that a walk over the block can enter: a context's weight
 needs only its own count. The block builds that part and walks it. What is held at once is bounded by
 the sizes of a block and a range, not by the corpus or a text: a text may span blocks, and the walk
@@ -20,10 +20,12 @@ goes on in the state that the two words before stand for.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,18 +38,29 @@ PRIOR = 20.0
 DISCOUNT = 0.5
 #: Tokens of a block (less than twice as many), and n-grams of a range.
 BLOCK, RANGE = 1 << 19, 1 << 22
+#: A pair or triple is taken for another in one of 2**ODDS cases at most: their hashes grow with the input, from 48 bits on.
+ODDS = 20
 #: What stands for the end and the start of a text among the hashes of words.
 _END, _START = np.uint64(0x454E44), np.uint64(0x5354415254)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """64-bit numbers, all first bytes, then all second ones, and so on: small numbers compress well so."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers, compressed: all first bytes, then all second ones, and so on."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _sorted_packed(values: np.ndarray) -> bytes:
+    """Rising numbers, as differences."""
+    return _packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def _sorted_unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data))
 
 
 def _sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +84,7 @@ def _pieces(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _in_blocks(rows: DataFrame, facts: str, most: int) -> DataFrame:
-    """The rows as blocks, stored: (block, words: sorted hashes, ids: each token's place among them, pieces)."""
+    """The rows as blocks, stored: (block, words: sorted hashes, ids: each token's place among them, both packed; pieces)."""
     path = new_dir(rows.sparkSession, "lm-blocks")
     names = [c for c in rows.columns if c not in ("text", "learn")]
     schema = f"block long, words binary, ids binary, pieces array<struct<uid: long, lead: int, size: int, learn: boolean, facts: {facts}>>"
@@ -84,7 +97,7 @@ def _in_blocks(rows: DataFrame, facts: str, most: int) -> DataFrame:
         def row() -> pa.RecordBatch:
             words, ids = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
             found = pa.concat_arrays([x for _, x in held])
-            columns = [pa.array([block]), pa.array([words.astype("<u8").tobytes()]), pa.array([ids.astype("<u4").tobytes()]), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)]
+            columns = [pa.array([block]), pa.array([_sorted_packed(words)]), pa.array([_packed(ids)]), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)]
             return pa.RecordBatch.from_arrays(columns, ["block", "words", "ids", "pieces"])
 
         for batch, texts in blocks(batches, "text"):
@@ -114,8 +127,10 @@ def _in_blocks(rows: DataFrame, facts: str, most: int) -> DataFrame:
 class Block:
     """The tokens of some pieces, and their different words, pairs and triples in the order of their hashes."""
 
-    def __init__(self, words: bytes, ids: bytes, lead: np.ndarray, size: np.ndarray):
-        self.words, self.ids = np.frombuffer(words, "<u8"), np.frombuffer(ids, "<u4").astype(np.int64)
+    def __init__(self, words: bytes, ids: bytes, lead: np.ndarray, size: np.ndarray, bits: int = 64):
+        """bits: of the hashes of pairs and triples."""
+        self.words, self.ids = _sorted_unpacked(words), _unpacked(ids).astype(np.int64)
+        shift = np.uint64(64 - bits)
         self.ends = np.cumsum(lead + size)
         self.starts = self.ends - size  # after the lead
         place = np.arange(len(self.ids)) - np.repeat(self.ends - size - lead, lead + size)
@@ -123,8 +138,8 @@ class Block:
         self.own = place >= np.repeat(lead, lead + size)
         hashes = self.words[self.ids]
         self.two, self.three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-        two = mixed(hashes[self.two - 1] * _STEP + hashes[self.two])
-        three = mixed(mixed(hashes[self.three - 2] * _STEP + hashes[self.three - 1]) * _STEP + hashes[self.three] + np.uint64(1))
+        two = mixed(hashes[self.two - 1] * _STEP + hashes[self.two]) >> shift
+        three = mixed(mixed(hashes[self.three - 2] * _STEP + hashes[self.three - 1]) * _STEP + hashes[self.three] + np.uint64(1)) >> shift
         self.pairs, at, of = np.unique(two, return_index=True, return_inverse=True)
         self.pair_at = np.zeros(len(self.ids), np.int64)
         self.pair_at[self.two] = of
@@ -138,6 +153,14 @@ class Block:
         return [np.bincount(i[yes], minlength=len(keys)) for i, yes, keys in of]
 
 
+def _floats(values: np.ndarray) -> array:
+    return array("d", values.astype(np.float64).tobytes())
+
+
+def _integers(values: np.ndarray) -> array:
+    return array("q", values.astype(np.int64).tobytes())
+
+
 class Automaton:
     """The states, arcs and failure arcs that a walk over a block can enter; c1, c2, c3: counts of its words, pairs and triples in all training texts; texts: how many those are."""
 
@@ -151,14 +174,14 @@ class Automaton:
         longer, last = b.pair_at[b.first_triple - 1], b.pair_at[b.first_triple]
         p3 = (c3 + prior * p2[last]) / (c2[longer] + prior)
         # states: 0 no context, then those of words, then those of pairs
-        self.back = np.log10(prior / (np.concatenate([[0], context, c2]) + prior)).tolist()
-        self.fail = np.concatenate([[0], np.zeros(n, np.int64), 1 + word]).tolist()
-        self.one, self.after_one = np.log10(p1).tolist(), np.where(context > 0, 1 + np.arange(n), 0).tolist()
+        self.back = _floats(np.log10(prior / (np.concatenate([[0], context, c2]) + prior)))
+        self.fail = _integers(np.concatenate([[0], np.zeros(n, np.int64), 1 + word]))
+        self.one, self.after_one = _floats(np.log10(p1)), _integers(np.where(context > 0, 1 + np.arange(n), 0))
         seen2, seen3 = np.flatnonzero(c2), np.flatnonzero(c3)
         keys = np.concatenate([(1 + before[seen2]) * n + word[seen2], (1 + n + longer[seen3]) * n + word[last[seen3]]])
         self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.log = np.log10(np.concatenate([p2[seen2], p3[seen3]])).tolist()
-        self.to = (1 + n + np.concatenate([seen2, last[seen3]])).tolist()
+        self.log = _floats(np.log10(np.concatenate([p2[seen2], p3[seen3]])))
+        self.to = _integers(1 + n + np.concatenate([seen2, last[seen3]]))
 
     def walk(self, s: int, words: Sequence[int]) -> tuple[float, int]:
         """(log10 probability of the words from state s, the state after them)."""
@@ -184,7 +207,7 @@ def _ranges(keys: np.ndarray, of: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(of) >> np.uint64(32)).astype(np.int64)
 
 
-def _block_counts(stored: DataFrame, word_ranges: int, ranges: int) -> DataFrame:
+def _block_counts(stored: DataFrame, word_ranges: int, ranges: int, bits: int) -> DataFrame:
     """(range, block, keys, counts): of each block, its n-grams of each range. Ranges of words come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,15 +215,15 @@ def _block_counts(stored: DataFrame, word_ranges: int, ranges: int) -> DataFrame
             for i in range(batch.num_rows):
                 of = lambda c: batch.column(c)[i]  # noqa: B023, E731
                 lead, size, learn = (of(c).values.to_numpy(zero_copy_only=False) for c in ("lead", "size", "learn"))
-                block = Block(of("words").as_py(), of("ids").as_py(), lead, size)
+                block = Block(of("words").as_py(), of("ids").as_py(), lead, size, bits)
                 one, two, three = block.counts(block.own & np.repeat(learn, lead + size))
                 keys, counts = np.concatenate([block.pairs, block.triples]), np.concatenate([two, three])
                 order = np.argsort(keys, kind="stable")
                 out: list[tuple[int, int, bytes, bytes]] = []
-                for first, n, k, c in ((0, word_ranges, block.words, one), (word_ranges, ranges, keys[order], counts[order])):
-                    at = _ranges(k, n)
+                for first, n, k, c, wide in ((0, word_ranges, block.words, one, 64), (word_ranges, ranges, keys[order], counts[order], bits)):
+                    at = _ranges(k << np.uint64(64 - wide), n)
                     edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(k)]]).tolist()
-                    out.extend((first + int(at[a]), of("block").as_py(), _packed(np.diff(k[a:b], prepend=np.uint64(0))), _packed(c[a:b])) for a, b in zip(edges, edges[1:]))  # noqa: B905, RUF007
+                    out.extend((first + int(at[a]), of("block").as_py(), _sorted_packed(k[a:b]), _packed(c[a:b])) for a, b in zip(edges, edges[1:]))  # noqa: B905, RUF007
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "block", "keys", "counts"])
 
     return stored.select("block", "words", "ids", "pieces.lead", "pieces.size", "pieces.learn").mapInArrow(run, "range int, block long, keys binary, counts binary")
@@ -215,7 +238,7 @@ def _totals(counted: DataFrame, word_ranges: int) -> DataFrame:
     schema = "block long, range int, totals binary, tokens long, words long"
 
     def run(table: pa.Table) -> pa.Table:
-        found = [np.cumsum(_unpacked(x.as_py())) for x in table.column("keys")]
+        found = [_sorted_unpacked(x.as_py()) for x in table.column("keys")]
         keys = np.concatenate(found)
         counts = np.concatenate([_unpacked(x.as_py()) for x in table.column("counts")]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
@@ -234,13 +257,13 @@ def _totals(counted: DataFrame, word_ranges: int) -> DataFrame:
     return counted.sparkSession.read.schema(schema).parquet(path)
 
 
-def _walked(stored: DataFrame, totals: DataFrame, facts: str, word_ranges: int, n: int, v: int, texts: int, prior: float) -> DataFrame:
+def _walked(stored: DataFrame, totals: DataFrame, facts: str, word_ranges: int, bits: int, n: int, v: int, texts: int, prior: float) -> DataFrame:
     """(uid, facts, n_tokens, known, base, score) of each piece."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = left.column("pieces").combine_chunks().values
         lead, size = pieces.field("lead").to_numpy(), pieces.field("size").to_numpy()
-        block = Block(left.column("words")[0].as_py(), left.column("ids")[0].as_py(), lead, size)
+        block = Block(left.column("words")[0].as_py(), left.column("ids")[0].as_py(), lead, size, bits)
         parts = sorted(zip(right.column("range").to_pylist(), right.column("totals").to_pylist(), strict=True))
         c1 = np.concatenate([_unpacked(x) for r, x in parts if r < word_ranges]).astype(np.int64)
         longer = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x) for r, x in parts if r >= word_ranges)]).astype(np.int64)
@@ -254,10 +277,9 @@ def _walked(stored: DataFrame, totals: DataFrame, facts: str, word_ranges: int,
             if before == 2 and counts[block.pair_at[start - 1]]:
                 s = 1 + machine.width + int(block.pair_at[start - 1])
             scores.append(machine.walk(s, ids[start:end])[0])
-        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.stack([block.starts, block.ends])], axis=0)[0]
-        base = np.log10(c1 + 1.0)[block.ids]
-        exact = [math.fsum(base[a:b].tolist()) for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
-        columns = [pieces.field("uid"), pieces.field("facts"), pa.array(size.astype(np.int64)), pa.array(sums((c1 > 0)[block.ids])), pa.array(exact, pa.float64()), pa.array(scores, pa.float64())]
+        edges = np.stack([block.starts, block.ends], axis=1).ravel()
+        sums = lambda x: np.add.reduceat(np.append(x[block.ids], 0), edges)[::2]
+        columns = [pieces.field("uid"), pieces.field("facts"), pa.array(size.astype(np.int64)), pa.array(sums((c1 > 0).astype(np.int64))), pa.array(sums(np.log10(c1 + 1.0))), pa.array(scores, pa.float64())]
         return pa.Table.from_arrays(columns, ["uid", "facts", "n_tokens", "known", "base", "score"])
 
     blocks_, found = stored.groupBy("block"), totals.where("block IS NOT NULL").select("block", "range", "totals").groupBy("block")
@@ -274,7 +296,7 @@ def score(docs: DataFrame, train: Column, keep: Sequence[str] = (), doc_id: str
     one token (the end). Null and repeated doc_ids keep their rows. Texts longer than a block (in tokens)
     are walked in pieces. Without training rows every token is unknown: N and V are 0. An empty table
     gives no rows; columns other than those named are not read, and those of `keep` may have any name.
-    Words and n-grams are told apart by 64-bit hashes. block: tokens; prior: see PRIOR.
+    Words are told apart by 64-bit hashes, n-grams by shorter ones (see ODDS). block: tokens; prior: see PRIOR.
     """
     spark = docs.sparkSession
     kept = [F.col(x).alias(f"kept{i}") for i, x in enumerate(keep)]
@@ -285,9 +307,10 @@ def score(docs: DataFrame, train: Column, keep: Sequence[str] = (), doc_id: str
     tokens, texts = pieces.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.when((F.col("lead") == 1) & F.col("learn"), 1))).first()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // RANGE))
     word_ranges = -(-ranges // 8)
-    totals = _totals(_block_counts(stored, word_ranges, ranges), word_ranges)
+    bits = min(64, max(48, (2 * tokens).bit_length() + ODDS))
+    totals = _totals(_block_counts(stored, word_ranges, ranges, bits), word_ranges)
     n, v = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    walked = _walked(stored, totals, facts, word_ranges, n, v, texts, prior)
+    walked = _walked(stored, totals, facts, word_ranges, bits, n, v, texts, prior)
     sums = walked.groupBy("uid").agg(F.first("facts", ignorenulls=True).alias("facts"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "score")))
     return sums.select(
         "facts.doc_id",

@@ -51,7 +51,7 @@ def automaton(sequences, least=1):
     """The automaton of one block that is all there is; words are numbers from 3 on."""
     flat = np.array([w for s in sequences for w in (int(lm_scoring._START), *s, int(lm_scoring._END))], np.uint64)
     words, ids = np.unique(flat, return_inverse=True)
-    block = lm_scoring.Block(words.astype("<u8").tobytes(), ids.astype("<u4").tobytes(), np.ones(len(sequences), np.int64), np.array([len(s) + 1 for s in sequences]))
+    block = lm_scoring.Block(lm_scoring._sorted_packed(words), lm_scoring._packed(ids), np.ones(len(sequences), np.int64), np.array([len(s) + 1 for s in sequences]))
     one, two, three = block.counts(block.own)
     return block, lm_scoring.Automaton(block, one, np.where(two >= least, two, 0), three, int(one.sum()), int((one > 0).sum()), len(sequences))
 
