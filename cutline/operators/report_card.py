@@ -109,9 +109,11 @@ def profile(records: DataFrame, top: int = 20) -> DataFrame:
     """(employer, kind, value, n, mean, share, place): each employer's records by role, year and place of work, from one aggregate over grouping sets.
 
     share: percent of the employer's records. place: by n, then value; of roles only the first `top` are given. A null value is one of its own.
+    Records are dealt by employer first, in parts of a bounded size (an employer of very many has several), so
+    a task counts the values of its own employers and not of all.
     """
     kinds = {"role": "role", "year": "year", "location": "location"}
-    rows = records.select("employer", F.col("role").cast("string").alias("role"), F.col("year").cast("string").alias("year"), F.col("location").cast("string").alias("location"), "wage")
+    rows = records.select("employer", F.col("role").cast("string").alias("role"), F.col("year").cast("string").alias("year"), F.col("location").cast("string").alias("location"), "wage").hint("rebalance", "employer")
     e, columns = F.col("employer"), [F.col(c) for c in kinds]
     sums = rows.groupingSets([(e,), *((e, c) for c in columns)], e, *columns).agg(F.count("*").alias("n"), F.sum(F.col("wage").cast("decimal(20,4)")).alias("total"), F.count("wage").alias("paid"), *(F.grouping(c).alias(f"no_{c}") for c in kinds))
     sums = stored(sums)

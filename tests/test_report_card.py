@@ -1,9 +1,11 @@
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from cutline.operators import report_card
+from cutline.shared import stored
 
 SCHEMA = "employer string, source string, role string, year int, certified boolean, wage double, days int, location string"
 
@@ -71,3 +73,16 @@ def test_profiles(spark):
 def test_receipt_ranges(spark):
     cases = spark.createDataFrame([(0, "F", 10), (99, "O", None), (100, "F", 30), (150, "X", 50), (None, "F", 1)], "receipt long, status string, days int")
     assert sorted(map(tuple, report_card.receipt_ranges(cases, 100, ["F", "O"]).collect())) == [(0, 0, 99, 2, 0.5, 0.5, 10.0), (1, 100, 150, 2, 0.5, 0.0, 40.0)]
+
+
+def test_profiles_count_by_employer(spark, monkeypatch):
+    """Records are dealt by employer before they are counted; an employer of most records is counted right."""
+    rows = spark.range(3000).selectExpr("if(id % 3 < 2, 0, id % 50) AS employer", "concat('r', id % 7) AS role", "cast(2000 + id % 5 AS int) AS year", "id % 4 AS location", "cast(id AS double) AS wage")
+    plans = []
+    monkeypatch.setattr(report_card, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df))
+    found = {(r["employer"], r["kind"], r["value"]): r["n"] for r in report_card.profile(rows, top=7).collect()}
+    assert any("RebalancePartitions [employer" in p for p in plans)
+    want = Counter()
+    for r in rows.collect():
+        want.update((r["employer"], kind, str(r[kind])) for kind in ("role", "year", "location"))
+    assert found == want
