@@ -13,10 +13,13 @@ from cutline.operators.positions import positions
 from cutline.shared import fresh, small, stored
 
 
-def below(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by, value, n, below, total): each value that is not null, its rows, the rows of its group with smaller values, and all of the group's; stored."""
+def below(rows: DataFrame, value: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(by, value, n, below, total): each value that is not null, its rows, the rows of its group with smaller values, and all of the group's; stored.
+
+    With `weight`, a row stands for so many.
+    """
     by = by or []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     placed = positions(counts, [*by, "value"], "below", weight="n")
     if not by:
         total = placed.agg(F.sum("n")).first()[0]
@@ -90,12 +93,22 @@ def cost_adjusted(rows: DataFrame, costs: DataFrame, place: str, value: str, by:
 
     costs: (place, cost); of several costs of a place the highest counts. Where the place is null or has no
     cost above 0, the adjusted value and its rank are null, and the row does not count among the others'.
+    The rows are read twice, to count and to be ranked: give stored ones if they are dear.
     """
     if clash := {"adjusted", "rank", "nominal_rank", "adjusted_rank"} & set(rows.columns):
         raise ValueError(f"columns named like those of the result: {', '.join(sorted(clash))}")
-    of, cost = fresh(rows, "of_place"), fresh(rows, "of_cost")
-    known = stored(costs.where("cost > 0").groupBy(F.col(place).alias(of)).agg(F.max("cost").alias(cost)))
-    found = rows.join(small(known), F.col(place) == F.col(of), "left")
-    found = found.withColumn("adjusted", F.round(F.col(value) * 100 / F.col(cost), 2)).drop(of, cost)
-    found = percent_rank(found, value, by, "nominal_rank").drop("rank")
-    return percent_rank(found, "adjusted", by, "adjusted_rank").drop("rank")
+    by = by or []
+    known = stored(costs.where("cost > 0").groupBy(F.col(place).alias("place")).agg(F.max("cost").alias("cost")))
+    # the rows' groups, places and values, under names of ours; each is ranked once, however many rows have it
+    names = [f"by{i}" for i in range(len(by))]
+    each = stored(rows.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True)), F.col(place).alias("at"), F.col(value).alias("v")).agg(F.count("*").alias("n")).where("v is not null"))
+    each = each.join(small(known), F.col("at") == F.col("place"), "left").withColumn("adjusted", F.round(F.col("v") * 100 / F.col("cost"), 2)).drop("place", "cost")
+    for of, name in (("v", "nominal_rank"), ("adjusted", "adjusted_rank")):
+        found = below(each, of, names, weight="n").withColumnsRenamed({c: f"of_{c}" for c in [*names, "n"]})
+        same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in names] + [F.col(of) == F.col("value")]
+        share = F.when(F.col("total") > 1, F.col("below") / (F.col("total") - 1)).when(F.col("total") == 1, F.lit(0.0))
+        each = each.join(small(found), same, "left").withColumn(name, share).drop(*found.columns)
+    mine = {c: fresh(rows, f"of_{c}") for c in [*names, "at", "v"]}
+    ranked = stored(each.drop("n").withColumnsRenamed(mine))
+    same = [F.col(c).eqNullSafe(F.col(mine[n])) for c, n in zip([*by, place], [*names, "at"], strict=True)] + [F.col(value) == F.col(mine["v"])]
+    return rows.join(small(ranked), same, "left").drop(*mine.values())

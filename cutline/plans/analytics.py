@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cutline.operators import history, matching, names, ranks, report_card, rollups, scenarios, series, stored_stats, text_index
 from cutline.plans import sql
-from cutline.shared import new_path, stored
+from cutline.shared import new_path, stored, written
 from cutline.sources import delimited
 from cutline.sources.bindings import cutoffs
 from cutline.streaming import movement
@@ -188,7 +188,8 @@ def wages_at_cost_of_living(spark, sf_dir):
     each = stored(orders.groupBy(F.col("c_nationkey").alias("location")).agg(F.sum(F.col("o_totalprice").cast("decimal(20,4)")).alias("total"), F.count("o_totalprice").alias("n")))
     usual = each.agg(mean(F.sum("total"), F.sum("n"))).first()[0]
     costs = each.select("location", F.round(mean(F.col("total"), F.col("n")) * 100 / F.lit(usual), 2).alias("cost"))
-    return ranks.cost_adjusted(_records(spark, sf_dir).select("employer", "role", "location", "year", "wage"), costs, "location", "wage", ["role"])
+    records = written(_records(spark, sf_dir).select("employer", "role", "location", "year", "wage"), "records")
+    return ranks.cost_adjusted(records, costs, "location", "wage", ["role"])
 
 
 def employer_profiles(spark, sf_dir):

@@ -41,6 +41,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, kept as Parquet in the shared folder: for many rows of which columns repeat, a fraction of what stored() takes."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its rows, counted here, are within the limit; else Spark shuffles it. Give a stored or cheap df."""
     return F.broadcast(df) if df.count() <= limit else df

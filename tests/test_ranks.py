@@ -98,3 +98,13 @@ def test_hot_place_and_group_at_the_cost_of_living(spark):
             assert found[i]["adjusted_rank"] == bisect.bisect_left(adjusted, found[i]["adjusted"]) / (len(adjusted) - 1)
         else:
             assert found[i]["adjusted"] is None and found[i]["adjusted_rank"] is None
+
+
+def test_cost_adjusted_reads_the_rows_twice(spark):
+    """Once to count their values and once to be ranked, for both ranks together."""
+    seen = spark.sparkContext.accumulator(0)
+    data = [("a" if i % 3 else None, f"p{i % 4}", float(i % 10)) for i in range(100)]
+    made = spark.sparkContext.parallelize(data, 2).map(lambda x: (seen.add(1), x)[1])
+    rows = spark.createDataFrame(made, "g string, place string, v double")
+    costs = spark.createDataFrame([(f"p{i}", 80.0 + i) for i in range(3)], "place string, cost double")
+    assert len(ranks.cost_adjusted(rows, costs, "place", "v", ["g"]).collect()) == 100 and seen.value <= 200
