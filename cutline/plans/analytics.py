@@ -70,9 +70,9 @@ def contained_text(spark, sf_dir):
     for table, id, columns in (("customer", "c_custkey", ["c_name", "c_mktsegment"]), ("part", "p_partkey", ["p_name", "p_type"])):
         rows, path = _table(spark, sf_dir, table).select(id, *columns), new_path(spark, f"index-{table}")
         text_index.add(rows, path, id, columns)
-        for text in TEXTS:
-            hits = text_index.search(rows, path, text, id, columns).select(F.lit(table).alias("kind"), F.lit(text).alias("looked_for"), F.col(id).alias("id"), *(F.col(c).alias(n) for c, n in zip(columns, ("name", "sort"), strict=True)))
-            made = hits if made is None else made.unionByName(hits)
+        hits = text_index.search_each(rows, path, TEXTS, id, columns)
+        hits = hits.select(F.lit(table).alias("kind"), "looked_for", F.col(id).alias("id"), *(F.col(c).alias(n) for c, n in zip(columns, ("name", "sort"), strict=True)))
+        made = hits if made is None else made.unionByName(hits)
     return made
 
 

@@ -61,3 +61,13 @@ def test_a_trigram_of_most_rows_is_dealt_over_many_files(spark, tmp_path):
     hot = spark.read.parquet(str(tmp_path / "i" / "postings")).where("gram = 'nam'").groupBy(F.input_file_name()).count().collect()
     assert len(hot) > 1 and sum(r["count"] for r in hot) == 5000
     assert text_index.search(rows, str(tmp_path / "i"), "me 4999", "id", ["name"]).count() == 1
+
+
+def test_many_texts_at_once_and_letters_that_grow(index):
+    """One look at the index gives each text's rows; the trigrams of a text that lower case makes longer are all kept."""
+    data, rows, path = index
+    texts = ["aba", "é1a", "bul", "b", "", "needle", "zzz", "AbA"]
+    found = text_index.search_each(rows, path, texts, "id", COLUMNS, buckets=16).collect()
+    got = {t: sorted(r["id"] for r in found if r["looked_for"] == t) for t in texts}
+    assert got == {t: sorted(r["id"] for r in text_index.search(rows, path, t, "id", COLUMNS, buckets=16).collect()) for t in texts}
+    assert got["bul"] == [500] and got["zzz"] == [] and got["aba"] == got["AbA"] and len(got[""]) == sum(x is not None or y is not None for _, x, y in data)
